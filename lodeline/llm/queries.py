@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES = ("bpe", "near_dup", "imatch")
+MODULES = ("bpe", "near_dup", "imatch", "language_id")
 
 
 def _gathered(attribute: str) -> dict:
