@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("operators.detect",)
 
 
 def _gathered(attribute: str) -> dict:
