@@ -30,9 +30,12 @@ def has_any(column: Column, terms) -> Column:
 def terms(text: Column) -> Column:
     """Distinct lower-case terms of three characters or more, with the aliases of their groups."""
     found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})"), 1), lambda x: F.lower(x)))
-    for members, name in ALIASES:
-        found = F.when(F.arrays_overlap(found, F.array(*map(F.lit, members))), F.array_union(found, F.array(F.lit(name)))).otherwise(found)
-    return found
+
+    def with_aliases(own: Column) -> Column:
+        names = F.array(*(F.when(F.arrays_overlap(own, F.array(*map(F.lit, members))), F.lit(name)) for members, name in ALIASES))
+        return F.array_union(own, F.array_compact(names))
+
+    return F.get(F.transform(F.array(found), with_aliases), F.lit(0))  # the terms are worked out once
 
 
 def collapse(text: Column) -> Column:
