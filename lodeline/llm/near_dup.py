@@ -1,16 +1,18 @@
 """MinHash near-dedup by bottom-k sketches of one hash function.
 
-1. A pass over the texts hashes the 5-word shingles (64 bits); the k least values of a document are
-   its sketch, and a digest of the whole set finds equal sets. One document stands for each distinct set.
-2. Inverted lists of the retained values generate overlaps. Two sets of similarity 0.75 share so many
-   of their retained values (``needed_overlap``) that each may leave out its most frequent ones and
-   still meet in a list of a rarer one. Values of one document alone need no list, so documents that
-   share only a common passage, or nothing, drop out here.
-3. A list is not paired off: all members are compared with its most central member (a pivot), linked
-   members become one component, and the pivot leaves the list. This repeats, with more pivots a list
-   each time, until every list lies within one component: no pair of different components that shares
-   a list stays unseen, while a group of m near copies costs m comparisons, not m squared.
-4. Union sketches estimate a candidate's similarity, and the exact Jaccard of the full sets confirms it.
+1. A pass over the texts hashes the 5-word shingles (64 bits); the k least values of a document are its sketch, and
+   a digest of the whole set finds equal sets. One document stands for each distinct set.
+2. Inverted lists of the retained values generate overlaps. Linked sets share so many retained values
+   (``_retained_overlap``) that a document which has more than the rest alone is linked to none. So documents that
+   share only a common passage, or nothing, drop out here, and only the others' full sets are formed.
+3. These are listed by the values of their full sets that others among them have, rarest first. A link needs so large
+   an overlap that the two meet in a list of one of their first values (``_needed``; exact), and a document whose own
+   values outnumber the rest needs no list.
+4. A list is not paired off: all members are compared with its most central member (a pivot), linked members become
+   one component, and the pivot leaves the list. This repeats, with more pivots a list each time, until every list
+   lies within one component: no pair of different components that shares a list stays unseen, while a group of m
+   near copies costs m comparisons, not m squared.
+5. Union sketches estimate a candidate's similarity, and the exact Jaccard of the full sets confirms it.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,11 +32,13 @@ SHINGLE_WORDS = 5
 RETAINED = 96
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Retained values that two linked sets larger than k share at least. The number shared is binomial with
-#: mean 72 and deviation 4.2 at similarity 0.75; this is 5.9 deviations below.
-SHARED_LEAST = 47
+#: The values that linked sets share among the k least of their union are drawn without replacement, a share PERCENT
+#: of them at least; so many standard deviations below the mean a count rules a link out (one in 10^9).
+DEVIATIONS = 6.0
 #: Pivots of a list in the first round, and their growth from round to round.
-PIVOT_GROWTH = 4
+PIVOT_GROWTH = 64
+#: Growth of sizes from class to class.
+CLASS_RATIO = 1.1
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,16 +71,6 @@ def shingle_set(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
         return np.unique(_mixed(rolled).view(np.int64))
 
 
-def needed_overlap(n: int, k: int = RETAINED, percent: int = PERCENT, least: int = SHARED_LEAST) -> int:
-    """Retained values that a set of n shares at least with any set it is linked to.
-
-    Up to k * percent / 100 members, a partner is retained whole too and the bound is exact; up to k it follows
-    from the sizes; beyond, it holds but for a chance of about one in a hundred million.
-    """
-    exact = k * percent // 100
-    return -(-n * percent // 100) if n <= exact else -(-exact * percent // 100) if n <= k else least
-
-
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, its k least values."""
     schema = T.StructType(
@@ -121,52 +115,86 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("rep"), "text").mapInArrow(run, schema)
 
 
-def _listed(reps: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """rep, n, sketch, central, keys: documents that stand in a list with another, and the lists they stand in.
+def _needed(na: Column, nb: Column, percent: int) -> Column:
+    """Members that linked sets of these sizes share at least."""
+    return F.ceil((na + nb) * F.lit(percent) / F.lit(100 + percent)).cast("int")
 
-    Of the retained values, rarest first, a document needs the first size - needed + 1. Those it alone has come
-    first and make no list. ``central`` is the summed frequency of its values.
-    """
+
+def _retained_overlap(union: Column, k: int, percent: int) -> Column:
+    """Common values among the k least of a union of this size, at least, if the sets are linked and the union exceeds k."""
+    t = percent / 100
+    spread = F.sqrt(F.lit(k * t * (1 - t)) * F.greatest(union - k, F.lit(0.0)) / F.greatest(union - 1, F.lit(1.0)))
+    return F.floor(F.lit(k * t) - DEVIATIONS * spread).cast("int")
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(CLASS_RATIO)))).cast("int")
+
+
+def _possible(reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """rep, n of the documents whose retained values leave a link possible: they have few enough alone."""
     entries = reps.select("rep", "n", F.explode("sketch").alias("v"))
+    common = entries.groupBy("v").agg(F.count("*").alias("f")).where("f > 1").select("v")
+    n, largest = F.col("n"), F.col("n") * F.lit(100 / percent)  # size of the largest partner, and of that union
+    whole = k * percent // 100  # a partner of up to so many members is retained whole, like the set itself
+    needed = F.when(n <= whole, F.ceil(n * F.lit(percent) / F.lit(100))).when(n <= k, F.lit(-(-whole * percent // 100))).otherwise(_retained_overlap(largest, k, percent))
+    return entries.join(common, "v", "left_semi").groupBy("rep", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed).select("rep", "n")
+
+
+def _listed(sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, central, keys: documents that stand in a list with another, and the lists they stand in.
+
+    A list belongs to a value and a class of sizes. In the order of frequency, rarest first, the smaller of two linked
+    sets has a common value among its first n - needed + 1 (it is indexed there), and so has the larger, which probes
+    the classes of all sizes it may be linked to. Values that a document has alone come first and make no list.
+    ``place`` is the value's place in that order; ``central`` the mean frequency of a document's values.
+    """
+    entries = sets.select("rep", F.size("members").alias("n"), F.explode("members").alias("v"))
     common = entries.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    exact = k * percent // 100
-    needed = (
-        F.when(F.col("n") <= exact, F.ceil(F.col("n") * F.lit(percent) / F.lit(100)))
-        .when(F.col("n") <= k, F.lit(-(-exact * percent // 100)))
-        .otherwise(F.lit(least))
-    )
-    alone = F.least("n", F.lit(k)) - F.size("found")
-    keep = (F.least("n", F.lit(k)) - needed + F.lit(1) - alone).cast("int")
+    n = F.col("n")
+    alone = n - F.size("found")
+    lowest = F.ceil(n * F.lit(percent) / F.lit(100)).cast("int")
+    own = _size_class(n)
+    indexed = n - _needed(n, n, percent) + 1 - alone
+
+    def probed(c: Column) -> Column:
+        smallest = F.least(F.greatest(F.ceil(F.pow(F.lit(CLASS_RATIO), c)) - 1, lowest), n)  # of the partners in the class
+        length = F.greatest(n - _needed(n, smallest, percent) + 1 - alone, F.when(c == own, indexed).otherwise(F.lit(0)), F.lit(0))
+        return F.transform(
+            F.slice("found", 1, length.cast("int")),
+            lambda x, i: F.struct(x["v"].alias("v"), c.cast("int").alias("c"), (alone + i + 1).cast("int").alias("place"), ((c == own) & (i < indexed)).alias("indexed")),
+        )
+
     return (
         entries.join(common, "v")
         .groupBy("rep", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("found"), F.sum("f").alias("central"))
-        .withColumn("keep", keep)
-        .where("keep > 0")
-        .select("rep", "n", "central", F.transform(F.slice("found", 1, F.col("keep")), lambda x: x["v"]).alias("keys"))
+        .agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("found"), (F.sum("f") / n).alias("central"))
+        .withColumn("keys", F.flatten(F.transform(F.sequence(_size_class(lowest), own), probed)))
+        .where(F.size("keys") > 0)
+        .select("rep", "n", "central", "keys")
     )
 
 
 def _round_pairs(lists: DataFrame, pivots_a_list: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pivots (v, p, ...) of each unfinished list, and the distinct pairs (a, p) to compare."""
+    """Pivots (v, c, p, ...) of each unfinished list, and the distinct pairs (a, b) to compare."""
     seat = F.pmod(F.xxhash64("rep"), F.lit(pivots_a_list))
     pivots = (
-        lists.withColumn("seat", seat)
-        .groupBy("v", "seat")
-        .agg(F.max(F.struct("central", "rep", "comp", "n")).alias("top"))
-        .select("v", F.col("top.rep").alias("p"), F.col("top.comp").alias("pcomp"), F.col("top.n").alias("pn"))
-    )
-    pairs = (
-        lists.join(pivots, "v")
-        .where("comp != pcomp")
-        .where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * F.lit(percent))
-        .select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b"))
-        .distinct()
+        lists.where("indexed")
+        .withColumn("seat", seat)
+        .groupBy("v", "c", "seat")
+        .agg(F.max(F.struct("central", "rep", "comp", "n", "place")).alias("top"))
+        .select("v", "c", F.col("top.rep").alias("p"), F.col("top.comp").alias("pcomp"), F.col("top.n").alias("pn"), F.col("top.place").alias("pplace"))
     )
+    # what can follow the first common value, in either's order, bounds the overlap
+    bound = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("pplace")) + 1
+    l, r = lists.alias("l"), pivots.alias("r")
+    meets = (F.col("l.v") == F.col("r.v")) & (F.col("l.c") == F.col("r.c")) & (F.col("comp") != F.col("pcomp"))
+    meets &= (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * F.lit(percent)) & (bound >= _needed(F.col("n"), F.col("pn"), percent))
+    pairs = l.join(r, meets).select(F.greatest("rep", "p").alias("a"), F.least("rep", "p").alias("b")).distinct()
     return pivots, pairs
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose union sketch allows a link and whose full sets are similar enough, as edges (u, v)."""
     s, x = sketches.select("rep", "n", "sketch"), sets
     estimated = (
@@ -174,8 +202,8 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, p
         .join(s.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
         .withColumn("merged", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
         .withColumn("both", F.size(F.array_intersect("merged", F.array_intersect("sa", "sb"))))
-        # the k least of the union hold at least this share of common values; small unions are seen whole
-        .where(F.when(F.greatest("na", "nb") <= k * percent // 100, F.col("both") * 100 >= F.size("merged") * F.lit(percent)).otherwise(F.col("both") >= F.lit(least)))
+        .withColumn("union", (F.col("na") + F.col("nb")) * F.lit(100 / (100 + percent)))  # at most, if they are linked
+        .where(F.col("both") >= F.when(F.col("union") <= k, _needed(F.col("na"), F.col("nb"), percent)).otherwise(_retained_overlap(F.col("union"), k, percent)))
         .select("a", "b")
     )
     return (
@@ -188,7 +216,7 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, k: int, p
     )
 
 
-def near_duplicates(docs: DataFrame, k: int = RETAINED, percent: int = PERCENT, least: int = SHARED_LEAST) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = RETAINED, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text, whatever else).
 
     Empty or null texts have no shingles and stand alone. Equal texts are one component. Rows that repeat a
@@ -203,32 +231,32 @@ def near_duplicates(docs: DataFrame, k: int = RETAINED, percent: int = PERCENT,
         .select("digest", F.col("one.doc_id").alias("rep"), "one.n", "one.sketch")
     )
     reps = materialise(reps, "representatives")
-    active = materialise(_listed(reps, k, percent, least), "listed")
-    sketches = materialise(reps.join(active.select("rep"), "rep", "left_semi").select("rep", "n", "sketch"), "listed-sketches")
-    members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialise(_full_sets(join_checked(members, active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")), "listed-sets")
-
-    lists = materialise(active.select("rep", "n", "central", F.col("rep").alias("comp"), F.explode("keys").alias("v")), "lists")
+    possible = materialise(_possible(reps, k, percent), "possible")
+    sketches = materialise(reps.join(possible.select("rep"), "rep", "left_semi").select("rep", "n", "sketch"), "possible-sketches")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = materialise(_full_sets(join_checked(texts, possible.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")), "possible-sets")
+    listed = _listed(sets, percent).select("rep", "n", "central", F.col("rep").alias("comp"), F.explode("keys").alias("x"))
+    lists = materialise(listed.select("rep", "n", "central", "comp", "x.*"), "lists")
     forest = connected_components(rows.sparkSession.createDataFrame([], "u long, v long"))
     pivots_a_list = 1
     while True:
-        open_lists = lists.groupBy("v").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("v")
-        unfinished = materialise(lists.join(open_lists, "v", "left_semi"), "lists")
+        open_lists = lists.groupBy("v", "c").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("indexed").alias("any")).where("low != high and any").select("v", "c")
+        unfinished = materialise(lists.join(open_lists, ["v", "c"], "left_semi"), "lists")
         discard(lists)
         lists = unfinished
         if lists.isEmpty():
             break
         pivots, pairs = _round_pairs(lists, pivots_a_list, percent)
         pivots = materialise(pivots, "pivots")
-        edges = _confirmed(pairs, sketches, sets, k, percent, least)
+        edges = _confirmed(pairs, sketches, sets, k, percent)
         grown = connected_components(forest.unionByName(edges))
-        left = lists.join(pivots.select("v", F.col("p").alias("rep")), ["v", "rep"], "left_anti").drop("comp")
+        left = lists.join(pivots.select("v", "c", F.col("p").alias("rep")), ["v", "c", "rep"], "left_anti").drop("comp")
         moved = left.join(grown.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
-        after = materialise(moved.select("rep", "n", "central", F.coalesce("root", "rep").alias("comp"), "v"), "lists")
+        after = materialise(moved.select("rep", "n", "central", F.coalesce("root", "rep").alias("comp"), "v", "c", "place", "indexed"), "lists")
         discard(lists, pivots, forest)
         lists, forest = after, grown
         pivots_a_list *= PIVOT_GROWTH
-    discard(lists, sets, sketches, active)
+    discard(lists, sets, sketches, possible)
 
     classes = reps.select("digest", "rep").join(forest.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left")
     labelled = rows.select("doc_id", "n_shingles", "digest").join(classes.select("digest", F.coalesce("root", "rep").alias("root")), "digest", "left")
