@@ -98,7 +98,7 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_A_LANGUAGE) -> Dat
     The hash threshold that leaves about ``per_language`` documents comes from the languages' counts, so
     the ranking within a language touches only a little more than the sample.
     """
-    usable = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    usable = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     languages = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     near = usable.join(F.broadcast(languages), "lang").where(F.col("draw") * F.col("n") <= F.lit(1.5 * per_language * (1 << 30)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))

@@ -89,13 +89,8 @@ def _named(source: Column, weights: dict[str, float]) -> Column:
     return F.when(source.isin([s for s in weights if s != OTHER]), source).otherwise(F.lit(OTHER))
 
 
-def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
-    """All rows and columns of ``docs`` with a struct ``mixed``: position, slot, phase, block, release, deadline.
-
-    ``position`` orders the mixture. Null and unlisted sources share OTHER (weight: that of OTHER, else the least).
-    Rows with the same doc_id, or none, are ordered by their text's hash; equal rows may change places. Weights must
-    be positive. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, weights: dict[str, float], block_rows: int, resolution: int) -> DataFrame:
+    """(row, mixed): each row of ``docs`` as a struct, and its place."""
     if not weights or min(weights.values()) <= 0:
         raise ValueError("target weights must be positive")
     weights = {OTHER: min(weights.values())} | weights
@@ -117,7 +112,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS
     local, a = F.col("block") - F.col("first"), F.size("slots")
     slot = F.col("start") + F.floor(local / a) * F.col("size") + F.element_at("slots", (local % a + 1).cast("int"))
     return placed.select(
-        "row.*",
+        "row",
         F.struct(
             (slot * block_rows + F.col("within")).alias("position"),
             slot.alias("slot"),
@@ -129,12 +124,21 @@ def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS
     )
 
 
-def mixed_order(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
+    """All rows and columns of ``docs`` with a struct ``mixed``: position, slot, phase, block, release, deadline.
+
+    ``position`` orders the mixture. Null and unlisted sources share OTHER (weight: that of OTHER, else the least).
+    Rows with the same doc_id, or none, are ordered by their text's hash; equal rows may change places. Weights must
+    be positive. A column of ``docs`` named mixed is replaced. An empty table gives an empty result.
+    """
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c != "mixed"]
+    return _placed(docs, weights, block_rows, resolution).select(*own, "mixed")
+
+
+def mixed_order(docs: DataFrame, weights: dict[str, float], block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION) -> DataFrame:
     """The rows of ``docs`` in the order of the mixture: files of a written table follow each other in it."""
-    if "mixed" in docs.columns:
-        raise ValueError("a column is named mixed")
     position = F.col("mixed.position")
-    return mix(docs, weights).repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)
+    return _placed(docs, weights, block_rows, resolution).repartitionByRange(position).sortWithinPartitions(position).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,13 @@ def test_rows_windows_and_deviation(spark):
         for t in range(last + 1):
             n += by_slot[t] == s
             assert abs(n - (t + 1) * w) < 1
-    order = [r.doc_id for r in M.mixed_order(df, weights).collect()]
+    clash = df.withColumnRenamed("position", "mixed")
+    order = [r.doc_id for r in M.mixed_order(clash, weights, 8, 50).coalesce(1).collect()]
     assert sorted(map(str, order)) == sorted(str(r[0]) for r in rows)
+    by_source = {r[0]: r[1] for r in rows}
+    first_slots = [by_source[i] for i in order[: 8 * 20]]
+    assert abs(first_slots.count("src0") - 0.6 * 160) < 16
+    assert M.mixed_order(clash, weights).columns == M.mix(clash, weights).drop("mixed").columns[:3] + ["mixed"]
     assert M.mix(df.limit(0), weights).count() == 0
     with pytest.raises(ValueError):
         M.mix(df, {"src0": 0})
