@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeline.functions.text import has_any
+from lodeline.functions.text import has_any, source_type
 from lodeline.sources import lines as L
 from lodeline.sources import sample
 
@@ -49,6 +49,11 @@ ENTRYPOINTS = ("deposit", "mint", "withdraw", "redeem", "borrow", "repay", "real
 FEES = ("simulateaccrue", "accrue(", "feeshares", "pendingfee", "_accruefee", "accruefee")
 
 
+def target_sources(sources: DataFrame) -> DataFrame:
+    """Sources that detectors judge: production code and files of unknown kind."""
+    return sources.where(source_type(F.col("file_path")).isin("production", "unknown"))
+
+
 def flagged_lines(sources: DataFrame) -> DataFrame:
     """Every line with its function, that function's and file's flags, and one boolean a detector.
 
@@ -127,17 +132,12 @@ def detections(sources: DataFrame) -> DataFrame:
     return grouped.select("repo", "detector", "vulnerability_class", "confidence", F.size("at").cast("long").alias("n_evidence"), F.array_join(shown, ",").alias("evidence"), F.array_join("functions", ",").alias("functions"))
 
 
-def call_before_write(functions: DataFrame) -> DataFrame:
-    """First external call of a function and the first later line that writes state."""
-    return functions.groupBy("repo", "file_path", "function_name").agg(F.min("call_line").alias("call_line"), F.min("write_line").alias("write_line"))
-
-
 def q_function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.function_ranges(sample.sources(spark)).select("repo", "file_path", "contract_name", "function_name", "start_line", "end_line")
 
 
 def q_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(sample.sources(spark))
+    return detections(target_sources(sample.sources(spark)))
 
 
 def q_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@ import random
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
+from lodeline.operators import detect as D
 from lodeline.operators import judge as J
 from lodeline.operators import relate as R
 from lodeline.operators import retrieve as V
 from lodeline.plans.shared import discard, join_checked, materialise, table_bytes
 from lodeline.sources import lines as L
+from lodeline.sources import sample
 from lodeline.streaming import ledger as S
 
 
@@ -31,6 +33,30 @@ def test_function_ranges_of_odd_sources(spark):
     assert got == {("a", "A", "f", 2, 6), ("a", "A", "h", 8, 8)}
 
 
+def test_detectors_fire_where_they_should(spark):
+    got = {(r.repo, r.detector): r.evidence for r in D.detections(D.target_sources(sample.sources(spark))).collect()}
+    vault, feed, game = "src/Treasury.sol", "src/PushOracle.sol", "contracts/EggGame.sol"
+    assert got == {
+        ("game", "erc4626_convertto_includes_fees"): f"{game}:26",
+        ("game", "public_vault_accounting_spoof"): f"{game}:15,{game}:16,{game}:17",
+        ("game", "strategy_accounting_trust"): f"{game}:22",
+        ("game", "weak_randomness"): f"{game}:8,{game}:9,{game}:11",
+        ("treasury", "chainlink_unbounded_price"): f"{feed}:14",
+        ("treasury", "dangerous_delegatecall"): f"{vault}:37",
+        ("treasury", "external_call_before_accounting"): f"{vault}:27,{vault}:29",
+        ("treasury", "oracle_constant_threshold"): f"{feed}:20",
+        ("treasury", "oracle_stale_read"): f"{feed}:19",
+        ("treasury", "oracle_staleness_logic"): f"{feed}:25",
+        ("treasury", "oracle_update_replay"): f"{feed}:13",
+        ("treasury", "pause_not_enforced"): f"{vault}:20,{vault}:26",
+        ("treasury", "tx_origin_auth"): f"{vault}:41",
+        ("treasury", "unchecked_erc20_returns"): f"{vault}:22,{vault}:33",
+        ("treasury", "unguarded_initializer"): f"{vault}:16,{vault}:17",
+        ("treasury", "unsafe_approve"): f"{vault}:33",
+        ("treasury", "unsafe_or_guards"): f"{feed}:25,{vault}:41",
+    }
+
+
 def test_lines_of_a_function_are_the_first_range_that_holds_them(spark):
     lines = spark.createDataFrame([("a", i) for i in range(1, 7)], "k string, line_no int")
     ranges = spark.createDataFrame([("a", "f", 2, 5), ("a", "g", 4, 6)], "k string, name string, start_line int, end_line int")
