@@ -95,7 +95,7 @@ def _placed(docs: DataFrame, weights: dict[str, float], block_rows: int, resolut
         raise ValueError("target weights must be positive")
     weights = {OTHER: min(weights.values())} | weights
     payload = [c for c in docs.columns if c in ("doc_id", "text")]
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _named(F.col("source"), weights).alias("of"), F.pmod(F.xxhash64(*payload), F.lit(1 << 40)).alias("draw"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _named(F.col("source"), weights).alias("of"), F.pmod(F.xxhash64(*payload), F.lit(1 << 40)).alias("draw"), F.xxhash64("source", *payload).alias("tie"))
     counts = {r["of"]: r["n"] for r in rows.groupBy("of").agg(F.count("*").alias("n")).collect()}  # at most one a target
     spark = docs.sparkSession
     buckets = spark.createDataFrame([(s, max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))) for s, n in counts.items()], "of string, buckets long")
@@ -105,7 +105,7 @@ def _placed(docs: DataFrame, weights: dict[str, float], block_rows: int, resolut
     offsets = rows.groupBy("of", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = materialise(offsets.select("of", "bucket", F.coalesce(before, F.lit(0)).alias("offset")), "offsets")  # a row for each BUCKET_ROWS
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("of", "bucket").orderBy("draw")))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("of", "bucket").orderBy("draw", "tie")))
     index = F.col("offset") + F.col("rank") - 1
     placed = join_checked(ranked, offsets, ["of", "bucket"]).withColumn("block", F.floor(index / F.lit(block_rows))).withColumn("within", index % F.lit(block_rows))
     placed = placed.join(F.broadcast(plan.withColumnRenamed("of", "planned")), (F.col("of") == F.col("planned")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("beyond")))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +30,8 @@ PRECISION = 0.995
 TREES, DEPTH, RATE, BINS = 80, 3, 0.2, 16
 #: Code points of context on either side of a candidate.
 CONTEXT = 40
+#: Candidates of a text that are scored at once.
+SCORED_AT_ONCE = 4096
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
@@ -217,18 +220,38 @@ def further_spans(text: str, base: dict[str, list[tuple[int, int]]], model: Boos
     proposed = {(kind, *m.span()) for kind, pattern in GENERATORS if _worth(kind, text) for m in pattern.finditer(text)}
     if not proposed:
         return []
-    taken = sorted(s for spans in base.values() for s in spans)
-    free = sorted(c for c in proposed if not any(a < c[2] and c[1] < b for a, b in taken))
-    if not free:
-        return []
-    scores = model.probability(np.array([features(text, *c) for c in free], float))
+    taken = _merged(s for spans in base.values() for s in spans)
+    free = sorted(c for c in proposed if not _overlaps(taken, c[1], c[2]))
+    scores: list[float] = []
+    for at in range(0, len(free), SCORED_AT_ONCE):
+        scores += model.probability(np.array([features(text, *c) for c in free[at : at + SCORED_AT_ONCE]], float)).tolist()
     chosen: list[tuple[str, int, int]] = []
-    for score, candidate in sorted(zip(scores.tolist(), free, strict=True), key=lambda x: (-x[0], x[1])):
-        if score >= thresholds[candidate[0]] and not any(c[1] < candidate[2] and candidate[1] < c[2] for c in chosen):
+    held: list[tuple[int, int]] = []
+    for score, candidate in sorted(zip(scores, free, strict=True), key=lambda x: (-x[0], x[1])):
+        kind, start, end = candidate
+        if score >= thresholds[kind] and not _overlaps(held, start, end):
             chosen.append(candidate)
+            insort(held, (start, end))
     return chosen
 
 
+def _merged(spans) -> list[tuple[int, int]]:
+    """Spans in order, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
+
+
+def _overlaps(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a span overlaps any of the ordered, disjoint ones."""
+    at = bisect_left(taken, (end,))
+    return at > 0 and taken[at - 1][1] > start
+
+
 _MARKED_AT = re.compile(r"[(\[{] ?(?:at|AT|@) ?[)\]}]").search
 
 
