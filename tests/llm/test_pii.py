@@ -92,16 +92,16 @@ def test_query_and_redaction(spark):
 
 
 def test_many_spans_of_one_text_stay_disjoint():
-    model, thresholds = pii.trained()
+    model, thresholds = P.trained()
     text = " ".join(f"call 555-{i % 900 + 100}-{i % 9000 + 1000} or a{i}@b.com" for i in range(6000))
-    base, spans = pii.all_spans(text, model, thresholds)
+    base, spans = P.all_spans(text, model, thresholds)
     assert len(base["email"]) == 6000 and len(spans) == 12000
     ends = sorted((a, b) for _, a, b in spans)
     assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:]))
 
 
 def test_merged_spans_answer_overlaps():
-    taken = pii._merged([(5, 9), (1, 3), (8, 12), (20, 21)])
+    taken = P._merged([(5, 9), (1, 3), (8, 12), (20, 21)])
     assert taken == [(1, 3), (5, 12), (20, 21)]
     plain = lambda a, b: any(s < b and a < e for s, e in taken)
-    assert all(pii._overlaps(taken, a, b) == plain(a, b) for a in range(25) for b in range(a + 1, 25))
+    assert all(P._overlaps(taken, a, b) == plain(a, b) for a in range(25) for b in range(a + 1, 25))
