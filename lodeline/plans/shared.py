@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only below this many bytes of Parquet; above it, the join shuffles.
 BROADCAST_BYTES = 24 << 20
+#: The most rows and bytes of a batch on its way to a Python worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +29,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's limits of batches to BATCH_ROWS and BATCH_BYTES, where they are higher or none.
+
+    Both sides of a worker's pipe hold a batch, so its size, not the partition's, decides their memory.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < _bytes(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(value: str) -> int:
+    """A number with or without a unit of bytes; 0 if it is none."""
+    digits = value.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(digits[-1:], 0)
+    digits = digits[:-1] if unit else digits
+    return int(digits) << unit if digits.isdigit() else 0
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

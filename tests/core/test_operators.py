@@ -121,3 +121,18 @@ def test_shared_tables(spark):
     assert join_checked(df, small, "x").count() == join_checked(df, small, "x", limit=0).count() == 15
     discard(small)
     assert df.count() == 100
+
+
+def test_bound_batches_lowers_but_never_raises(spark):
+    from lodeline.plans import shared
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50000")
+    shared.bound_batches(spark)
+    assert spark.conf.get(key) == str(shared.BATCH_ROWS)
+    spark.conf.set(key, "7")
+    shared.bound_batches(spark)
+    assert spark.conf.get(key) == "7"
+    spark.conf.set(key, before)
+    assert [shared._bytes(x) for x in ("50", "4m", "64MB", "-1", "")] == [50, 4 << 20, 64 << 20, 0, 0]
