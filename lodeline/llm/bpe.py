@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeline.plans.shared import bound_batches
+
 #: Pieces longer than this are encoded each time; shorter ones are remembered.
 REMEMBERED_CHARS = 40
 #: Pieces a worker remembers before it starts afresh.
@@ -150,6 +152,7 @@ def decode_column(path: str, pattern: str):
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """All columns of ``docs`` and the ids of each whole text (null: none) in ``out``."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out, encode_column(path, pattern)(F.col(text)))
 
 
@@ -184,6 +187,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=schema.names,
             )
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.plans.shared import join_checked, materialise
+from lodeline.plans.shared import bound_batches, join_checked, materialise
 
 #: A class is valid on a host if at least so many pages, and this share of them, have its tokens.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
@@ -234,6 +234,7 @@ def extract(pages: DataFrame) -> DataFrame:
     pages have an empty template, and the element rules alone decide. Repeated rows count as pages of their own and
     give the same text; further columns are not read; an empty table gives an empty result.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     found = materialise(templates(rows.select("host", F.col("page_id").alias("page"), "html")), "templates")
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.llm.chunks import code_points, indexed_words, text_chunks
-from lodeline.plans.shared import join_checked, materialise
+from lodeline.plans.shared import bound_batches, join_checked, materialise
 
 NGRAM = 4
 SAMPLE_A_LANGUAGE = 3000
@@ -175,6 +175,7 @@ class LanguageFilters:
 
 def train(docs: DataFrame) -> LanguageFilters:
     """Filters of the bounded sample; counting is distributed, the driver receives only n-grams that enter a filter."""
+    bound_batches(docs.sparkSession)
     counts = materialise(_counted(training_rows(docs)), "language-ngrams")
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(totals)
@@ -190,6 +191,7 @@ def train(docs: DataFrame) -> LanguageFilters:
 
 def judged(spark: SparkSession, filters: LanguageFilters):
     """A Pandas UDF: text -> (lang_pred, score)."""
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast((filters.languages, filters.cells))  # CELLS words, whatever the corpus
 
     @F.pandas_udf("lang_pred string, score double")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeline.llm.components import connected_components
-from lodeline.plans.shared import discard, join_checked, materialise
+from lodeline.plans.shared import bound_batches, discard, join_checked, materialise
 
 SHINGLE_WORDS = 5
 #: The k of bottom-k.
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, k: int = RETAINED, percent: int = PERCENT)
     doc_id get one component. A null doc_id is never a representative: such a row takes the component of an equal
     text, else a null one, and is kept only then. An empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = materialise(_sketches(docs, k), "sketches")
     reps = (
         rows.where("n_shingles > 0 and doc_id is not null")

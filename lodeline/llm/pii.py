@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeline.plans.shared import bound_batches
+
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_SPANS = 8000
@@ -286,6 +288,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     Nulls and empty texts have no spans; repeated rows are searched alike; further columns are not read.
     """
+    bound_batches(docs.sparkSession)
     model, thresholds = trained()
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -304,6 +307,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with all spans of ``text`` replaced and ``n_chars``, if present, counted anew."""
+    bound_batches(docs.sparkSession)
     model, thresholds = trained()
 
     @F.pandas_udf("string")

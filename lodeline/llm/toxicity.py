@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.llm.chunks import text_chunks
-from lodeline.plans.shared import join_checked, materialise
+from lodeline.plans.shared import bound_batches, join_checked, materialise
 
 SAMPLE_A_CLASS = 3000
 FEATURES = 1500
@@ -183,6 +183,7 @@ def _calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     """The classifier of the bounded sample. The driver receives feature numbers of the sample, never texts."""
+    bound_batches(docs.sparkSession)
     sample = materialise(training_rows(docs, labels), "toxic-texts")
     counts = _feature_counts(sample)
     positive, total = sample.agg(F.sum("toxic"), F.count("*")).first()
@@ -233,6 +234,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
     Null and empty texts get the score of a text without features. Repeated rows score alike; further columns are
     not read; a null doc_id is not held out.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.offset))  # FEATURES entries
 
     @F.pandas_udf("double")
