@@ -21,7 +21,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["line_scan", "path_classify", "session_gaps", "gate_chain", "ledger_summary", "first_call_then_accounting", "unguarded_writes", "retrieval_metrics"])
+@pytest.mark.parametrize("name", ["line_scan", "path_classify", "session_gaps", "gate_chain", "ledger_summary", "first_call_then_accounting", "unguarded_writes", "retrieval_metrics", "line_heuristics", "first_match_hypotheses", "checklist_build"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
