@@ -32,7 +32,10 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def tumbling_counts(events: DataFrame, minutes: int = 60, late: str = "2 hours") -> DataFrame:
-    """Calls, errors and summed value by window and type; works on batches and on streams (append mode)."""
+    """Calls, errors and summed value by window and type; works on batches and on streams.
+
+    In append mode a stream gives a window when the watermark has passed its end, in complete mode (``run_stream_whole``) every window.
+    """
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     return marked.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("value")).select(F.col("w.start").alias("start"), "event_type", "n", "value")
 
@@ -51,6 +54,26 @@ def run_stream(spark: SparkSession, source_dir: str, schema: T.StructType, patte
     return spark.read.parquet(f"{base}/out")
 
 
+def run_stream_whole(spark: SparkSession, source_dir: str, schema: T.StructType, pattern: str, transform, name: str) -> DataFrame:
+    """The same for an aggregation of which all groups count, open windows too: complete mode, so no row is late.
+
+    Each batch writes all groups to a table of its own, again if it is taken up after a failure; the last one is the result.
+    """
+    import uuid
+
+    base = f"{shared_dir(spark)}/lodeline/{name}-{uuid.uuid4().hex}"
+    stream = transform(spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(source_dir))
+    done: list[int] = []
+
+    def keep(groups: DataFrame, batch: int) -> None:
+        groups.write.mode("overwrite").parquet(f"{base}/out-{batch}")
+        done.append(batch)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/progress").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out-{max(done)}") if done else spark.createDataFrame([], stream.schema)
+
+
 def first_calls(events: DataFrame) -> DataFrame:
     """Of equal calls of a user, the first; a call is its type and canonical input."""
     key = F.sha2(F.concat_ws("|", "event_type", F.coalesce("props", F.lit(""))), 256)
@@ -112,13 +135,13 @@ def q_tumbling_counts(spark, sf_dir):
 
 
 def q_ledger_stream_windows(spark, sf_dir):
-    """Daily counts by the same operator as a stream over the event file, until all input is read."""
+    """Daily counts by the same operator as a stream over the event file, until all input is read; windows that are still open count too."""
     events = read(spark, sf_dir)
 
     def daily(stream):
         return tumbling_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), 24 * 60, "1 day")
 
-    out = run_stream(spark, sf_dir, events.schema, "events*.parquet", daily, "ledger-stream")
+    out = run_stream_whole(spark, sf_dir, events.schema, "events*.parquet", daily, "ledger-stream")
     return out.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("*").alias("windows"))
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodeline.functions import text as X
@@ -114,6 +115,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert closed is not None and {tuple(r) for r in out.collect()} == batch
 
 
+@pytest.mark.parametrize("minutes", [0, 7, 60])
+def test_a_stream_counts_every_window(spark, tmp_path, minutes):
+    import datetime as dt
+
+    import pandas as pd
+
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes * i), "view" if i % 3 else "error", float(i)) for i in reversed(range(400))]
+    pd.DataFrame(rows, columns=["event_id", "ts", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(f"{tmp_path}/events.parquet")
+    batch = {}
+    for _, ts, kind, _ in rows:
+        batch.setdefault(kind, []).append(ts.date())
+    got = {r.event_type: (r.n, r.windows) for r in S.q_ledger_stream_windows(spark, str(tmp_path)).collect()}
+    assert got == {kind: (len(days), len(set(days))) for kind, days in batch.items()}
+
+
 def test_shared_tables(spark):
     df = materialise(spark.range(100).withColumn("x", F.col("id") % 7), "t")
     small = materialise(spark.createDataFrame([(1, "a")], "x long, y string"), "s")
