@@ -5,10 +5,11 @@ block the window [floor((i - 1) / w), ceil(i / w)): release time and deadline. O
 released one of the earliest deadline. As the weights sum to 1 every block meets its window, so after any number of
 slots a source has less than one block more or less than its weight asks for.
 
-Weights are rounded to whole slots of a frame of RESOLUTION slots (each source at least one); the schedule of one
-frame repeats, so the driver works out one frame only and a row's slot follows from its block's number. When a source
-is used up, a new phase begins with the weights of the rest: no row is dropped or repeated. What the driver holds is
-one count a source and at most one frame a source, whatever the corpus.
+Weights are exact ratios: whole parts whose sum is the period, after which every source has just its share. Where the
+period is at most RESOLUTION slots, the schedule of one period is a frame that repeats, and the driver works out that
+frame only. Else the driver goes on from frame to frame of RESOLUTION slots with the open blocks carried over, and
+holds a number for each block (BLOCK_ROWS rows) of the phase. When a source is used up, a new phase begins with the
+weights of the rest, exact again: no row is dropped or repeated.
 
 Sources without a target share OTHER.
 """
@@ -16,7 +17,11 @@ Sources without a target share OTHER.
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +40,7 @@ TARGETS = {"src0": 0.23, OTHER: 0.01} | {f"src{i}": 0.04 for i in range(1, 20)}
 
 
 def whole_slots(weights: dict[str, float], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Slots of a frame by source: largest remainders, at least one each."""
+    """Weights rounded to whole slots of a frame: largest remainders, at least one each. Schedules use ``whole_parts``."""
     total = sum(weights.values())
     exact = {s: w / total * resolution for s, w in weights.items()}
     slots = {s: max(1, int(x)) for s, x in exact.items()}
@@ -46,43 +51,77 @@ def whole_slots(weights: dict[str, float], resolution: int = RESOLUTION) -> dict
     return slots
 
 
+def whole_parts(weights: dict[str, float]) -> dict[str, int]:
+    """The weights, as the decimal numbers that they are written as, in whole parts without a common divisor."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {s: int(x * unit) for s, x in exact.items()}
+    divisor = math.gcd(*parts.values())
+    return {s: a // divisor for s, a in parts.items()}
+
+
+def turns(parts: dict[str, int]) -> Iterator[str]:
+    """Earliest deadline first without end: the source of each slot."""
+    size = sum(parts.values())
+    waiting: list[tuple[int, str, int]] = [(0, s, 0) for s in sorted(parts)]
+    ready: list[tuple[int, str, int]] = []
+    t = 0
+    while True:
+        while waiting and waiting[0][0] <= t:
+            _, source, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * size // parts[source]), source, i))
+        deadline, source, i = heapq.heappop(ready)
+        assert t < deadline, "feasible weights met no deadline"
+        yield source
+        heapq.heappush(waiting, ((i + 1) * size // parts[source], source, i + 1))
+        t += 1
+
+
 def frame(slots: dict[str, int]) -> dict[str, list[int]]:
     """Earliest deadline first over one frame: the slots that each source gets."""
-    size = sum(slots.values())
-    releases: dict[int, list[tuple[int, str, int]]] = {}
-    for source, a in slots.items():
-        for i in range(a):
-            releases.setdefault(i * size // a, []).append((-(-(i + 1) * size // a), source, i))
     given: dict[str, list[int]] = {s: [] for s in slots}
-    ready: list[tuple[int, str, int]] = []
-    for t in range(size):
-        for job in releases.get(t, ()):
-            heapq.heappush(ready, job)
-        deadline, source, _ = heapq.heappop(ready)
-        assert t < deadline, "a feasible frame met no deadline"
+    for t, source in enumerate(islice(turns(slots), sum(slots.values()))):
         given[source].append(t)
     return given
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[tuple]:
-    """(source, phase, first block, end block, first slot, frame size, slots of a frame) until all blocks are placed."""
+def _schedule(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> Iterator[tuple]:
+    """The rows of ``phases``, each with the releases and deadlines of its frame's blocks, counted as its slots are."""
     left = {s: n for s, n in blocks.items() if n > 0}
-    done, start, out = dict.fromkeys(left, 0), 0, []
-    phase = 0
+    done, start, phase = dict.fromkeys(left, 0), 0, 0
     while left:
-        size = max(resolution, len(left))
-        slots = whole_slots({s: weights[s] for s in left}, size)
-        given = frame(slots)
-        # the phase ends with the last block of the source that is used up first
-        end = min((n - 1) // slots[s] * size + given[s][(n - 1) % slots[s]] for s, n in left.items()) + 1
-        for s in sorted(left):
-            used = end // size * slots[s] + bisect_left(given[s], end % size)
-            if used:
-                out.append((s, phase, done[s], done[s] + used, start, size, given[s]))
-            done[s] += used
+        parts = whole_parts({s: weights[s] for s in left})
+        period = sum(parts.values())
+        placed = dict.fromkeys(left, 0)  # in this phase
+        order, at = turns(parts), 0
+        while all(placed[s] < n for s, n in left.items()):
+            if period <= resolution:
+                size, given = period, frame(parts)
+                # the phase ends with the last block of the source that is used up first
+                end = min((n - 1) // parts[s] * size + given[s][(n - 1) % parts[s]] for s, n in left.items()) + 1
+                used = {s: end // size * parts[s] + bisect_left(given[s], end % size) for s in left}
+            else:
+                size, given, end = resolution, {s: [] for s in left}, 0
+                while end < size and all(placed[s] + len(own) < left[s] for s, own in given.items()):
+                    given[next(order)].append(end)
+                    end += 1
+                used = {s: len(own) for s, own in given.items()}
+            for s in sorted(left):
+                if used[s]:
+                    first, numbers = done[s] + placed[s], range(placed[s], placed[s] + len(given[s]))
+                    releases = [i * period // parts[s] - at for i in numbers]
+                    deadlines = [-(-(i + 1) * period // parts[s]) - at for i in numbers]
+                    yield s, phase, first, first + used[s], start + at, size, given[s], releases, deadlines
+                placed[s] += used[s]
+            at += end
+        done = {s: n + placed.get(s, 0) for s, n in done.items()}
         left = {s: blocks[s] - done[s] for s in left if blocks[s] > done[s]}
-        start, phase = start + end, phase + 1
-    return out
+        start, phase = start + at, phase + 1
+
+
+def phases(blocks: dict[str, int], weights: dict[str, float], resolution: int = RESOLUTION) -> list[tuple]:
+    """(source, phase, first block, end block, first slot, frame size, slots of a frame) until all blocks are placed."""
+    return [row[:7] for row in _schedule(blocks, weights, resolution)]
 
 
 def _named(source: Column, weights: dict[str, float]) -> Column:
@@ -99,7 +138,7 @@ def _placed(docs: DataFrame, weights: dict[str, float], block_rows: int, resolut
     counts = {r["of"]: r["n"] for r in rows.groupBy("of").agg(F.count("*").alias("n")).collect()}  # at most one a target
     spark = docs.sparkSession
     buckets = spark.createDataFrame([(s, max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))) for s, n in counts.items()], "of string, buckets long")
-    plan = spark.createDataFrame(phases({s: -(-n // block_rows) for s, n in counts.items()}, weights, resolution), "of string, phase int, first long, beyond long, start long, size long, slots array<int>")
+    plan = spark.createDataFrame(list(_schedule({s: -(-n // block_rows) for s, n in counts.items()}, weights, resolution)), "of string, phase int, first long, beyond long, start long, size long, slots array<int>, releases array<long>, deadlines array<long>")
 
     rows = rows.join(F.broadcast(buckets), "of").withColumn("bucket", F.floor(F.col("draw") * F.col("buckets") / F.lit(1 << 40)).cast("int")).drop("buckets")
     offsets = rows.groupBy("of", "bucket").agg(F.count("*").alias("n"))
@@ -110,7 +149,8 @@ def _placed(docs: DataFrame, weights: dict[str, float], block_rows: int, resolut
     placed = join_checked(ranked, offsets, ["of", "bucket"]).withColumn("block", F.floor(index / F.lit(block_rows))).withColumn("within", index % F.lit(block_rows))
     placed = placed.join(F.broadcast(plan.withColumnRenamed("of", "planned")), (F.col("of") == F.col("planned")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("beyond")))
     local, a = F.col("block") - F.col("first"), F.size("slots")
-    slot = F.col("start") + F.floor(local / a) * F.col("size") + F.element_at("slots", (local % a + 1).cast("int"))
+    frame_start, nth = F.col("start") + F.floor(local / a) * F.col("size"), (local % a + 1).cast("int")
+    slot = frame_start + F.element_at("slots", nth)
     return placed.select(
         "row",
         F.struct(
@@ -118,8 +158,8 @@ def _placed(docs: DataFrame, weights: dict[str, float], block_rows: int, resolut
             slot.alias("slot"),
             "phase",
             "block",
-            (F.col("start") + F.floor(local * F.col("size") / a)).alias("release"),
-            (F.col("start") + F.ceil((local + 1) * F.col("size") / a)).alias("deadline"),
+            (frame_start + F.element_at("releases", nth)).alias("release"),
+            (frame_start + F.element_at("deadlines", nth)).alias("deadline"),
         ).alias("mixed"),
     )
 

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 
@@ -57,3 +58,52 @@ def test_rows_windows_and_deviation(spark):
     assert M.mix(df.limit(0), weights).count() == 0
     with pytest.raises(ValueError):
         M.mix(df, {"src0": 0})
+
+
+def deviations(blocks, weights, resolution):
+    """By phase: its slots, and the most blocks by which a source deviates from its exact weight after any slot."""
+    by_slot = {}
+    for s, phase, first, beyond, start, size, given in M.phases(blocks, weights, resolution):
+        for k in range(beyond - first):
+            by_slot[start + k // len(given) * size + given[k % len(given)]] = (phase, s)
+    assert sorted(by_slot) == list(range(sum(blocks.values())))
+    out, left = {}, dict(blocks)
+    for phase in sorted({p for p, _ in by_slot.values()}):
+        order = [by_slot[t][1] for t in range(len(by_slot)) if by_slot[t][0] == phase]
+        live = {s: Fraction(str(weights[s])) for s in left if left[s]}
+        n, most = Counter(), 0
+        for t, s in enumerate(order, 1):
+            n[s] += 1
+            most = max(most, *(abs(n[x] - t * w / sum(live.values())) for x, w in live.items()))
+        out[phase] = (len(order), float(most))
+        left = {s: left[s] - n[s] for s in left}
+    return out
+
+
+@pytest.mark.parametrize(
+    "blocks, weights",
+    [
+        ({"src0": 12000, M.OTHER: 300} | {f"src{i}": 60 * i + 80 for i in range(1, 20)}, M.TARGETS),
+        ({"a": 4000, "b": 2000, "c": 3}, {"a": 2 / 3, "b": 1 / 3, "c": 0.0004}),  # long periods, and less than a slot of a frame
+        ({"a": 5000, "b": 2500, "c": 1500}, {"a": 0.55555, "b": 0.27777, "c": 0.16668}),
+    ],
+)
+def test_every_phase_stays_within_one_block_of_the_exact_weights(blocks, weights):
+    got = deviations(blocks, weights, M.RESOLUTION)
+    assert len(got) >= 2 and max(n for n, _ in got.values()) > 3 * M.RESOLUTION
+    assert all(most < 1 for _, most in got.values()), got
+
+
+def test_rows_follow_exact_weights_over_frames(spark):
+    df = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 10 < 5 THEN 'a' WHEN id % 10 < 8 THEN 'b' ELSE 'c' END AS source", "CAST(id AS string) AS text")
+    weights = {"a": 0.55555, "b": 0.27777, "c": 0.16667, M.OTHER: 0.00001}
+    got = M.mix(df, weights, block_rows=1, resolution=50).collect()
+    assert sorted(r.mixed.slot for r in got) == list(range(6000))
+    assert all(r.mixed.release <= r.mixed.slot < r.mixed.deadline for r in got)
+    order = [r.source for r in sorted(got, key=lambda r: r.mixed.slot) if r.mixed.phase == 0]
+    live = {s: weights[s] / (1 - weights[M.OTHER]) for s in "abc"}
+    n = Counter()
+    for t, s in enumerate(order, 1):
+        n[s] += 1
+        assert all(abs(n[x] - t * w) < 1 + 1e-9 for x, w in live.items())
+    assert len(order) > 5000
