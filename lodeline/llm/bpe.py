@@ -156,8 +156,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     return docs.withColumn(out, encode_column(path, pattern)(F.col(text)))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode each text, decode the ids again, and keep the digests of both, by document.
+def round_trip(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFrame:
+    """Encode each text, decode the ids again, and keep the digests of both, by document, with the columns ``keep``.
 
     Ids leave the worker only as their digest: at corpus scale they are several times the text.
     """
@@ -167,6 +167,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             T.StructField("n_tokens", T.LongType()),
             T.StructField("ids_sha256", T.StringType()),
             T.StructField("decoded_sha256", T.StringType()),
+            *(docs.schema[c] for c in keep),
         ]
     )
 
@@ -183,12 +184,12 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 encoded.append(hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string()), *batch.columns[2:]],
                 names=schema.names,
             )
 
     bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,6 +181,21 @@ def mixed_order(docs: DataFrame, weights: dict[str, float], block_rows: int = BL
     return _placed(docs, weights, block_rows, resolution).repartitionByRange(position).sortWithinPartitions(position).select("row.*")
 
 
+def written_order(docs: DataFrame) -> DataFrame:
+    """The rows of a table that Spark wrote, read from its Parquet files, with their ``position``: 0, 1, ... in file order.
+
+    Readers deal files out by size, so a frame's own order says nothing; the numbers of the written partition and of
+    its file, and the row's number within the file, do. Of each file only its name and count are gathered.
+    """
+    name = F.col("_metadata.file_name")
+    rows = docs.select("*", name.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = docs.select(name.alias("_file")).groupBy("_file").agg(F.count("*").alias("n"))
+    numbers = [F.regexp_extract("_file", pattern, 1).try_cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    before = F.sum("n").over(Window.orderBy(*numbers, "_file").rowsBetween(Window.unboundedPreceding, -1))
+    files = files.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(files), "_file").withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position of every document in the mixture of all sources to TARGETS."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")

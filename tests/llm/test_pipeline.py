@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 import pytest
 
@@ -46,3 +48,33 @@ def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_result_follows_the_target_weights(spark, tmp_path):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=60)), "en", "src0" if i < 800 else f"src{1 + i % 4}", 0) for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.position, r.doc_id) for r in C.run(spark, str(tmp_path)).collect())
+    assert [p for p, _ in got] == list(range(len(got))) and len(got) > 1350
+    weights = {f"src{i}": mixing.TARGETS[f"src{i}"] for i in range(5)}
+    seen, left = Counter(), Counter(rows[i][3] for _, i in got)
+    for position, doc in got:
+        seen[rows[doc][3]] += 1
+        if max(seen[s] - left[s] for s in weights) == 0:  # a source is used up
+            break
+        for s, w in weights.items():
+            assert abs(seen[s] - (position + 1) * w / sum(weights.values())) < 2 * mixing.BLOCK_ROWS
+    assert position > 800
+
+
+def test_written_order_is_that_of_the_mixture(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id AS doc_id", "concat('t', id % 4900) AS text", "concat('src', id % 7) AS source")
+    want = {r.doc_id: n for n, r in enumerate(sorted(mixing.mix(df, mixing.TARGETS).collect(), key=lambda r: r.mixed.position))}
+    path = f"{tmp_path}/mixed"
+    mixing.mixed_order(df, mixing.TARGETS).write.option("maxRecordsPerFile", 300).parquet(path)
+    for shuffled in ("1k", "128m"):  # how the reader deals files out has no effect
+        spark.conf.set("spark.sql.files.maxPartitionBytes", shuffled)
+        got = {r.doc_id: r.position for r in mixing.written_order(spark.read.parquet(path)).collect()}
+        assert got == want
