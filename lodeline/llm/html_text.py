@@ -231,12 +231,13 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of (page_id, url, html).
 
     Null and empty pages give an empty text. Pages without a host share one group; hosts of fewer than LEAST_PAGES
-    pages have an empty template, and the element rules alone decide. Repeated rows count as pages of their own and
-    give the same text; further columns are not read; an empty table gives an empty result.
+    distinct pages have an empty template, and the element rules alone decide. Rows of a host with the same html count as one
+    page for the template, as copies do not tell it from text, and give the same text; further columns are not read; an empty table gives an empty result.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    found = materialise(templates(rows.select("host", F.col("page_id").alias("page"), "html")), "templates")
+    bodies = rows.select("host", "html").distinct().withColumn("page", F.sha2("html", 256))
+    found = materialise(templates(bodies), "templates")
 
     @F.pandas_udf("string")
     def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

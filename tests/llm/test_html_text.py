@@ -62,3 +62,11 @@ def test_vectors_tell_apart_who_occurs_where(spark):
     b = H.Page("<b>y</b>").tokens
     by = {r.token: (r.pages, r.low, r.high) for r in got}
     assert by[p[0][0]] == by[p[-1][0]] == by[p[1][0]] != by[b[0][0]]
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<html><body><div><p>First real line.</p><p>Second real line.</p></div></body></html>"
+    rows = [(i, "http://copies.example/a", page) for i in range(5)] + [(9, "http://copies.example/b", page.replace("Second", "Third"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert got == {i: "First real line.\nSecond real line." for i in range(5)} | {9: "First real line.\nThird real line."}
