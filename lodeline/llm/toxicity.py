@@ -135,18 +135,44 @@ class Presence:
             row[found] = 1
         return out
 
+    def change(self, before: str, after: str) -> list[tuple[int, int]]:
+        """(n-gram, +1 or -1) of those that only one of two texts holds."""
+        old, new = set(self.of(before)), set(self.of(after))
+        return sorted([(i, 1) for i in new - old] + [(i, -1) for i in old - new])
+
+
+def swap_products(sample: DataFrame, names: list[str]) -> DataFrame:
+    """i, j, total: sums of the products of two n-grams' changes over every swap of every labelled sentence.
+
+    With them the penalty, the mean squared change of the logit, is a quadratic form of the weights, so no swap leaves
+    its task. The row (-1, -1) holds the number of swaps that change anything. At most FEATURES ** 2 + 1 rows.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        presence = Presence(names)
+        for batch in batches:
+            sums: Counter = Counter()
+            for text in batch["text"]:
+                for swap, times in Counter(counterfactuals(text)).items():
+                    change = presence.change(*swap)
+                    sums[-1, -1] += times * bool(change)
+                    for i, a in change:
+                        for j, b in change:
+                            sums[i, j] += times * a * b
+            yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["i", "j", "total"])
+
+    return sample.mapInPandas(run, "i int, j int, total long").groupBy("i", "j").agg(F.sum("total").alias("total"))
+
 
 def _fit(x: np.ndarray, y: np.ndarray, swaps: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Accelerated projected gradient on balanced log loss + ridge + squared change of the logit over the swaps."""
+    """Accelerated projected gradient on balanced log loss + ridge + the quadratic form ``swaps`` of the weights."""
     weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, len(y) - y.sum())).astype(np.float32)
     w, b, w_at, b_at = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
-    bound = 0.25 * float(weight @ (x**2).sum(axis=1) + weight.sum()) + 2 * RIDGE + 2 * COUNTERFACTUAL * float((swaps**2).sum() / max(1, len(swaps)))
+    bound = 0.25 * float(weight @ (x**2).sum(axis=1) + weight.sum()) + 2 * RIDGE + 2 * COUNTERFACTUAL * float(np.trace(swaps))
     step = 1.0 / bound
     for k in range(rounds):
         error = weight * (1 / (1 + np.exp(-np.clip(x @ w_at + b_at, -30, 30))) - y)
-        g = x.T @ error + 2 * RIDGE * w_at
-        if len(swaps):
-            g += 2 * COUNTERFACTUAL / len(swaps) * (swaps.T @ (swaps @ w_at))
+        g = x.T @ error + 2 * RIDGE * w_at + 2 * COUNTERFACTUAL * (swaps @ w_at)
         new, new_b = np.maximum(w_at - step * g, 0), b_at - step * float(error.sum())
         momentum = k / (k + 3)
         w_at, b_at = new + momentum * (new - w), new_b + momentum * (new_b - b)
@@ -182,7 +208,11 @@ def _calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """The classifier of the bounded sample. The driver receives feature numbers of the sample, never texts."""
+    """The classifier of the bounded sample.
+
+    The driver receives the feature numbers of its 2 * SAMPLE_A_CLASS rows and the sums of ``swap_products``, never texts.
+    Without labels of both classes, or without tables' rows, it has no features and one score.
+    """
     bound_batches(docs.sparkSession)
     sample = materialise(training_rows(docs, labels), "toxic-texts")
     counts = _feature_counts(sample)
@@ -199,31 +229,23 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     def run(batches: Iterator) -> Iterator:
         presence = Presence(names)
         for batch in batches:
-            swaps = [[presence.of(s) for s in pair] for text in batch["text"] for pair in counterfactuals(text)[:50]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"].tolist() + [-1] * len(swaps),
-                    "toxic": batch["toxic"].tolist() + [-1] * len(swaps),
-                    "found": [presence.of(normalised(t)) for t in batch["text"]] + [a for a, _ in swaps],
-                    "swapped": [[] for _ in range(len(batch))] + [b for _, b in swaps],
-                }
-            )
-
-    rows = sample.mapInPandas(run, "doc_id long, toxic int, found array<int>, swapped array<int>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "found": [presence.of(normalised(t)) for t in batch["text"]]})
+
     presence = Presence(names)
-    labelled, swaps = rows[rows["toxic"] >= 0], rows[rows["toxic"] < 0]
+    labelled = sample.mapInPandas(run, "doc_id long, toxic int, found array<int>").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
     x, y = presence.matrix([list(v) for v in labelled["found"]]), labelled["toxic"].to_numpy(np.float32)
-    before = [list(v) for v in swaps["found"]]
-    after = [list(v) for v in swaps["swapped"]]
-    for kind in IDENTITY_TERMS:
-        for term in kind[1:]:
-            for carrier in CARRIERS:
-                before.append(presence.of(f" {carrier.format(term)} "))
-                after.append(presence.of(f" {carrier.format(kind[0])} "))
-    change = presence.matrix(after) - presence.matrix(before)
-    change = change[np.abs(change).sum(axis=1) > 0]
+    products = swap_products(sample, names).toPandas()
+    swaps, n = np.zeros((len(names), len(names)), np.float32), int(products["total"][products["i"] < 0].sum())
+    products = products[products["i"] >= 0]
+    swaps[products["i"], products["j"]] = products["total"]
+    for term, neutral in ((t, kind[0]) for kind in IDENTITY_TERMS for t in kind[1:]):
+        for carrier in CARRIERS:
+            change = presence.change(f" {carrier.format(term)} ", f" {carrier.format(neutral)} ")
+            n += bool(change)
+            at = [i for i, _ in change]
+            swaps[np.ix_(at, at)] += np.outer([v for _, v in change], [v for _, v in change])
     back = np.arange(len(y)) % 5 == 4
-    w, b = _fit(x[~back], y[~back], change)
+    w, b = _fit(x[~back], y[~back], swaps / max(1, n))
     scale, offset = _calibrated(x[back] @ w + b, y[back])
     return Classifier(names, w * np.float32(scale), b * scale + offset)
 

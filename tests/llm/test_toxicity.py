@@ -37,11 +37,28 @@ def test_penalty_takes_the_weight_off_a_swapped_term():
     x = (rng.random((400, 3)) < 0.5).astype(np.float32)
     y = np.maximum(x[:, 0], (rng.random(400) < 0.2) * x[:, 1]).astype(np.float32)
     swaps = np.array([[0, 1, 0], [0, 1, -1]], np.float32)
-    free, _ = X._fit(x, y, np.zeros((0, 3), np.float32))
-    held, _ = X._fit(x, y, swaps)
+    free, _ = X._fit(x, y, np.zeros((3, 3), np.float32))
+    held, _ = X._fit(x, y, swaps.T @ swaps / len(swaps))
     assert abs(held[1]) < 0.3 * abs(free[1]) and held[0] > 1
 
 
+def test_every_swap_of_a_text_counts(spark):
+    text = "Some women came. " * 70 + "The jews and the women left. " * 40
+    names = sorted(X.grams(" some women jews people christians "))
+    presence = X.Presence(names)
+    plain = np.zeros((len(names), len(names)), int)
+    swaps = X.counterfactuals(text)
+    assert len(swaps) == 150
+    for before, after in swaps:
+        change = np.zeros(len(names), int)
+        change[presence.of(after)] += 1
+        change[presence.of(before)] -= 1
+        plain += np.outer(change, change)
+    got = {(r.i, r.j): r.total for r in X.swap_products(spark.createDataFrame([(text,), (None,)], "text string"), names).collect()}
+    assert got.pop((-1, -1)) == 150
+    assert {k: v for k, v in got.items() if v} == {(int(i), int(j)): int(plain[i, j]) for i, j in zip(*np.nonzero(plain), strict=True)}
+
+
 def test_held_out_rows_odd_rows_and_neutral_mentions(spark):
     rng = random.Random(6)
     docs, labels = corpus(rng)
