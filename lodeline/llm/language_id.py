@@ -1,15 +1,15 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-Every cell of the filter is a 64-bit word with one bit a language, so one lookup (the AND of the n-gram's
+Every cell of the filter has one bit a language, in 64-bit words, so one lookup (the AND of the n-gram's
 cells) returns the languages that hold the n-gram, all at once. A document's popcount for a language is the
 number of its n-grams with that bit. A language whose slice is filled to f answers "yes" to a foreign
 n-gram with probability p = f ** hashes; the corrected count is (popcount - p * n) / (1 - p). The language
 of the greatest corrected count wins; its share of the n-grams is the score.
 
 Training reads text and lang only: documents whose crc32(doc_id) mod 4 is not 2, at most SAMPLE_A_LANGUAGE of
-each language by a hash of the id. An n-gram enters a language that has it at least LEAST_RATE of the time and
-at least LEAST_SHARE of the rate of the language that has it most, so words that a document quotes from
-another language do not.
+each language by a hash of the id. A language contains an n-gram if it has it at LEAST_SHARE or more of the rate of the
+language that has it most, so words that a document quotes from another language are not its own. Spark ORs the bits of
+each cell; the driver receives cells.
 """
 
 from __future__ import annotations
@@ -24,17 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.llm.chunks import code_points, indexed_words, text_chunks
-from lodeline.plans.shared import bound_batches, join_checked, materialise
+from lodeline.plans.shared import bound_batches, discard, join_checked, materialise
 
 NGRAM = 4
 SAMPLE_A_LANGUAGE = 3000
-#: Bits of a word: the most languages one filter tells apart; the most frequent ones are learned.
-MOST_LANGUAGES = 64
-LEAST_RATE = 2e-6
 LEAST_SHARE = 0.05
 HASHES = 3
-#: Cells (a power of two); fixed, so that the model's size is.
-CELLS = 1 << 20
+#: Languages a word of a cell holds.
+WORD_BITS = 64
+#: Cells (a power of two) of up to MODEL_BYTES together; beyond (512 languages), they are halved until they fit.
+CELLS, MODEL_BYTES = 1 << 20, 64 << 20
 UNDETERMINED = "und"
 #: Documents whose score is below are rejected by ``accepted``.
 REJECT_BELOW = 0.05
@@ -99,8 +98,8 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_A_LANGUAGE) -> Dat
     the ranking within a language touches only a little more than the sample.
     """
     usable = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    languages = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    near = usable.join(F.broadcast(languages), "lang").where(F.col("draw") * F.col("n") <= F.lit(1.5 * per_language * (1 << 30)))
+    languages = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    near = usable.join(languages, "lang").where(F.col("draw") * F.col("n") <= F.lit(1.5 * per_language * (1 << 30)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
     ids = near.select("lang", "doc_id", "draw", F.xxhash64("text").alias("text")).withColumn("rank", rank).where(F.col("rank") <= per_language)
     chosen = materialise(ids.select("lang", "doc_id").distinct(), "language-sample")
@@ -123,40 +122,53 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
 
+def cells_for(languages: int) -> int:
+    """Cells of a filter of so many languages."""
+    cells = CELLS
+    while cells * 8 * -(-languages // WORD_BITS) > MODEL_BYTES and cells > 1:
+        cells //= 2
+    return cells
+
+
 class LanguageFilters:
-    """The bit-sliced filter: an array of words, the languages of the bits, and each slice's false-positive rate."""
+    """The bit-sliced filter: words by (word, cell), the languages of the bits, and each slice's false-positive rate."""
 
     def __init__(self, languages: list[str], cells: np.ndarray, hashes: int = HASHES):
         self.languages, self.cells, self.hashes = languages, cells, hashes
-        filled = np.array([np.count_nonzero(cells & np.uint64(1 << i)) for i in range(len(languages))], float) / len(cells)
+        filled = np.array([np.count_nonzero(self._slice(cells, i)) for i in range(len(languages))], float) / cells.shape[1]
         self.false_rate = np.minimum(filled**hashes, 0.999)
 
+    @staticmethod
+    def _slice(words: np.ndarray, language: int) -> np.ndarray:
+        word, bit = divmod(language, WORD_BITS)
+        return (words[word] >> np.uint64(bit)) & np.uint64(1)
+
     @classmethod
     def empty(cls, languages: list[str]) -> LanguageFilters:
-        return cls(languages, np.zeros(CELLS, np.uint64))
+        return cls(languages, np.zeros((max(1, -(-len(languages) // WORD_BITS)), cells_for(len(languages))), np.uint64))
 
-    @staticmethod
-    def places(h: np.ndarray, hashes: int = HASHES, cells: int = CELLS) -> Iterator[np.ndarray]:
+    def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
         first, step = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        for j in range(hashes):
-            yield ((first + np.uint64(j) * step) & np.uint64(cells - 1)).astype(np.int64)
+        for j in range(self.hashes):
+            yield ((first + np.uint64(j) * step) & np.uint64(self.cells.shape[1] - 1)).astype(np.int64)
 
     def insert(self, h: np.ndarray, language: int) -> None:
-        for place in self.places(h, self.hashes):
-            self.cells[place] |= np.uint64(1 << language)
+        word, bit = divmod(language, WORD_BITS)
+        for place in self.places(h):
+            self.cells[word, place] |= np.uint64(1 << bit)
 
     def holders(self, h: np.ndarray) -> np.ndarray:
-        """A word a hash: the bits of all languages that hold it."""
-        found = np.full(len(h), np.uint64((1 << 64) - 1))
-        for place in self.places(h, self.hashes):
-            found &= self.cells[place]
+        """(word, hash): the bits of all languages that hold each hash."""
+        found = np.full((len(self.cells), len(h)), np.uint64((1 << 64) - 1))
+        for place in self.places(h):
+            found &= self.cells[:, place]
         return found
 
     def popcounts(self, words: list[str]) -> np.ndarray:
         """A row a word: its n-grams by language, then their number."""
         h, word = ngram_hashes(words)
         bits = self.holders(h)
-        one = [np.bincount(word, (bits >> np.uint64(i)) & np.uint64(1), len(words)) for i in range(len(self.languages))]
+        one = [np.bincount(word, self._slice(bits, i), len(words)) for i in range(len(self.languages))]
         return np.stack([*one, np.bincount(word, minlength=len(words))], axis=1)
 
     def judge(self, texts: list[str]) -> Iterator[tuple[str, float]]:
@@ -173,26 +185,38 @@ class LanguageFilters:
             yield self.languages[best], float(min(1.0, corrected[best] / total[-1]))
 
 
+def entering_ngrams(counts: DataFrame) -> DataFrame:
+    """lang, h of the n-grams that a language contains, from (lang, h, n)."""
+    rated = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("total")), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    return rated.join(rated.groupBy("h").agg(F.max("rate").alias("top")), "h").where(F.col("rate") >= LEAST_SHARE * F.col("top")).select("lang", "h")
+
+
+def filled_cells(entering: DataFrame, languages: list[str], filters: LanguageFilters) -> DataFrame:
+    """word, place, bits: the cells of an empty filter after all n-grams are in; at most one row a cell."""
+    numbers = entering.sparkSession.createDataFrame(list(enumerate(languages)), "number int, lang string")
+    first, step = F.col("h").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1))
+    places = F.array(*((first + j * step).bitwiseAND(F.lit(filters.cells.shape[1] - 1)) for j in range(filters.hashes)))
+    bits = F.expr(f"shiftleft(1L, number % {WORD_BITS})")
+    spread = entering.join(numbers, "lang").select((F.col("number") / WORD_BITS).cast("int").alias("word"), F.explode(places).alias("place"), bits.alias("bits"))
+    return spread.groupBy("word", "place").agg(F.bit_or("bits").alias("bits"))
+
+
 def train(docs: DataFrame) -> LanguageFilters:
-    """Filters of the bounded sample; counting is distributed, the driver receives only n-grams that enter a filter."""
+    """Filters of the bounded sample; the driver receives the languages and the filled cells."""
     bound_batches(docs.sparkSession)
     counts = materialise(_counted(training_rows(docs)), "language-ngrams")
-    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
-    languages = sorted(totals)
-    rated = counts.join(F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("total"))), "lang").withColumn("rate", F.col("n") / F.col("total"))
-    top = rated.groupBy("h").agg(F.max("rate").alias("top"))
-    entering = rated.where(F.col("rate") >= LEAST_RATE).join(top, "h").where(F.col("rate") >= LEAST_SHARE * F.col("top"))
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     filters = LanguageFilters.empty(languages)
-    for i, lang in enumerate(languages):  # at most 1 / LEAST_RATE n-grams a language
-        found = entering.where(F.col("lang") == lang).select("h").toPandas()["h"].to_numpy(np.int64)
-        filters.insert(found.view(np.uint64), i)
+    found = filled_cells(entering_ngrams(counts), languages, filters).toPandas()
+    filters.cells[found["word"].to_numpy(np.int64), found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    discard(counts)
     return LanguageFilters(languages, filters.cells)
 
 
 def judged(spark: SparkSession, filters: LanguageFilters):
     """A Pandas UDF: text -> (lang_pred, score)."""
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast((filters.languages, filters.cells))  # CELLS words, whatever the corpus
+    shared = spark.sparkContext.broadcast((filters.languages, filters.cells))  # MODEL_BYTES at most
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

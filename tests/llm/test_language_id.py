@@ -33,7 +33,7 @@ def test_filters_hold_what_was_inserted_and_little_else():
     filters.insert(h[:20_000], 0)
     filters.insert(h[10_000:20_000], 1)
     filters = L.LanguageFilters(filters.languages, filters.cells)
-    bits = filters.holders(h)
+    (bits,) = filters.holders(h)
     assert (bits[:10_000] & 1).all() and (bits[10_000:20_000] & 3 == 3).all()
     assert (bits[20_000:] != 0).mean() < 0.01
     assert 0 < filters.false_rate[1] < filters.false_rate[0] < 0.01
@@ -61,6 +61,33 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert {r.doc_id for r in kept.collect()} == set(truth) - {1000, 1001, 1002}
 
 
+def test_more_languages_than_a_word_holds(spark):
+    letters = [chr(0x4E00 + i) for i in range(280)]
+    names = [f"l{i:02d}" for i in range(70)]
+    rng = random.Random(8)
+    rows = [(i * 70 + j, " ".join("".join(rng.choices(letters[4 * j : 4 * j + 4], k=5)) for _ in range(12)), name) for j, name in enumerate(names) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = L.train(df)
+    assert filters.languages == names and filters.cells.shape == (2, L.CELLS)
+    assert all(r.lang_pred == rows_lang for r, rows_lang in zip(L.predict(df, filters).collect(), [r[2] for r in rows], strict=True))
+    assert L.cells_for(64) == L.CELLS and L.cells_for(10_000) * 8 * 157 <= L.MODEL_BYTES
+
+
+def test_spark_fills_the_cells_that_insertion_fills(spark):
+    rng = np.random.default_rng(3)
+    h = rng.integers(-(2**63), 2**63 - 1, 500)
+    names = [f"l{i}" for i in range(65)]
+    pairs = [(names[int(i)], int(x)) for i, x in zip(rng.integers(0, 65, 500), h, strict=True)]
+    plain = L.LanguageFilters.empty(names)
+    for lang, x in pairs:
+        plain.insert(np.array([x]).view(np.uint64), names.index(lang))
+    found = L.filled_cells(spark.createDataFrame(pairs, "lang string, h long"), names, plain).collect()
+    cells = np.zeros_like(plain.cells)
+    for r in found:
+        cells[r.word, r.place] = np.array([r.bits]).view(np.uint64)[0]
+    assert (cells == plain.cells).all()
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in L.predict(df, L.train(df)).collect()] == ["und"]
