@@ -3,11 +3,17 @@
 A page is read as tokens: opened and closed elements, told apart by their path, and text blocks, told apart by path
 and text. Over the pages of a host, tokens with the same occurrence vector (how often on which page) form an
 equivalence class; the vector is summed up in a fingerprint, so Spark groups tokens by aggregation and no host's pages
-meet in a task. Large classes that most pages of the host have are valid: the one of tokens that occur once on every
-page is the skeleton, classes that repeat within it (list items, paragraphs) nest in its gaps. What lies between the
-template's tokens are slots. A slot is main text unless it lies in an element of page furniture (by element name, or
-by words of class, id or role); if the page has an article or main element, only slots within are. Text blocks that
-the template itself holds are furniture too, outside an article: what a host's pages repeat.
+meet in a task. A large and frequent class is valid if its tokens follow each other in one order on the pages that
+have it, and nests in one gap of one other class (or in none): the class of tokens that occur once on every page is the
+skeleton, list items and optional parts lie in its gaps. Pages vote on order and gap, each by a hash, and Spark counts
+the votes. The valid classes are the host's template; what lies between its tokens are slots. The main text is the text
+of the slots, so a block that the template itself holds goes, in an article too. Where templates would take half or more
+of the text of a host's articles, the pages are copies of an article rather than instances of a template, and
+text in articles stays.
+
+The names of elements, classes, ids and roles break ties that repetition cannot: text that varies from page to page, but
+is page furniture. If the page has an article or main element, only slots within are main text. Names that are also
+words of content (AMBIGUOUS, in a compound) mark furniture in an article only where the template has the element.
 
 Blocks are runs of text between block-level tags, with character references decoded and white space (a br too) as one
 space.
@@ -19,17 +25,22 @@ import html as html_lib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeline.plans.shared import bound_batches, join_checked, materialise
+from lodeline.plans.shared import bound_batches, discard, join_checked, materialise
 
 #: A class is valid on a host if at least so many pages, and this share of them, have its tokens.
 LEAST_PAGES, LEAST_SHARE = 3, 0.5
 #: Tokens of a valid class at least.
 LEAST_TOKENS = 2
+#: A class is valid if this share of the pages that have it agree on its order and gap.
+AGREEING = 0.9
+#: From this share of the articles' text on, a template is taken for copies of one article.
+MOST_OF_ARTICLES = 0.5
 
 #: Elements without content, with raw content, that break a block, and of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +53,7 @@ MAIN = frozenset("article main".split())
 #: Words of class, id or role that mark furniture, in whole and as beginnings.
 MARKS = frozenset("ad ads adv nav navbar menu header masthead footer sidebar side aside notice notices cookie cookies consent gdpr banner promo popup modal overlay share sharing social related recommended comments comment commentlist respond disqus subscribe newsletter breadcrumb breadcrumbs pagination pager toolbar search login signup alert widget skip".split())
 MARK_STARTS = ("advert", "sponsor", "comment", "cookie", "newsletter", "breadcrumb", "sidebar", "navigation", "reader-comment")
+AMBIGUOUS = frozenset("menu header side aside notice notices share sharing social related recommended respond search login signup alert widget skip toolbar popup modal overlay footer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+>|[^>]*>)""", re.S)
@@ -58,16 +70,31 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def _marked(words: str) -> bool:
-    return any(w in MARKS or w.startswith(MARK_STARTS) for w in re.split(r"[\s_-]+", words.lower()) if w) or any(w.startswith(MARK_STARTS) for w in words.lower().split())
+def _marked(words: str) -> tuple[bool, bool]:
+    """Whether class, id and so on mark furniture, surely and perhaps (by an ambiguous word of a compound)."""
+    names = words.lower().split()
+    parts = [w for name in names for w in re.split(r"[_-]+", name) if w]
+    sure = any(w in MARKS or w.startswith(MARK_STARTS) for w in names) or any((w in MARKS and w not in AMBIGUOUS) or w.startswith(MARK_STARTS) for w in parts)
+    return sure, any(w in AMBIGUOUS for w in parts)
+
+
+class Block(NamedTuple):
+    """A text block: surely furniture, in an ambiguously named element outside an article, in an article, and the
+    tokens of such elements within the article."""
+
+    text: str
+    furniture: bool
+    perhaps: bool
+    main: bool
+    doubts: tuple[int, ...]
 
 
 class Page:
-    """Tokens of a page in order: (hash, None) of an element, (hash, (text, furniture, main)) of a block."""
+    """Tokens of a page in order: (hash, None) of an element, (hash, block) of a text block."""
 
     def __init__(self, source: str | None):
-        self.tokens: list[tuple[int, tuple[str, bool, bool] | None]] = []
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
+        self.tokens: list[tuple[int, Block | None]] = []
+        self._stack: list[tuple] = [("", 0, False, False, False, ())]  # name, path, and a block's flags
         self._pieces: list[str] = []
         self._read(source or "")
 
@@ -75,13 +102,12 @@ class Page:
         text = " ".join("".join(self._pieces).split())
         self._pieces.clear()
         if text:
-            _, path, furniture, main = self._block
-            self.tokens.append((_hash(f"{path}#{text}"), (text, furniture, main)))
+            self.tokens.append((_hash(f"{self._block[1]}#{text}"), Block(text, *self._block[2:])))
 
     def _text(self, text: str) -> None:
         if text:
             top = self._stack[-1]
-            if not self._pieces or (top[2], top[3]) != self._block[2:]:
+            if not self._pieces or top[2:] != self._block[2:]:
                 self._flush()
                 self._block = top
             self._pieces.append(text)
@@ -117,7 +143,7 @@ class Page:
                 if self._stack[depth][0] in ends:
                     self._pop_to(depth)
                     break
-        _, path, furniture, main = self._stack[-1]
+        _, path, furniture, perhaps, main, doubts = self._stack[-1]
         marks, hidden, role = "", False, ""
         if len(rest) > 1:
             for key, a, b, c in _ATTRIBUTE.findall(rest):
@@ -130,8 +156,15 @@ class Page:
         if name in VOID:
             return
         furniture = furniture or name in FURNITURE or (name == "header" and not main) or hidden or role in ROLES
-        furniture = furniture or bool(marks) and name not in ("html", "body", "article", "main") and _marked(marks)
-        self._stack.append((name, path, furniture, main or name in MAIN or role == "main"))
+        if name in MAIN or role == "main":
+            main, perhaps = True, False
+        if marks and name not in ("html", "body", "article", "main"):
+            sure, ambiguous = _marked(marks)
+            furniture = furniture or sure
+            if ambiguous and main:
+                doubts = (*doubts, path)
+            perhaps = perhaps or (ambiguous and not main)
+        self._stack.append((name, path, furniture, perhaps, main, doubts))
 
     def _close(self, name: str) -> None:
         for depth in range(len(self._stack) - 1, 0, -1):
@@ -175,18 +208,15 @@ class Page:
         self._pop_to(1)
         self._flush()
 
-    def slots(self, template: set[int]) -> Iterator[tuple[str, bool, bool]]:
-        """The blocks that lie in the template's gaps: text, furniture, main. An article's own blocks always do."""
+    def slots(self, template: set[int], within: bool = True) -> Iterator[tuple[Block, bool]]:
+        """The blocks in the template's gaps, and whether they are furniture; articles have gaps only if ``within``."""
         for token, block in self.tokens:
-            if block and (block[2] or token not in template):
-                yield block
+            if block and (token not in template or block.main and not within):
+                yield block, block.furniture or block.perhaps or any(x in template for x in block.doubts)
 
-    def main_text(self, template: set[int]) -> str:
-        blocks = list(self.slots(template))
-        within = [text for text, furniture, main in blocks if main and not furniture]
-        if within or any(main for _, _, main in blocks):
-            return "\n".join(within)
-        return "\n".join(text for text, furniture, _ in blocks if not furniture)
+    def main_text(self, template: set[int], within: bool = True) -> str:
+        has_main = any(block and block.main for _, block in self.tokens)
+        return "\n".join(block.text for block, furniture in self.slots(template, within) if not furniture and (block.main or not has_main))
 
 
 def host_of(url: Column) -> Column:
@@ -194,8 +224,20 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """host, token, pages, vector: every token of a host with its support and the fingerprint of its occurrence vector.
+def tokens_of(pages: DataFrame) -> DataFrame:
+    """host, page, tokens, chars: a page's tokens in order, and the length of those that are text of its article."""
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            pages = [Page(source).tokens for source in batch["html"]]
+            chars = [[len(b.text) if b and b.main and not b.furniture else 0 for _, b in tokens] for tokens in pages]
+            yield pd.DataFrame({"host": batch["host"], "page": batch["page"], "tokens": [[t for t, _ in tokens] for tokens in pages], "chars": chars})
+
+    return pages.mapInPandas(run, "host string, page string, tokens array<long>, chars array<int>")
+
+
+def equivalence_classes(tokens: DataFrame) -> DataFrame:
+    """host, token, pages, low, high: every token of a host with its support and the fingerprint of its occurrence vector.
 
     The fingerprint is two sums of a hash of (page, occurrences): equal vectors have equal sums, in whatever order
     pages come, and tasks sum their own pages first.
@@ -203,56 +245,141 @@ def equivalence_classes(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for at in range(0, len(batch), 500):
-                sums: dict[tuple[str, int], list[int]] = {}
-                for host, page, source in batch.iloc[at : at + 500][["host", "page", "html"]].itertuples(index=False):
-                    for token, n in Counter(t for t, _ in Page(source).tokens).items():
-                        h = _hash(f"{page}:{n}")
-                        own = sums.setdefault((host, token), [0, 0, 0])
-                        own[0] += 1
-                        own[1] += h & 0x7FFFFFFF
-                        own[2] += h >> 32
-                yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", "pages", "low", "high"])
-
-    counted = pages.mapInPandas(run, "host string, token long, pages long, low long, high long")
+            sums: dict[tuple[str, int], list[int]] = {}
+            for host, page, own in zip(batch["host"], batch["page"], batch["tokens"], strict=True):
+                for token, n in Counter(own.tolist()).items():
+                    h = _hash(f"{page}:{n}")
+                    total = sums.setdefault((host, token), [0, 0, 0])
+                    total[0] += 1
+                    total[1] += h & 0x7FFFFFFF
+                    total[2] += h >> 32
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "token", "pages", "low", "high"])
+
+    counted = tokens.select("host", "page", "tokens").mapInPandas(run, "host string, token long, pages long, low long, high long")
     return counted.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("pages", "low", "high")))
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, template: the tokens of each host's valid classes; at most 1 / LEAST_SHARE times a page's tokens."""
-    total = pages.groupBy("host").agg(F.count("*").alias("total"))
-    frequent = equivalence_classes(pages).join(total, "host")
+def candidates(tokens: DataFrame) -> DataFrame:
+    """host, members (token, class): the large and frequent classes of a host; at most 1 / LEAST_SHARE times a page's tokens."""
+    total = tokens.groupBy("host").agg(F.count("*").alias("total"))
+    frequent = equivalence_classes(tokens).join(total, "host")
     frequent = frequent.where((F.col("pages") >= LEAST_PAGES) & (F.col("pages") >= F.col("total") * LEAST_SHARE))
-    classes = frequent.groupBy("host", "pages", "low", "high").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= LEAST_TOKENS)
-    return classes.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("tokens"))).alias("template"))
+    classes = frequent.groupBy("host", "pages", "low", "high").agg(F.collect_list("token").alias("own")).where(F.size("own") >= LEAST_TOKENS)
+    name = F.shiftrightunsigned(F.xxhash64("pages", "low", "high"), 1)
+    return classes.select("host", F.transform("own", lambda t: F.struct(t.alias("token"), name.alias("cls"))).alias("own")).groupBy("host").agg(F.flatten(F.collect_list("own")).alias("members"))
+
+
+def forms(tokens: list[int], classes: dict[int, int]) -> dict[int, int]:
+    """class -> hash of its order and of the gap it lies in on this page; 0 if it has no one order, or several gaps.
+
+    A repeat of a class is open from its first token to its last; what opens meanwhile lies in its current gap. A class
+    whose repeat is open when an outer one goes on does not nest.
+    """
+    found: dict[int, list[int]] = {}
+    for t in tokens:
+        if t in classes:
+            found.setdefault(classes[t], []).append(t)
+    order: dict[int, dict[int, int]] = {}
+    for c, own in found.items():
+        first = list(dict.fromkeys(own))
+        order[c] = {t: i for i, t in enumerate(first)} if own == first * (len(own) // len(first)) else {}
+    broken = {c for c in found if not order[c]}
+    gaps: dict[int, set[tuple[int, int]]] = {c: set() for c in found}
+    stack: list[list[int]] = []  # class, place in its order
+    for t in tokens:
+        c = classes.get(t)
+        if c is None or c in broken:
+            continue
+        place = order[c][t]
+        if place:
+            while stack and stack[-1][0] != c:
+                broken.add(stack.pop()[0])
+            if not stack:
+                broken.add(c)
+                continue
+            stack[-1][1] = place
+        else:
+            gaps[c].add((stack[-1][0], stack[-1][1]) if stack else (0, 0))
+            stack.append([c, 0])
+        if place == len(order[c]) - 1:
+            stack.pop()
+    return {c: 0 if c in broken or len(gaps[c]) > 1 else _hash(f"{list(order[c])}{gaps[c]}") for c in found}
+
+
+def votes(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """host, cls, form, pages, covered: the pages of each form of a class, and the article text that it covers.
+
+    Rows of class 0 hold the text of all articles.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            sums: dict[tuple[str, int, int], list[int]] = {}
+            classes: dict[str, dict[int, int]] = {}
+            for host, own, chars, members in zip(batch["host"], batch["tokens"], batch["chars"], batch["members"], strict=True):
+                if host not in classes:
+                    classes[host] = {m["token"]: m["cls"] for m in members}
+                own = own.tolist()
+                covered: Counter = Counter()
+                for token, n in zip(own, chars.tolist(), strict=True):
+                    if n:
+                        covered[0] += n
+                        covered[classes[host].get(token, -1)] += n
+                for c, form in (*forms(own, classes[host]).items(), (0, 0)):
+                    total = sums.setdefault((host, c, form), [0, 0])
+                    total[0] += 1
+                    total[1] += covered[c]
+            yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "cls", "form", "pages", "covered"])
+
+    joined = join_checked(tokens.select("host", "tokens", "chars"), known, "host")
+    counted = joined.mapInPandas(run, "host string, cls long, form long, pages long, covered long")
+    return counted.groupBy("host", "cls", "form").agg(F.sum("pages").alias("pages"), F.sum("covered").alias("covered"))
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, template, within: the tokens of each host's valid classes, and whether they apply in articles too."""
+    tokens = materialise(tokens_of(pages), "page-tokens")
+    known = materialise(candidates(tokens), "page-classes")
+    voted = votes(tokens, known)
+    agreed = voted.groupBy("host", "cls").agg(F.sum("pages").alias("pages"), F.max(F.when(F.col("form") != 0, F.col("pages"))).alias("agreeing"), F.sum("covered").alias("covered"))
+    valid = (F.col("cls") != 0) & (F.col("agreeing") >= F.col("pages") * AGREEING)
+    hosts = agreed.groupBy("host").agg(
+        F.collect_list(F.when(valid, F.col("cls"))).alias("valid"),
+        (F.coalesce(F.sum(F.when(valid, F.col("covered"))), F.lit(0)) < F.lit(MOST_OF_ARTICLES) * F.greatest(F.max(F.when(F.col("cls") == 0, F.col("covered"))), F.lit(1))).alias("within"),
+    )
+    found = known.join(hosts, "host").select("host", F.transform(F.filter("members", lambda m: F.array_contains("valid", m["cls"])), lambda m: m["token"]).alias("template"), "within")
+    out = materialise(found.where(F.size("template") > 0), "templates")
+    discard(tokens, known)
+    return out
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of (page_id, url, html).
 
     Null and empty pages give an empty text. Pages without a host share one group; hosts of fewer than LEAST_PAGES
-    distinct pages have an empty template, and the element rules alone decide. Rows of a host with the same html count as one
-    page for the template, as copies do not tell it from text, and give the same text; further columns are not read; an empty table gives an empty result.
+    distinct pages have an empty template, and the names alone decide. Rows of a host with the same html count as one
+    page for the template, as copies do not tell it from text, and give the same text; very long pages are read whole;
+    further columns are not read; an empty table gives an empty result.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     bodies = rows.select("host", "html").distinct().withColumn("page", F.sha2("html", 256))
-    found = materialise(templates(bodies), "templates")
+    found = templates(bodies)
 
     @F.pandas_udf("string")
-    def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for sources, known in batches:
+    def main_text(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for sources, known, cuts in batches:
             sets: dict[bytes, set[int]] = {}
             out = []
-            for source, template in zip(sources, known, strict=True):
+            for source, template, within in zip(sources, known, cuts, strict=True):
                 key = b"" if template is None else template.tobytes()
                 if key not in sets:
                     sets[key] = set() if template is None else set(template.tolist())
-                out.append(Page(source).main_text(sets[key]))
+                out.append(Page(source).main_text(sets[key], bool(within)))
             yield pd.Series(out, dtype=object)
 
     joined = join_checked(rows, found, "host", "left")
-    return joined.select("page_id", "url", main_text("html", "template").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return joined.select("page_id", "url", main_text("html", "template", "within").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

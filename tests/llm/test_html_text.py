@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -28,6 +29,9 @@ def text(html, template=()):
         ("1 < 2 <3 & x&nbsp;y", "1 < 2 <3 & x y"),
         ("<article><p>a</article><p>b", "a"),
         ("<div role=banner>b</div><div hidden>h</div><p>t</p>", "t"),
+        ("<article><p>a</p><div class='search-results'>real</div><section id='related-work'>text</section></article>", "a\nreal\ntext"),
+        ("<article><p>a</p><div class='ad-slot'>x</div><div class='related'>y</div></article>", "a"),
+        ("<div class='search-page'><article><p>a</p></article></div>", "a"),
         ("<article><p>quoted <em>word</em>, end.</p></article>", "quoted word, end."),
     ],
 )
@@ -56,14 +60,86 @@ def test_template_takes_what_a_host_repeats(spark):
 
 
 def test_vectors_tell_apart_who_occurs_where(spark):
-    pages = [("h", i, "<p>x</p>" * (1 + i % 2) + "<b>y</b>") for i in range(6)]
-    got = H.equivalence_classes(spark.createDataFrame(pages, "host string, page long, html string")).collect()
+    pages = [("h", str(i), "<p>x</p>" * (1 + i % 2) + "<b>y</b>") for i in range(6)]
+    got = H.equivalence_classes(H.tokens_of(spark.createDataFrame(pages, "host string, page string, html string"))).collect()
     p = H.Page("<p>x</p>").tokens
     b = H.Page("<b>y</b>").tokens
     by = {r.token: (r.pages, r.low, r.high) for r in got}
     assert by[p[0][0]] == by[p[-1][0]] == by[p[1][0]] != by[b[0][0]]
 
 
+def article(i, extra="", body=None):
+    lines = body or [f"Line {i}.{k} of its own {i * k} words" for k in range(3)]
+    return f"<html><body><nav><a>Home</a></nav><article><h1>Title {i}</h1>{''.join(f'<p>{x}</p>' for x in lines)}{extra}</article><footer>&copy; all</footer></body></html>"
+
+
+def test_template_cuts_what_articles_repeat(spark):
+    extra = "<div class='xq7'><p>Subscribe to our letter today</p></div>"
+    kept = "<div class='related-work'><p>Only here</p></div>"
+    often = "<div class='related-posts'><p>See {}</p></div>"
+    rows = [(i, f"http://a.example/{i}", article(i, extra)) for i in range(8)]
+    rows += [(20 + i, f"http://b.example/{i}", article(i, kept if i == 3 else "")) for i in range(8)]
+    rows += [(40 + i, f"http://c.example/{i}", article(i, often.format(i))) for i in range(8)]
+    rows += [(60 + i, f"http://d.example/{i}", article("x", f"<p>{i}</p>", ["One real article that is copied", "with a second line"])) for i in range(8)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = lambda i: "\n".join([f"Title {i}", *(f"Line {i}.{k} of its own {i * k} words" for k in range(3))])
+    for i in range(8):
+        assert got[i] == own(i) != H.Page(rows[i][2]).main_text(set())
+        assert got[20 + i] == own(i) + ("\nOnly here" if i == 3 else "")
+        assert got[40 + i] == own(i)
+        assert got[60 + i] == f"Title x\nOne real article that is copied\nwith a second line\n{i}"
+
+
+def plain_template(pages):
+    """Valid classes of one host by brute force: exact occurrence vectors, order and gaps page by page."""
+    streams = [[t for t, _ in H.Page(html).tokens] for html in pages]
+    classes = {}
+    for t in {t for s in streams for t in s}:
+        classes.setdefault(tuple(s.count(t) for s in streams), set()).add(t)
+    large = {v: ts for v, ts in classes.items() if len(ts) >= H.LEAST_TOKENS and sum(map(bool, v)) >= max(H.LEAST_PAGES, H.LEAST_SHARE * len(pages))}
+
+    def spans(stream, ts):
+        at = [i for i, t in enumerate(stream) if t in ts]
+        runs = [at[i : i + len(ts)] for i in range(0, len(at), len(ts))]
+        orders = {tuple(stream[i] for i in run) for run in runs}
+        return runs, orders
+
+    out = set()
+    for ts in large.values():
+        orders, gaps, one_gap = set(), set(), True
+        for stream in streams:
+            runs, here = spans(stream, ts)
+            orders |= here
+            of_page = set()
+            for run in runs:
+                runs_around = [o for other in large.values() if other != ts for o in spans(stream, other)[0] if o[0] < run[0] <= o[-1]]
+                one_gap &= not any(run[0] < i < run[-1] for o in runs_around for i in o)  # else the two cross
+                around = [(min(other), sum(i < run[0] for i in o)) for other in large.values() if other != ts for o in spans(stream, other)[0] if o[0] < run[0] <= o[-1]]
+                of_page.add(max(around, key=lambda x: x[0], default=None) if len(around) < 2 else tuple(sorted(around)))
+            gaps |= of_page
+            one_gap &= len(of_page) <= 1
+        if len(orders) == 1 and len(gaps) <= 1 and one_gap:
+            out |= ts
+    return out
+
+
+def test_deduction_agrees_with_brute_force(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for h in range(6):
+        pages = []
+        for i in range(6):
+            items = "".join(f"<li><i>Read</i><b>{rng.random()}</b></li>" for _ in range(rng.randint(1, 4)))
+            swapped = ["<em>x</em>", "<u>y</u>"]
+            rng.shuffle(swapped)
+            pages.append(f"<div><h2>Shop {h}</h2><ul>{items}</ul><p>{rng.random()}</p>{''.join(swapped) if h % 2 else ''}<p>Fixed end</p></div>")
+        rows += [(f"h{h}", f"{h}-{i}", p) for i, p in enumerate(pages)]
+        want[f"h{h}"] = plain_template(pages)
+    got = {r.host: set(r.template) for r in H.templates(spark.createDataFrame(rows, "host string, page string, html string")).collect()}
+    assert got == {h: t for h, t in want.items() if t}
+    assert got["h0"]
+
+
 def test_copies_of_a_page_are_no_template(spark):
     page = "<html><body><div><p>First real line.</p><p>Second real line.</p></div></body></html>"
     rows = [(i, "http://copies.example/a", page) for i in range(5)] + [(9, "http://copies.example/b", page.replace("Second", "Third"))]
