@@ -3,14 +3,15 @@
 Terms are runs of letters and digits, in lower case. The lexicon holds the terms whose document frequency
 lies in a band of the corpus, i.e. whose inverse document frequency does; as every one of its terms is in
 at least ``LEAST_SHARE`` of the documents, its size is at most (mean distinct terms a document) /
-``LEAST_SHARE``, however large the corpus. A hash deals the lexicon into M random subsets, of which the
-first ``SUBSETS`` count; M is a power of two that leaves about ``TERMS_A_SUBSET`` terms of the document in
-each. The sorted distinct terms of the document in a subset are hashed to one signature, at M, 2 M and 4 M,
-so that documents of similar length have a scale in common.
-
-Likeness of two fingerprints: equal signatures / subsets in which either has a term. Documents of few terms
-use all of them, band or not. A text without any such term is fingerprinted by its digest; its likeness is 1
-to an equal text, else 0.
+``LEAST_SHARE``, however large the corpus. All of a document's terms are looked up in it, however long the text is.
+
+The sorted distinct terms of the lexicon that a document has are hashed to one signature; so are those in each of
+``SUBSETS`` random subsets of the lexicon, the first ones of M into which a hash deals it. M is a power of two that
+leaves about ``TERMS_A_SUBSET`` of the document's terms in each subset; M, 2 M and 4 M are used, so that documents
+of similar length have a scale in common. Signatures have 64 bits.
+
+Likeness of two fingerprints: equal signatures / subsets in which either has a term, over the scales in common.
+A text without a term of the lexicon is fingerprinted by its digest; its likeness is 1 to an equal text, else 0.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeline.plans.shared import join_checked, materialise
+from lodeline.plans.shared import discard, join_checked, materialise
 
 #: The band: shares of the documents that hold a term of the lexicon.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.1
@@ -28,8 +29,6 @@ SUBSETS = 32
 TERMS_A_SUBSET = 1.2
 #: Numbers of subsets a fingerprint covers: M, 2 M, 4 M.
 SCALES = 3
-#: Up to so many distinct terms, all count.
-FEW_TERMS = 24
 #: Rows of a bucket of consecutive documents; and the most buckets, whose bounds the driver holds.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 65_536
 LEAST_KEY = -(1 << 63)
@@ -81,10 +80,9 @@ def in_order_with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple
     return both.withColumn("place", F.row_number().over(w)).withColumn("next_t", F.lead("t").over(w)), n
 
 
-def _scale(distinct: Column, share: float) -> Column:
-    """log2 of the number of subsets."""
-    counted = F.when(distinct <= FEW_TERMS, distinct.cast("double")).otherwise(F.greatest(F.lit(float(FEW_TERMS)), distinct * F.lit(share)))
-    return F.greatest(F.lit(0), F.round(F.log2(F.greatest(counted / F.lit(TERMS_A_SUBSET), F.lit(1.0))))).cast("int")
+def _scale(terms: Column) -> Column:
+    """log2 of the number of subsets, from the number of the document's terms in the lexicon."""
+    return F.round(F.log2(F.greatest(terms / F.lit(TERMS_A_SUBSET), F.lit(1.0)))).cast("int")
 
 
 def _bound(value: Column, use) -> Column:
@@ -96,24 +94,25 @@ def _subsets(scale: Column) -> Column:
     return F.pow(F.lit(2.0), scale).cast("long")
 
 
-def _signatures(hashes: Column, scale: Column) -> Column:
-    """One hexadecimal signature a subset, empty where the document has no term in it."""
-    dealt = _bound(_subsets(scale), lambda m: F.transform(hashes, lambda h: F.struct(F.pmod(h, m).alias("k"), h.alias("h"))))
+def _signature(terms: Column) -> Column:
+    """Hexadecimal hash of sorted terms; empty if there is none."""
+    return F.when(F.size(terms) == 0, F.lit("")).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(terms))), 16, "0"))
+
 
-    def one(found: Column) -> Column:
-        return F.when(F.size(found) == 0, F.lit("")).otherwise(F.substring(F.lower(F.hex(F.xxhash64(found))), 1, 8))
+def _signatures(hashes: Column, scale: Column) -> Column:
+    """One signature a subset."""
+    dealt = _bound(_subsets(scale), lambda m: F.transform(F.filter(hashes, lambda h: F.pmod(h, m) < SUBSETS), lambda h: F.struct(F.pmod(h, m).alias("k"), h.alias("h"))))
 
     def every(terms: Column) -> Column:
         subset = lambda k: F.transform(F.filter(terms, lambda x: x["k"] == k), lambda x: x["h"])
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: _bound(subset(k), one))
+        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: _bound(subset(k), _signature))
 
     return _bound(dealt, every)
 
 
 def _fingerprint(of: Column) -> Column:
-    blank = F.forall(F.flatten(of["signatures"]), lambda x: x == "")
     parts = F.transform(of["signatures"], lambda x: F.array_join(x, ","))
-    return F.when(blank, F.concat(F.lit("text:"), of["digest"])).otherwise(F.concat_ws(":", of["scale"].cast("string"), F.array_join(parts, ":")))
+    return F.when(of["whole"] == "", F.concat(F.lit("text:"), of["digest"])).otherwise(F.concat_ws(":", of["scale"].cast("string"), of["whole"], F.array_join(parts, ":")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -135,45 +134,39 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text has its last third replaced by the beginning of the next document's (descending doc_id).
-    Nulls count as empty texts; repeated rows follow each other; an empty table gives an empty result; further
-    columns are not read.
+    Nulls count as empty texts; repeated rows follow each other; very long texts are read whole; an empty table gives
+    an empty result; further columns are not read.
     """
     frequencies = materialise(document_frequencies(docs), "term-frequencies")
     rows, n = in_order_with_next(docs)
     band = (F.col("df") >= max(2.0, least * n)) & (F.col("df") <= max(2.0, most * n))
     lexicon = materialise(frequencies.where(band).select("h", F.lit(True).alias("known")), "lexicon")
-    held, total = frequencies.agg(F.sum(F.when(band, F.col("df"))), F.sum("df")).first()
-    share = (held or 0) / max(1, total or 0)
+    discard(frequencies)
 
     size = F.length("t")
     cut = F.floor(size / 3).cast("int")
     edited = F.concat(F.expr("substring(t, 1, length(t) - cast(floor(length(t) / 3) as int))"), F.substring(F.coalesce("next_t", F.lit("")), F.lit(1), cut))
-    texts = rows.withColumn("edited", edited).select(
-        "bucket", "place", "real", "doc_id", size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("t", 256).alias("sha256"),
-        F.array(term_hashes(F.col("t")), F.when(F.col("real"), term_hashes(F.col("edited"))).otherwise(F.array().cast("array<bigint>"))).alias("hs"),
-    )
-    sized = texts.withColumn("few", F.transform("hs", lambda x: F.size(x) <= FEW_TERMS)).withColumn("scale", F.transform("hs", lambda x: _scale(F.size(x), share)))
-    chosen = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(1)),
-            lambda i: F.transform(
-                _bound(_subsets(F.get("scale", i)), lambda m: F.filter(F.get("hs", i), lambda h: F.pmod(h, m) < SUBSETS)),
-                lambda h: F.struct(i.alias("which"), h.alias("h"), F.get("few", i).alias("few")),
-            ),
-        )
-    )
-    terms = sized.select("bucket", "place", "real", "doc_id", "n_chars", "edited_sha256", "sha256", "scale", F.explode_outer(chosen).alias("x"))
-    terms = terms.select("bucket", "place", "real", "doc_id", "n_chars", "edited_sha256", "sha256", "scale", F.col("x.which").alias("which"), F.col("x.h").alias("h"), F.col("x.few").alias("few"))
-    kept = join_checked(terms, lexicon, "h", "left").withColumn("kept", F.when(F.col("few") | F.col("known"), F.struct("which", "h")))
-    firsts = [F.first(c).alias(c) for c in ("real", "doc_id", "n_chars", "edited_sha256", "sha256", "scale")]
-    found = kept.groupBy("bucket", "place").agg(*firsts, F.array_sort(F.collect_list("kept")).alias("kept"))
+    about = F.struct("real", "doc_id", size.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.sha2("t", 256).alias("sha256"))
+    texts = rows.withColumn("edited", edited).select("bucket", "place", about.alias("about"), term_hashes(F.col("t")).alias("own"), F.when(F.col("real"), term_hashes(F.col("edited"))).alias("other"))
+    # a row for the document and one for each term of either text: only the first carries what is known of the document
+    item = "struct<about: struct<real: boolean, doc_id: bigint, n_chars: bigint, edited_sha256: string, sha256: string>, which: int, h: bigint>"
+    none = F.lit(None)
+
+    def terms_of(hashes: str, which: int) -> Column:
+        known = F.coalesce(hashes, F.array().cast("array<bigint>"))
+        return F.transform(known, lambda h: F.struct(none.alias("about"), F.lit(which).alias("which"), h.alias("h")).cast(item))
+
+    items = F.concat(F.array(F.struct("about", none.alias("which"), none.alias("h")).cast(item)), terms_of("own", 0), terms_of("other", 1))
+    spread = texts.select("bucket", "place", F.explode(items).alias("x")).select("bucket", "place", "x.*")
+    kept = join_checked(spread, lexicon, "h", "left").where("about is not null or known")
+    found = kept.groupBy("bucket", "place").agg(F.first("about", ignorenulls=True).alias("about"), F.array_sort(F.collect_list(F.when(F.col("which").isNotNull(), F.struct("which", "h")))).alias("terms")).select("bucket", "place", "about.*", "terms")
 
     for i, name, digest in ((0, "own", "sha256"), (1, "other", "edited_sha256")):
         which = F.lit(i)
-        found = found.withColumn("hashes", F.transform(F.filter("kept", lambda x: x["which"] == which), lambda x: x["h"]))  # noqa: B023
-        scale = F.get("scale", F.lit(i))
+        found = found.withColumn("hashes", F.transform(F.filter("terms", lambda x: x["which"] == which), lambda x: x["h"]))  # noqa: B023
+        scale = _scale(F.size("hashes"))
         signatures = F.array(*(_signatures(F.col("hashes"), scale + j) for j in range(SCALES)))
-        found = found.withColumn(name, F.struct(scale.alias("scale"), signatures.alias("signatures"), F.col(digest).alias("digest")))
+        found = found.withColumn(name, F.struct(scale.alias("scale"), _signature(F.col("hashes")).alias("whole"), signatures.alias("signatures"), F.col(digest).alias("digest")))
     w = Window.partitionBy("bucket").orderBy("place")
     found = found.select("bucket", "place", "real", "doc_id", "n_chars", "edited_sha256", "own", "other").withColumn("following", F.lead("own").over(w))
     return found.where("real").select(

@@ -1,7 +1,12 @@
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
-from lodeline.llm.imatch import fingerprints, in_order_with_next
+import pytest
+
+from lodeline.llm.imatch import SCALES, SUBSETS, TERMS_A_SUBSET, fingerprints, in_order_with_next
 
 
 def rows_of(spark, rows):
@@ -46,3 +51,40 @@ def test_one_row_and_none(spark):
     one = fingerprints(rows_of(spark, [(1, "alpha beta gamma", "", "")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert fingerprints(rows_of(spark, [])).count() == 0
+
+
+def test_fingerprints_and_likeness_by_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice([2, 8, 40, 200, 1500]))).title(), "", "") for i in range(120)]
+    least, most = 0.03, 0.25
+    terms_of = lambda t: sorted(set(re.findall(r"[a-z0-9]+", t.lower())))
+    df = Counter(w for _, t, *_ in rows for w in terms_of(t))
+    lexicon = {w for w, n in df.items() if max(2, least * len(rows)) <= n <= max(2, most * len(rows))}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) h").collect()}
+    ordered = [t for _, t, *_ in sorted(rows, reverse=True)]
+    edited = [t[: len(t) - len(t) // 3] + n[: len(t) // 3] for t, n in zip(ordered, ordered[1:] + ordered[:1], strict=True)]
+    unknown = {w for t in edited for w in terms_of(t)} - set(hashes)
+    assert not unknown & lexicon
+
+    def plain(text):
+        """scale, and by scale the sets of terms in each subset."""
+        own = sorted(hashes[w] for w in terms_of(text) if w in lexicon)
+        scale = max(0, math.floor(math.log2(max(1.0, len(own) / TERMS_A_SUBSET)) + 0.5))
+        return scale, own, [[tuple(h for h in own if h % 2**m == k) for k in range(SUBSETS)] for m in range(scale, scale + SCALES)]
+
+    def like(a, b, equal):
+        if equal:
+            return 1.0
+        pairs = [(x, y) for m in range(SCALES) for n in range(SCALES) if a[0] + m == b[0] + n for x, y in zip(a[2][m], b[2][n], strict=True) if x or y]
+        return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+    found = {r.doc_id: r for r in fingerprints(rows_of(spark, rows), least, most).collect()}
+    prints = [plain(t) for t in ordered]
+    for at, (i, t, *_) in enumerate(sorted(rows, reverse=True)):
+        following = (at + 1) % len(rows)
+        assert found[i].near_edited == pytest.approx(like(prints[at], plain(edited[at]), t == edited[at]))
+        assert found[i].near_next == pytest.approx(like(prints[at], prints[following], t == ordered[following]))
+        assert found[i].fingerprint.startswith("text:" if not prints[at][1] else f"{prints[at][0]}:")
+    whole = {tuple(p[1]) for p in prints if p[1]}
+    assert len({f.fingerprint.split(":")[1] for f in found.values() if not f.fingerprint.startswith("text:")}) == len(whole)
