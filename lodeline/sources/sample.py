@@ -137,6 +137,75 @@ contract SafeBox is Ownable {
 }
 """
 
+MARKET = """pragma solidity ^0.8.20;
+
+interface IPriceFeed {
+    function getPrice(address asset) external view returns (uint256);
+}
+
+contract MarketNFT is ERC721 {
+    address public minter;
+
+    function mint(address to, uint256 id) external {
+        require(msg.sender == minter, "minter");
+        ledger.mint(to, id);
+    }
+}
+
+contract Market is Ownable {
+    IERC20 public token;
+    MarketNFT public badge;
+    IPriceFeed public oracle;
+    mapping(uint256 => Pool) public pools;
+    uint256 public totalDebt;
+    uint256[] public queue;
+    bool private paused;
+
+    modifier whenOpen() {
+        require(!paused, "closed");
+        _;
+    }
+
+    function borrow(uint256 id, uint256 amount) external whenOpen {
+        Pool storage pool = pools[id];
+        require(oracle.getPrice(address(token)) > 0, "price");
+        pool.debt += amount;
+        totalDebt += amount;
+        queue.push(id);
+        sendOut(msg.sender, amount);
+    }
+
+    function sendOut(address to, uint256 amount) internal {
+        token.transfer(to, amount);
+        logged(amount);
+    }
+
+    function logged(uint256 amount) private {
+        emit Sent(amount);
+    }
+
+    function claim(uint256 id) external {
+        badge.transferFrom(address(this), msg.sender, id);
+        sendOut(msg.sender, id);
+    }
+
+    function setPaused(bool value) external onlyOwner {
+        paused = value;
+    }
+
+    function closePool(uint256 id) public {
+        /* closes for good */
+        Pool storage pool = pools[id];
+        pool.active = false;
+        target.delegatecall(abi.encode(id));
+    }
+
+    function quote(uint256 id) public view returns (uint256) {
+        return pools[id].debt * 2;
+    }
+}
+"""
+
 #: repo, file_path, text.
 SOURCES = (
     ("treasury", "src/Treasury.sol", VAULT),
@@ -148,9 +217,13 @@ SOURCES = (
 )
 
 
-def sources(spark: SparkSession) -> DataFrame:
+#: The sources above and a market with calls between contracts.
+LINKED_SOURCES = (*SOURCES, ("market", "contracts/Market.sol", MARKET))
+
+
+def sources(spark: SparkSession, rows=SOURCES) -> DataFrame:
     """repo, file_path, text."""
-    return spark.createDataFrame(SOURCES, "repo string, file_path string, text string")
+    return spark.createDataFrame(rows, "repo string, file_path string, text string")
 
 
 def quoted(value) -> str:
@@ -165,8 +238,9 @@ def values_sql(rows, columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(quoted(v) for v in row) + ")" for row in rows) + f") AS t({columns})"
 
 
-SOURCES_SQL = f"src AS (SELECT * FROM {values_sql(SOURCES, 'repo, file_path, text')})"
-LINES_SQL = f"""{SOURCES_SQL},
+def lines_sql(rows=SOURCES) -> str:
+    """CTEs src, lines, code, depths, contracts and ranges over sources."""
+    return f"""src AS (SELECT * FROM {values_sql(rows, 'repo, file_path, text')}),
 lines AS (
   SELECT repo, file_path, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM src),
 code AS (SELECT *, split_part(raw, '//', 1) AS code FROM lines),
@@ -187,3 +261,7 @@ ranges AS (
          (SELECT arg_max(c.contract, c.c_line) FROM contracts c WHERE c.repo = d.repo AND c.file_path = d.file_path AND c.c_line <= d.line_no) AS contract_name
   FROM decls d JOIN depths e ON e.repo = d.repo AND e.file_path = d.file_path AND e.line_no >= d.line_no AND e.depth_after <= d.depth_after - d.delta
   GROUP BY ALL)"""
+
+
+LINES_SQL = lines_sql()
+SOURCES_SQL = f"src AS (SELECT * FROM {values_sql(SOURCES, 'repo, file_path, text')})"
