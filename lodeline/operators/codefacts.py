@@ -238,7 +238,7 @@ def unchecked_returns(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def asset_flows(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """PLACE, asset, asset_kind, from_expr, to_expr, amount_expr of every call of an asset method."""
+    """PLACE, asset, asset_kind, from_expr, to_expr, amount_expr, expression of every call of an asset method."""
     calls = rows.select(*PLACE, "code", F.explode(all_groups(F.col("code"), MEMBER_CALL, 1, 2)).alias("m")).where(F.col("m.g2").isin(*ASSET_METHODS))
     calls = calls.select(*PLACE, "code", F.col("m.g1").alias("asset"), F.col("m.g2").alias("method")).join(tokens.withColumnRenamed("symbol", "asset"), ["repo", "asset"], "left")
     pattern = r"concat('\\.', method, '\\s*\\((.*)\\)')"
@@ -247,7 +247,7 @@ def asset_flows(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     pulled = F.col("method").isin(*PULL_METHODS)
     arg = lambda i: F.get("a", F.lit(i))
     native = F.when((F.col("method") == "transfer") & F.col("asset").isin("payable", "to"), "native").otherwise("unknown")
-    return calls.select(*PLACE, "asset", F.coalesce("token_kind", native).alias("asset_kind"), F.when(pulled, arg(0)).alias("from_expr"), F.when(pulled & (F.size("a") > 1), arg(1)).otherwise(arg(0)).alias("to_expr"), F.coalesce(arg(2), arg(1)).alias("amount_expr"))
+    return calls.select(*PLACE, "asset", F.coalesce("token_kind", native).alias("asset_kind"), F.when(pulled, arg(0)).alias("from_expr"), F.when(pulled & (F.size("a") > 1), arg(1)).otherwise(arg(0)).alias("to_expr"), F.coalesce(arg(2), arg(1)).alias("amount_expr"), F.col("code").alias("expression"))
 
 
 def auth_constraints(rows: DataFrame) -> DataFrame:
@@ -437,7 +437,7 @@ edges AS (
   WHERE method NOT IN ('push', 'pop') AND coalesce(lower(v.type_name), '') NOT IN {_list(PLAIN_TYPES)} AND NOT ends_with(coalesce(v.type_name, ''), '[]')),
 flows AS (
   SELECT repo, file_path, line_no, contract_name, function_name, asset, asset_kind, CASE WHEN pulled THEN a[1] END AS from_expr,
-         CASE WHEN pulled AND len(a) > 1 THEN a[2] ELSE a[1] END AS to_expr, coalesce(a[3], a[2]) AS amount_expr
+         CASE WHEN pulled AND len(a) > 1 THEN a[2] ELSE a[1] END AS to_expr, coalesce(a[3], a[2]) AS amount_expr, code AS expression
   FROM (SELECT c.*, c.receiver AS asset, coalesce(t.token_kind, CASE WHEN method = 'transfer' AND receiver IN ('payable', 'to') THEN 'native' ELSE 'unknown' END) AS asset_kind, method IN {_list(PULL_METHODS)} AS pulled,
                list_transform(string_split(regexp_extract(code, '\\.' || method || '\\s*\\((.*)\\)', 1), ','), lambda x: trim(x)) AS a
         FROM calls c LEFT JOIN tokens t ON t.repo = c.repo AND t.symbol = c.receiver WHERE method IN {_list(ASSET_METHODS)})),
@@ -463,31 +463,36 @@ listed AS (
     SELECT *, regexp_extract_all(replace(chr(10) || body, '(', '( '), '[^.A-Za-z0-9_]([A-Za-z_][A-Za-z0-9_]*)[ ]*\\(', 1) AS own FROM bodies)),
 called AS (SELECT repo, file_path, contract_name, function_name, start_line, called, min((part, nth)) AS first FROM listed WHERE called NOT IN {_list(NO_CALLS)} GROUP BY ALL)"""
 
-_PLACE = "repo, file_path, line_no, contract_name, function_name"
-ORACLE = {
-    "state_variables": f"WITH {FACTS_SQL} SELECT * FROM vars",
-    "function_facts": f"""WITH {FACTS_SQL},
+#: FACTS_SQL and fn: a row a function, its text in full_sig.
+FUNCTIONS_SQL = f"""{FACTS_SQL},
 w AS (SELECT b.repo, b.file_path, b.start_line, x, i, 0 AS part FROM (SELECT *, unnest(regexp_extract_all(body, '{ASSIGNED}', 1)) AS x, unnest(range(len(regexp_extract_all(body, '{ASSIGNED}')))) AS i FROM bodies) b
       JOIN vars v ON v.repo = b.repo AND v.file_path = b.file_path AND v.contract_name = b.contract_name AND v.name = b.x
       UNION ALL
       SELECT b.repo, b.file_path, b.start_line, a.root || '.' || m, i, 1 FROM (
         SELECT *, unnest(regexp_extract_all(body, '{MEMBER_ASSIGNED}', 1)) AS x, unnest(regexp_extract_all(body, '{MEMBER_ASSIGNED}', 2)) AS m, unnest(range(len(regexp_extract_all(body, '{MEMBER_ASSIGNED}')))) AS i FROM bodies) b
       JOIN alias a ON a.repo = b.repo AND a.file_path = b.file_path AND a.start_line = b.start_line AND a.alias = b.x),
-ws AS (SELECT repo, file_path, start_line, string_agg(x, ',' ORDER BY first) AS writes FROM (SELECT repo, file_path, start_line, x, min((part, i)) AS first FROM w GROUP BY ALL) GROUP BY ALL),
+ws AS (SELECT repo, file_path, start_line, list(x ORDER BY first) AS writes FROM (SELECT repo, file_path, start_line, x, min((part, i)) AS first FROM w GROUP BY ALL) GROUP BY ALL),
 r AS (SELECT b.repo, b.file_path, b.start_line, v.name AS x FROM bodies b JOIN vars v ON v.repo = b.repo AND v.file_path = b.file_path AND v.contract_name = b.contract_name AND list_contains(regexp_extract_all(b.body, '{WORD}'), v.name)
       UNION
       SELECT b.repo, b.file_path, b.start_line, a.root || '.' || m FROM (SELECT *, unnest(regexp_extract_all(body, '{MEMBER}', 1)) AS x, unnest(regexp_extract_all(body, '{MEMBER}', 2)) AS m FROM bodies) b
       JOIN alias a ON a.repo = b.repo AND a.file_path = b.file_path AND a.start_line = b.start_line AND a.alias = b.x),
-rs AS (SELECT repo, file_path, start_line, string_agg(x, ',' ORDER BY x) AS reads FROM r GROUP BY ALL),
-cs AS (SELECT repo, file_path, start_line, string_agg(called, ',' ORDER BY first) AS calls FROM called GROUP BY ALL)
-SELECT b.repo, b.file_path, contract_name, function_name, b.start_line,
+rs AS (SELECT repo, file_path, start_line, list(x ORDER BY x) AS reads FROM r GROUP BY ALL),
+cs AS (SELECT repo, file_path, start_line, list(called ORDER BY first) AS calls FROM called GROUP BY ALL),
+fn AS (SELECT b.repo, b.file_path, contract_name, function_name, b.start_line,
        CASE WHEN regexp_matches(full_sig, '\\bexternal\\b') THEN 'external' WHEN regexp_matches(full_sig, '\\bpublic\\b') THEN 'public' WHEN regexp_matches(full_sig, '\\binternal\\b') THEN 'internal' WHEN regexp_matches(full_sig, '\\bprivate\\b') THEN 'private' END AS visibility,
        contains(full_sig, 'payable') AS payable,
-       array_to_string(list_filter(regexp_extract_all(string_split(full_sig, ')')[-1], '{WORD}'), lambda x: x NOT IN {_list(SIGNATURE_WORDS)}), ',') AS modifiers,
-       array_to_string(list_filter(list_transform(string_split(regexp_extract(full_sig, '\\((.*?)\\)', 1), ','), lambda x: regexp_extract(trim(x), '\\S+$')), lambda x: x <> ''), ',') AS parameters,
-       coalesce(reads, '') AS reads, coalesce(writes, '') AS writes, coalesce(calls, '') AS calls
+       list_filter(regexp_extract_all(string_split(full_sig, ')')[-1], '{WORD}'), lambda x: x NOT IN {_list(SIGNATURE_WORDS)}) AS modifiers,
+       list_filter(list_transform(string_split(regexp_extract(full_sig, '\\((.*?)\\)', 1), ','), lambda x: regexp_extract(trim(x), '\\S+$')), lambda x: x <> '') AS parameters,
+       coalesce(reads, []) AS reads, coalesce(writes, []) AS writes, coalesce(calls, []) AS calls, full_sig
 FROM (SELECT b.*, (SELECT string_agg(trim(l.raw), ' ' ORDER BY l.line_no) FROM lines l JOIN ranges g ON g.repo = l.repo AND g.file_path = l.file_path AND g.start_line = b.start_line AND l.line_no BETWEEN g.start_line AND g.end_line WHERE l.repo = b.repo AND l.file_path = b.file_path) AS full_sig FROM bodies b) b
-LEFT JOIN ws USING (repo, file_path, start_line) LEFT JOIN rs USING (repo, file_path, start_line) LEFT JOIN cs USING (repo, file_path, start_line)""",
+LEFT JOIN ws USING (repo, file_path, start_line) LEFT JOIN rs USING (repo, file_path, start_line) LEFT JOIN cs USING (repo, file_path, start_line))"""
+
+_PLACE = "repo, file_path, line_no, contract_name, function_name"
+ORACLE = {
+    "state_variables": f"WITH {FACTS_SQL} SELECT * FROM vars",
+    "function_facts": f"""WITH {FUNCTIONS_SQL}
+SELECT repo, file_path, contract_name, function_name, start_line, visibility, payable, array_to_string(modifiers, ',') AS modifiers, array_to_string(parameters, ',') AS parameters,
+       array_to_string(reads, ',') AS reads, array_to_string(writes, ',') AS writes, array_to_string(calls, ',') AS calls FROM fn""",
     "storage_accesses": f"WITH {FACTS_SQL} SELECT * FROM storage",
     "call_edges": f"WITH {FACTS_SQL} SELECT * FROM edges",
     "token_types": f"WITH {FACTS_SQL} SELECT * FROM tokens",

@@ -206,6 +206,55 @@ contract Market is Ownable {
 }
 """
 
+ORDERS = """pragma solidity ^0.8.20;
+
+contract OrderBook {
+    mapping(uint256 => Order) public orders;
+    uint256 public orderFee;
+    uint256 public orderPrecision;
+    uint256 public nextOrder;
+    IERC20 public payToken;
+
+    function createOrder(uint256 price, uint256 amount) external returns (uint256 id) {
+        Order storage order = orders[nextOrder];
+        order.price = price;
+        order.seller = msg.sender;
+        nextOrder += 1;
+    }
+
+    function amendOrder(uint256 id, uint256 price) external {
+        Order storage order = orders[id];
+        require(order.seller == msg.sender, "seller");
+        order.price = price;
+    }
+
+    function cancelOrder(uint256 id) external {
+        Order storage order = orders[id];
+        require(order.seller == msg.sender, "seller");
+        require(block.timestamp < order.deadline, "late");
+        order.isActive = false;
+    }
+
+    function buyOrder(uint256 id) external {
+        Order storage order = orders[id];
+        require(order.isActive && block.timestamp < order.deadline, "closed");
+        uint256 fee = (order.price * orderFee) / orderPrecision;
+        order.isActive = false;
+        payToken.safeTransferFrom(msg.sender, order.seller, order.amount - fee);
+    }
+
+    function fillOrder(uint256 id, uint256 maxPrice, uint256 minReceive) external {
+        Order storage order = orders[id];
+        require(order.price <= maxPrice, "price");
+        order.amount -= minReceive;
+    }
+
+    function feeOf(uint256 id) internal view returns (uint256) {
+        return orders[id].price * orderFee;
+    }
+}
+"""
+
 #: repo, file_path, text.
 SOURCES = (
     ("treasury", "src/Treasury.sol", VAULT),
@@ -217,8 +266,8 @@ SOURCES = (
 )
 
 
-#: The sources above and a market with calls between contracts.
-LINKED_SOURCES = (*SOURCES, ("market", "contracts/Market.sol", MARKET))
+#: The sources above, a market with calls between contracts, and an order book.
+LINKED_SOURCES = (*SOURCES, ("market", "contracts/Market.sol", MARKET), ("book", "src/OrderBook.sol", ORDERS))
 
 
 def sources(spark: SparkSession, rows=SOURCES) -> DataFrame:
