@@ -6,12 +6,15 @@ functions' bodies. A contract's state variables are gathered per contract and jo
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.functions.text import has_any
 from lodeline.operators.detect import target_sources
+from lodeline.plans.shared import materialise
 from lodeline.sources import lines as L
 from lodeline.sources import sample
 
@@ -277,20 +280,50 @@ def trust_boundaries(rows: DataFrame) -> DataFrame:
 
 
 class Facts:
-    """The fact tables of sources, each worked out when first asked for."""
+    """The fact tables of sources, each worked out when first asked for; lines, variables and functions are written down."""
 
     def __init__(self, sources: DataFrame):
-        self.sources = target_sources(sources)
-        self.rows = located(self.sources)
-        self.variables = state_variables(self.rows)
-        self.tokens = token_types(sources)
-        self.functions = functions(self.sources, self.rows, self.variables)
-        self.storage = storage_accesses(self.rows, self.variables, self.functions)
-        self.edges = call_edges(self.rows, self.variables)
-        self.flows = asset_flows(self.rows, self.tokens)
-        self.auth = auth_constraints(self.rows)
-        self.lifecycle = lifecycle_transitions(self.rows, self.variables)
-        self.boundaries = trust_boundaries(self.rows)
+        self.given, self.sources = sources, target_sources(sources)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return materialise(located(self.sources), "code-lines")
+
+    @cached_property
+    def variables(self) -> DataFrame:
+        return materialise(state_variables(self.rows), "state-variables")
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        return materialise(functions(self.sources, self.rows, self.variables), "functions")
+
+    @cached_property
+    def tokens(self) -> DataFrame:
+        return token_types(self.given)
+
+    @cached_property
+    def storage(self) -> DataFrame:
+        return storage_accesses(self.rows, self.variables, self.functions)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return call_edges(self.rows, self.variables)
+
+    @cached_property
+    def flows(self) -> DataFrame:
+        return asset_flows(self.rows, self.tokens)
+
+    @cached_property
+    def auth(self) -> DataFrame:
+        return auth_constraints(self.rows)
+
+    @cached_property
+    def lifecycle(self) -> DataFrame:
+        return lifecycle_transitions(self.rows, self.variables)
+
+    @cached_property
+    def boundaries(self) -> DataFrame:
+        return trust_boundaries(self.rows)
 
 
 def facts(spark: SparkSession) -> Facts:

@@ -43,8 +43,8 @@ def _node(contract: str = "contract_name", function: str = "function_name") -> C
 
 
 def functions_of(own: C.Facts) -> DataFrame:
-    """Functions with their node, materialised: every later step reads them."""
-    return materialise(own.functions.withColumn("node", _node()), "functions")
+    """Functions with their node."""
+    return own.functions.withColumn("node", _node())
 
 
 def successors(fns: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,15 +238,15 @@ def lessons(fns: DataFrame) -> DataFrame:
     return words.join(wanted, "term").groupBy("repo", "lesson").agg(F.countDistinct("term").alias("n_terms")).where("n_terms >= 2")
 
 
-def _graph(spark: SparkSession):
-    own = C.facts(spark)
+def _graph(spark: SparkSession, own: C.Facts | None = None):
+    own = own or C.facts(spark)
     fns = functions_of(own)
     reach, steps = slices(own, fns)
-    return own, fns, reach, steps, slice_facts(own, fns, reach, steps)
+    return own, fns, reach, steps, materialise(slice_facts(own, fns, reach, steps), "slice-facts")
 
 
-def _acts(spark: SparkSession):
-    own = C.facts(spark)
+def _acts(spark: SparkSession, own: C.Facts | None = None):
+    own = own or C.facts(spark)
     fns = functions_of(own)
     acts = materialise(actions(fns, own.flows), "actions")
     return fns, acts, races(acts), assumptions(acts)
