@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from lodeline.functions.text import terms
 from lodeline.operators.scan import DOMAINS, _TERMS, _list, _with_aliases
-from lodeline.plans.shared import join_checked, materialise
+from lodeline.plans.shared import bound_batches, discard, join_checked, materialise
 
 #: Weights of the final score.
 SEMANTIC, KEYWORD, PATTERN, CLASS, QUALITY = 0.30, 0.25, 0.25, 0.10, 0.10
@@ -27,16 +27,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def hits(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, hits): terms in common, for each pair with any.
+def blocks(queries: DataFrame, size: int = QUERY_BLOCK) -> Iterator[pd.DataFrame]:
+    """A query set in blocks of about ``size`` rows, one at a time: all that the driver holds of it."""
+    count = max(1, -(-queries.count() // size))
+    dealt = materialise(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(count)).cast("int")), "query-blocks")
+    for b in range(count):
+        part = dealt.where(F.col("_block") == b).drop("_block").toPandas()
+        if len(part):
+            yield part.sort_values("query_id", ignore_index=True)
+    discard(dealt)
 
-    ``corpus`` (doc_id, terms), ``queries`` (query_id, terms), both distinct arrays. An inverted join on the term; the
-    queries are broadcast only while small.
-    """
-    wanted = materialise(queries.select("query_id", F.explode("terms").alias("term")).groupBy("term").agg(F.collect_list("query_id").alias("wanting")), "query-terms")
-    held = corpus.select("doc_id", F.explode("terms").alias("term"))
-    pairs = join_checked(held, wanted, "term").select("doc_id", F.explode("wanting").alias("query_id"))
-    return pairs.groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
+
+class Best:
+    """The k best rows of each query of a block seen so far, by score, then the least key."""
+
+    def __init__(self, size: int, k: int, key: str):
+        self.k, self.key, self.least, self.rows = k, key, np.full(size, -np.inf), None
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """``rows``: q (number of the query), the key, score, whatever else."""
+        rows = rows[rows["score"].to_numpy() >= self.least[rows["q"].to_numpy()]]
+        if rows.empty:
+            return
+        both = rows if self.rows is None else pd.concat([self.rows, rows])
+        self.rows = both.sort_values(["q", "score", self.key], ascending=[True, False, True]).groupby("q").head(self.k)
+        full = self.rows.groupby("q")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[full.index.to_numpy()] = full["min"].to_numpy()
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """To 6 places, halves up."""
+    return np.floor(x * 1e6 + 0.5) / 1e6
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id") -> DataFrame:
@@ -44,37 +66,84 @@ def top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_id")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), key))).where(F.col("rank") <= k)
 
 
+def searched(rows: DataFrame, queries: DataFrame, k: int, schema: str, key: str, one_block) -> DataFrame:
+    """The k best ``rows`` of each query: a scan of the rows for each block of queries, every task keeping k a query.
+
+    ``one_block(part)`` returns a function from a batch of rows to the pairs it scores (q, key, score...). What is
+    shuffled is k rows a query and task.
+    """
+    bound_batches(rows.sparkSession)
+    found = None
+    for part in blocks(queries):
+        score, names = one_block(part), part["query_id"].to_numpy()
+
+        def run(batches: Iterator[pd.DataFrame], score=score, names=names) -> Iterator[pd.DataFrame]:
+            best = Best(len(names), k, key)
+            for batch in batches:
+                if len(batch):
+                    best.add(score(batch))
+            if best.rows is not None:
+                yield best.rows.assign(query_id=names[best.rows["q"].to_numpy()]).drop(columns="q")
+
+        mine = materialise(top_k(rows.mapInPandas(run, schema), k, key=key), "block-matches")
+        found = mine if found is None else found.unionByName(mine)
+    return found if found is not None else rows.sparkSession.createDataFrame([], f"{schema}, rank int")
+
+
 def vector_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank) by inner product, exact: (query_id, embedding) against all (vec_id, embedding).
 
-    Queries are taken in blocks of QUERY_BLOCK; each task keeps its own k best of a block before the shuffle. A row is
-    no match of itself. Scores are rounded to 6 places; ties by the least vec_id.
+    A row is no match of itself. Scores are rounded to 6 places; ties by the least vec_id.
     """
-    ids = queries.select("query_id", "embedding").toPandas().sort_values("query_id")  # the stated query set
 
-    def block(names: np.ndarray, matrix: np.ndarray):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": np.int64, "vec_id": np.int64})
-            for batch in batches:
-                if batch.empty:
-                    continue
-                score = np.round(np.stack(batch["embedding"].to_numpy()).astype(float) @ matrix.T, 6)
-                vec = batch["vec_id"].to_numpy(np.int64)
-                found = pd.DataFrame({"query_id": np.tile(names, len(vec)), "vec_id": np.repeat(vec, len(names)), "score": score.ravel()})
-                best = pd.concat([best, found[found["query_id"] != found["vec_id"]]])
-                best = best.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            yield best
+    def one_block(part: pd.DataFrame):
+        names, matrix = part["query_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()).astype(float)
 
-        return run
+        def score(batch: pd.DataFrame) -> pd.DataFrame:
+            vec = batch["vec_id"].to_numpy(np.int64)
+            products = np.round(np.stack(batch["embedding"].to_numpy()).astype(float) @ matrix.T, 6)
+            products[vec[:, None] == names[None, :]] = -np.inf
+            row, q = np.nonzero(np.isfinite(products))
+            return pd.DataFrame({"q": q, "vec_id": vec[row], "score": products[row, q]})
 
-    found = None
-    for at in range(0, len(ids), QUERY_BLOCK):
-        part = ids.iloc[at : at + QUERY_BLOCK]
-        one = rows.select("vec_id", "embedding").mapInPandas(block(part["query_id"].to_numpy(np.int64), np.stack(part["embedding"].to_numpy()).astype(float)), "query_id long, vec_id long, score double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    return top_k(found, k, key="vec_id")
+        return score
+
+    return searched(rows.select("vec_id", "embedding"), queries.select("query_id", "embedding"), k, "vec_id long, score double, query_id long", "vec_id", one_block).select("query_id", "vec_id", "score", "rank")
+
+
+def term_counts(part: pd.DataFrame):
+    """A function from a list of term lists to the matrix (list, query) of terms in common with a block's queries."""
+    wanting: dict[str, list[int]] = {}
+    for q, own in enumerate(part["terms"]):
+        for term in own:
+            wanting.setdefault(term, []).append(q)
+    index = {t: np.array(q) for t, q in wanting.items()}
+
+    def count(lists) -> np.ndarray:
+        out = np.zeros((len(lists), len(part)), np.int32)
+        for row, own in zip(out, lists, strict=True):
+            met = [index[t] for t in own if t in index]
+            if met:
+                row += np.bincount(np.concatenate(met), minlength=len(part)).astype(np.int32)
+        return out
+
+    return count
+
+
+def lexical_top_k(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank) by shared terms: (query_id, n, terms) against all (doc_id, terms)."""
+
+    def one_block(part: pd.DataFrame):
+        count, n = term_counts(part), np.maximum(4, part["n"].to_numpy())
+
+        def score(batch: pd.DataFrame) -> pd.DataFrame:
+            hits = count(batch["terms"])
+            row, q = np.nonzero(hits)
+            return pd.DataFrame({"q": q, "doc_id": batch["doc_id"].to_numpy(np.int64)[row], "score": rounded(np.minimum(1.0, hits[row, q] / n[q]))})
+
+        return score
+
+    return searched(corpus.select("doc_id", "terms"), queries.select("query_id", "n", "terms"), k, "doc_id long, score double, query_id long", "doc_id", one_block).select("query_id", "doc_id", "score", "rank")
 
 
 def corpus_terms(spark, sf_dir) -> DataFrame:
@@ -91,30 +160,34 @@ def _class_of(lang: Column) -> Column:
     return F.when(lang == "de", "ge").when(lang == "es", "sp").otherwise(lang)
 
 
-def pattern_score(wanted: Column, held: Column) -> Column:
-    """Greatest share of a group of terms that a document holds, among the groups that the query touches."""
-    best = F.lit(0.0)
-    for group in PATTERNS:
-        words = F.array(*map(F.lit, group))
-        best = F.greatest(best, F.when(F.arrays_overlap(wanted, words), F.size(F.array_intersect(held, words)) / F.lit(float(len(group)))).otherwise(0.0))
-    return best
-
-
 def scored_matches(spark, sf_dir, k: int = 5) -> DataFrame:
     """The k best documents of each item with their partial scores."""
-    docs, items = corpus_terms(spark, sf_dir), query_terms(spark, sf_dir)
-    groups = [w for g in PATTERNS for w in g]
-    docs = docs.withColumn("held", F.array_intersect("terms", F.array(*map(F.lit, groups))))
-    labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    facts = docs.select("doc_id", "lang", "held", "n_chars").join(labels, "doc_id", "left")
-    pairs = hits(docs.select("doc_id", "terms"), items.select("query_id", "terms")).join(F.broadcast(materialise(items.select("query_id", "n", "class", F.array_intersect("terms", F.array(*map(F.lit, groups))).alias("wanted")), "items")), "query_id").join(facts, "doc_id")
-    keyword = F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(4), F.col("n")))
-    semantic = F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(5), F.col("n")) + F.when(F.col("n_chars") > 1000, 0.15).otherwise(0.0))
-    same = F.when(F.col("class") == _class_of(F.col("lang")), 0.55).otherwise(0.0)
-    quality = F.least(F.lit(1.0), F.coalesce("quality", F.lit(0)) * 0.8 + F.when(F.col("quality") == 1, 0.15).otherwise(0.03))
-    out = pairs.select("query_id", "doc_id", "class", "lang", "hits", "n", semantic.alias("semantic"), keyword.alias("keyword"), pattern_score(F.col("wanted"), F.col("held")).alias("pattern"), same.alias("class_score"), quality.alias("quality_score"))
-    final = SEMANTIC * F.col("semantic") + KEYWORD * F.col("keyword") + PATTERN * F.col("pattern") + CLASS * F.col("class_score") + QUALITY * F.col("quality_score")
-    return top_k(out.withColumn("score", F.round(final, 6)), k)
+    labels = materialise(read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "qualities")
+    docs = join_checked(corpus_terms(spark, sf_dir).withColumn("same", _class_of(F.col("lang"))), labels, "doc_id", "left")
+
+    def one_block(part: pd.DataFrame):
+        count, n, classes = term_counts(part), part["n"].to_numpy(), part["class"].to_numpy()
+        groups = [frozenset(g) for g in PATTERNS]
+        wanted = np.array([[float(not g.isdisjoint(own)) for g in groups] for own in part["terms"]])
+
+        def score(batch: pd.DataFrame) -> pd.DataFrame:
+            hits = count(batch["terms"])
+            row, q = np.nonzero(hits)
+            hits = hits[row, q]
+            held = np.array([[len(g.intersection(own)) / float(len(g)) for g in groups] for own in batch["terms"]])
+            pattern = (held[row] * wanted[q]).max(axis=1)
+            semantic = np.minimum(1.0, hits / np.maximum(5, n[q]) + np.where(batch["n_chars"].to_numpy()[row] > 1000, 0.15, 0.0))
+            keyword = np.minimum(1.0, hits / np.maximum(4, n[q]))
+            same = np.where(classes[q] == batch["same"].to_numpy()[row], 0.55, 0.0)
+            label = batch["quality"].fillna(-1).to_numpy(float)[row]
+            quality = np.minimum(1.0, np.maximum(label, 0) * 0.8 + np.where(label == 1, 0.15, 0.03))
+            final = rounded(SEMANTIC * semantic + KEYWORD * keyword + PATTERN * pattern + CLASS * same + QUALITY * quality)
+            return pd.DataFrame({"q": q, "doc_id": batch["doc_id"].to_numpy(np.int64)[row], "lang": batch["lang"].to_numpy()[row], "hits": hits, "n": n[q], "semantic": semantic, "keyword": keyword, "pattern": pattern, "class_score": same, "quality_score": quality, "score": final})
+
+        return score
+
+    schema = "doc_id long, lang string, hits int, n int, semantic double, keyword double, pattern double, class_score double, quality_score double, score double, query_id long"
+    return searched(docs.select("doc_id", "lang", "same", "n_chars", "quality", "terms"), query_terms(spark, sf_dir), k, schema, "doc_id", one_block)
 
 
 def graded(matches: DataFrame) -> DataFrame:
@@ -155,9 +228,7 @@ def q_class_derivation(spark, sf_dir):
 
 
 def q_lexical_topk(spark, sf_dir):
-    items = query_terms(spark, sf_dir)
-    pairs = hits(corpus_terms(spark, sf_dir), items).join(F.broadcast(materialise(items.select("query_id", "n"), "items")), "query_id")
-    return top_k(pairs.withColumn("score", F.round(F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(4), F.col("n"))), 6)), 5).select("query_id", "doc_id", "score", "rank")
+    return lexical_top_k(corpus_terms(spark, sf_dir), query_terms(spark, sf_dir), 5)
 
 
 def q_hybrid_rank(spark, sf_dir):
@@ -224,17 +295,26 @@ def q_mode_eval(spark, sf_dir):
 
 
 def q_recall_funnel(spark, sf_dir):
-    """Items by length band: found by a long word, quoted whole, and how far the quoting documents came."""
+    """Items by length band: found by a long word, quoted whole, and how far the quoting documents came.
+
+    A document that quotes an item has all its long words but two (its ends may be cut), so one of any three: pairs come
+    from each item's three rarest words only.
+    """
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     long = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z]{8,})"), 1))
-    wanted = items.select(F.col("item_id").alias("query_id"), F.lower("text").alias("item"), F.length("text").alias("size"), long("text").alias("terms"))
-    touching = materialise(hits(docs.select("doc_id", long("text").alias("terms")), wanted), "touching")
-    sized = wanted.select("query_id", "item", F.size("terms").alias("n"))
-    near = touching.join(F.broadcast(materialise(sized, "items")), "query_id").where("hits >= n - 2").join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")  # a quoted item may have two words cut
+    wanted = materialise(items.select(F.col("item_id").alias("query_id"), F.lower("text").alias("item"), F.length("text").alias("size"), long("text").alias("terms")), "items")
+    words = wanted.select("query_id", F.explode("terms").alias("term"))
+    held = docs.select("doc_id", F.explode(long("text")).alias("term"))
+    frequency = materialise(join_checked(held, materialise(words.select("term").distinct(), "item-terms"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), "item-term-frequencies")
+    known = words.join(frequency, "term")
+    rarest = F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))
+    keys = materialise(known.withColumn("nth", rarest).where("nth <= 3").select("term", "query_id"), "item-keys")
+    pairs = join_checked(held, keys, "term").select("query_id", "doc_id").distinct()
+    near = pairs.join(wanted.select("query_id", "item"), "query_id").join(docs.select("doc_id", F.lower("text").alias("low")), "doc_id")
     stage = F.when(F.col("quality").isNull(), 0).when(F.col("quality") == 0, 1).otherwise(2)
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     quoted = near.where(F.contains("low", "item")).join(labels, "doc_id", "left").groupBy("query_id").agg(F.max(stage).alias("stage"))
-    state = wanted.select("query_id", "size").join(touching.select("query_id").distinct().withColumn("touched", F.lit(1)), "query_id", "left").join(quoted, "query_id", "left")
+    state = wanted.select("query_id", "size").join(known.select("query_id").distinct().withColumn("touched", F.lit(1)), "query_id", "left").join(quoted, "query_id", "left")
     band = F.when(F.col("size") < 175, "low").when(F.col("size") < 300, "medium").otherwise("high")
     return state.groupBy(band.alias("severity")).agg(F.count("*").alias("total"), F.count("touched").alias("touched"), F.count_if(F.col("stage") >= 0).alias("candidate"), F.count_if(F.col("stage") >= 1).alias("reviewed"), F.count_if(F.col("stage") >= 2).alias("delivered"))
 
