@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES: tuple[str, ...] = ("operators.detect", "operators.scan", "operators.relate", "operators.retrieve", "operators.judge", "streaming.ledger", "operators.extract", "operators.packets", "operators.heuristics", "operators.codefacts", "operators.slices", "operators.hypotheses")
+MODULES: tuple[str, ...] = ("operators.detect", "operators.scan", "operators.relate", "operators.retrieve", "operators.judge", "streaming.ledger", "operators.extract", "operators.packets", "operators.heuristics", "operators.codefacts", "operators.slices", "operators.hypotheses", "operators.corpus", "operators.recall")
 
 
 def _gathered(attribute: str) -> dict:
