@@ -4,7 +4,11 @@ Base spans (email, ip, card, phone) follow fixed patterns and always stay. High-
 further, overlapping spans that the patterns miss: telephone numbers without "+", spelled-out e-mail addresses,
 IPv6 addresses, card numbers in other groupings. Boosted trees score each from its format and its context, a
 threshold for each kind (set on held-back rows for a precision of PRECISION) selects, and of overlapping
-candidates the best stays. The trees are trained here, on TRAINING_SPANS synthetic spans: no table labels spans.
+candidates the best stays.
+
+The trees are trained here. No table labels spans, so their rows are TRAINING_SPANS made-up spans, personal or not, put
+into passages of the corpus, and candidates that the base patterns confirm in the corpus itself. Both come from a bounded
+sample by hash: PASSAGES passages anywhere, and PASSAGES around the first sign of a span. Every document is searched.
 
 Offsets are code points, ends exclusive. Every regular expression runs in linear time on any text.
 """
@@ -28,6 +32,8 @@ from lodeline.plans.shared import bound_batches
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
 TRAINING_SPANS = 8000
+#: Passages of each kind that the driver receives, and their code points.
+PASSAGES, PASSAGE = 1500, 160
 PRECISION = 0.995
 TREES, DEPTH, RATE, BINS = 80, 3, 0.2, 16
 #: Code points of context on either side of a candidate.
@@ -171,8 +177,8 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.bias + sum(self._walk(t, b) for t in self.trees))))
 
 
-def _synthetic(rng: random.Random) -> tuple[str, str, int, int, int]:
-    """A text, and a candidate in it: kind, start, end, whether it is personal data."""
+def _synthetic(rng: random.Random, passages: tuple[str, ...] = ()) -> tuple[str, str, int, int, int]:
+    """A text, and a candidate in it: kind, start, end, whether it is personal data; in one of ``passages``, if any."""
     d = lambda n: "".join(rng.choices("0123456789", k=n))
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéü", k=rng.randint(2, 9)))
     kind, real = rng.choice(KINDS), rng.random() < 0.5
@@ -192,29 +198,61 @@ def _synthetic(rng: random.Random) -> tuple[str, str, int, int, int]:
         tail = rng.choice([".com", " [dot] org", "(dot)net", ".de"])
         span = f"{word()}.{word()} {mark} {word()}{tail}" if real else f"{word()} {mark} {d(2)}.{d(2)}"
     hint = rng.choice(HINTS[kind]) if real and rng.random() < 0.5 else rng.choice(AGAINST) if not real and rng.random() < 0.5 else word()
-    before = f"{' '.join(word() for _ in range(rng.randint(0, 5)))} {hint}{rng.choice([' ', ': ', ' '])}"
-    text = f"{before}{span}{rng.choice([' ', '. ', ', '])}{' '.join(word() for _ in range(rng.randint(0, 5)))}"
+    passage = rng.choice(passages).split(" ") if passages else [word() for _ in range(rng.randint(0, 10))]
+    cut = rng.randint(0, len(passage))
+    before = f"{' '.join([*passage[:cut], hint])}{rng.choice([' ', ': ', ' '])}"
+    text = f"{before}{span}{rng.choice([' ', '. ', ', '])}{' '.join(passage[cut:])}"
     return text, kind, len(before), len(before) + len(span), int(real)
 
 
-@lru_cache(maxsize=1)
-def trained(spans: int = TRAINING_SPANS, seed: int = 11) -> tuple[Boosted, dict[str, float]]:
+def _confirmed(passage: str) -> Iterator[tuple[str, str, int, int, int]]:
+    """Candidates of a passage that a base span of their kind covers in part."""
+    base = base_spans(passage)
+    for kind, pattern in GENERATORS:
+        for m in pattern.finditer(passage) if _worth(kind, passage) else ():
+            if _overlaps(_merged(base[kind]), *m.span()):
+                yield passage, kind, *m.span(), 1
+
+
+def passages_of(docs: DataFrame, most: int = PASSAGES) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Passages of a sample of the documents, by hash: anywhere in the text, and around the first sign of a span."""
+    text, draw = F.col("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    sign = F.regexp_instr(text, F.lit(r"@|\+[0-9]|[0-9][0-9.-]{6}"))
+    anywhere = (draw % F.greatest(F.length(text) - PASSAGE, F.lit(1)) + 1).cast("int")
+    found = []
+    for start, rows in ((anywhere, docs), (F.greatest(sign - PASSAGE // 2, F.lit(1)), docs.where(sign > 0))):
+        taken = rows.where(text.isNotNull()).select(draw.alias("draw"), F.expr("text").substr(start, F.lit(PASSAGE)).alias("passage")).orderBy("draw", "passage").limit(most)
+        found.append(tuple(r["passage"] for r in taken.collect()))
+    return found[0], found[1]
+
+
+@lru_cache(maxsize=4)
+def trained(passages: tuple[str, ...] = (), marked: tuple[str, ...] = (), spans: int = TRAINING_SPANS, seed: int = 11) -> tuple[Boosted, dict[str, float]]:
     """The trees, and for each kind the least score at which held-back spans reach PRECISION."""
+    model, thresholds, _ = trained_and_judged(passages, marked, spans, seed)
+    return model, thresholds
+
+
+def trained_and_judged(passages: tuple[str, ...] = (), marked: tuple[str, ...] = (), spans: int = TRAINING_SPANS, seed: int = 11) -> tuple[Boosted, dict[str, float], dict[str, tuple[float, float]]]:
+    """``trained``, and by kind the precision and recall on held-back rows that neither fitted trees nor set thresholds."""
     rng = random.Random(seed)
-    rows = [_synthetic(rng) for _ in range(spans)]
+    rows = [_synthetic(rng, passages) for _ in range(spans)] + [x for passage in marked for x in _confirmed(passage)]
     x = np.array([features(t, k, a, b) for t, k, a, b, _ in rows], float)
     y = np.array([r[4] for r in rows], float)
     kinds = np.array([r[1] for r in rows])
-    back = np.arange(spans) % 4 == 3
-    model = Boosted.fit(x[~back], y[~back])
-    thresholds = {}
+    part = np.arange(len(rows)) % 8  # of eight parts, five fit, two set thresholds, one judges
+    model = Boosted.fit(x[part < 5], y[part < 5])
+    thresholds, judged = {}, {}
     for kind in KINDS:
-        own = back & (kinds == kind)
+        own = (kinds == kind) & (part >= 5) & (part < 7)
         p, truth = model.probability(x[own]), y[own]
         order = np.argsort(-p)
         precise = np.cumsum(truth[order]) / np.arange(1, len(order) + 1) >= PRECISION
         thresholds[kind] = max(0.8, float(p[order][precise][-1])) if precise.any() else 1.1
-    return model, thresholds
+        last = (kinds == kind) & (part == 7)
+        chosen = model.probability(x[last]) >= thresholds[kind]
+        judged[kind] = float(y[last][chosen].mean()) if chosen.any() else 1.0, float(chosen[y[last] == 1].mean()) if (y[last] == 1).any() else 0.0
+    return model, thresholds, judged
 
 
 def further_spans(text: str, base: dict[str, list[tuple[int, int]]], model: Boosted, thresholds: dict[str, float]) -> list[tuple[str, int, int]]:
@@ -286,10 +324,11 @@ def redacted_text(text: str, spans: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans for every row.
 
-    Nulls and empty texts have no spans; repeated rows are searched alike; further columns are not read.
+    Nulls and empty texts have no spans; repeated rows are searched alike; an empty table gives an empty result (the trees
+    then learn from made-up passages); very long texts are searched whole; further columns are not read.
     """
     bound_batches(docs.sparkSession)
-    model, thresholds = trained()
+    model, thresholds = trained(*passages_of(docs))
 
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -308,7 +347,7 @@ def find(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with all spans of ``text`` replaced and ``n_chars``, if present, counted anew."""
     bound_batches(docs.sparkSession)
-    model, thresholds = trained()
+    model, thresholds = trained(*passages_of(docs))
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
