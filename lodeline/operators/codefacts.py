@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.functions.text import has_any
-from lodeline.operators.detect import target_sources
 from lodeline.plans.shared import materialise
 from lodeline.sources import lines as L
 from lodeline.sources import sample
@@ -283,7 +282,7 @@ class Facts:
     """The fact tables of sources, each worked out when first asked for; lines, variables and functions are written down."""
 
     def __init__(self, sources: DataFrame):
-        self.given, self.sources = sources, target_sources(sources)
+        self.given, self.sources = sources, L.target_sources(sources)
 
     @cached_property
     def rows(self) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodeline.functions.text import has_any, source_type
+from lodeline.functions.text import has_any
+from lodeline.operators import codefacts as C
 from lodeline.sources import lines as L
 from lodeline.sources import sample
 
@@ -49,11 +50,6 @@ ENTRYPOINTS = ("deposit", "mint", "withdraw", "redeem", "borrow", "repay", "real
 FEES = ("simulateaccrue", "accrue(", "feeshares", "pendingfee", "_accruefee", "accruefee")
 
 
-def target_sources(sources: DataFrame) -> DataFrame:
-    """Sources that detectors judge: production code and files of unknown kind."""
-    return sources.where(source_type(F.col("file_path")).isin("production", "unknown"))
-
-
 def flagged_lines(sources: DataFrame) -> DataFrame:
     """Every line with its function, that function's and file's flags, and one boolean a detector.
 
@@ -79,9 +75,7 @@ def flagged_lines(sources: DataFrame) -> DataFrame:
     view = signature.contains("view") | signature.contains("pure")
     name = F.lower(F.coalesce("function_name", F.lit("")))
     comment = L.is_comment_or_blank(raw)
-    direct = has_any(compact, (".transfer(", ".transferFrom(", ".approve(")) & ~compact.startswith("to.transfer(")
     safe = has_any(clow, ("safetransfer", "safeapprove", "forceapprove"))
-    before_call = F.split_part(compact, F.lit(".transfer"), F.lit(1))
     before_approve = F.split_part(compact, F.lit(".approve"), F.lit(1))
     external = has_any(raw, EXTERNAL)
     first_call = F.min(F.when(external, F.col("line_no"))).over(of_fn)
@@ -101,7 +95,6 @@ def flagged_lines(sources: DataFrame) -> DataFrame:
         "tx_origin_auth": raw.contains("tx.origin") & has_any(low, AUTH),
         "unguarded_initializer": (name == "initialize") & exposed & ~fn_has(has_any(squeezed, GUARDS)) & ~has_any(signature, GUARDS) & raw.contains("=") & privileged,
         "oracle_staleness_logic": low.contains("require") & raw.contains("||") & has_any(low, FRESHNESS),
-        "unchecked_erc20_returns": ~comment & ~safe & direct & ~compact.contains("require(") & ~before_call.contains("="),
         "weak_randomness": fn_has(has_any(clow, ENTROPY)) & fn_has(has_any(clow, RANDOM)) & fn_has(has_any(clow, REWARD)) & (has_any(clow, ENTROPY) | clow.contains("keccak256") | code.contains("%")),
         "dangerous_delegatecall": raw.contains(".delegatecall(") | raw.contains(".delegatecall{"),
         "public_vault_accounting_spoof": custody & has_any(clow, ("ownerof(", "depositor", "stored")),
@@ -120,16 +113,28 @@ def flagged_lines(sources: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "line_no", "raw", "contract_name", "function_name", *(flag.alias(n) for n, flag in flags.items()))
 
 
+UNCHECKED = "unchecked_erc20_returns"
+
+
 def detections(sources: DataFrame) -> DataFrame:
-    """repo, detector, vulnerability_class, confidence, n_evidence, evidence (file:line, capped), functions."""
-    flagged = flagged_lines(sources)
-    fired = F.array_compact(F.array(*(F.when(F.col(n), F.struct(F.lit(n).alias("detector"), F.lit(c).alias("vulnerability_class"), F.lit(x).alias("confidence"), F.lit(cap).alias("cap"))) for n, c, x, cap in DETECTORS)))
-    lines = flagged.select(*KEYS, "line_no", "function_name", F.explode(fired).alias("d")).select(*KEYS, "line_no", "function_name", "d.*")
-    grouped = lines.groupBy("repo", "detector", "vulnerability_class", "confidence", "cap").agg(
-        F.array_sort(F.collect_list(F.struct("file_path", "line_no"))).alias("at"), F.array_sort(F.collect_set("function_name")).alias("functions")
-    )
-    shown = F.transform(F.slice("at", 1, F.col("cap")), lambda x: F.concat(x["file_path"], F.lit(":"), x["line_no"].cast("string")))
-    return grouped.select("repo", "detector", "vulnerability_class", "confidence", F.size("at").cast("long").alias("n_evidence"), F.array_join(shown, ",").alias("evidence"), F.array_join("functions", ",").alias("functions"))
+    """repo, detector, vulnerability_class, confidence, n_evidence, evidence (file:line, capped), functions.
+
+    ``sources`` are all of a repository, as token kinds come from any file; judged are its target sources. Evidence is
+    ranked before it is gathered.
+    """
+    judged = L.target_sources(sources)
+    flagged = flagged_lines(judged)
+    about = {n: F.struct(F.lit(n).alias("detector"), F.lit(c).alias("vulnerability_class"), F.lit(x).alias("confidence"), F.lit(cap).alias("cap")) for n, c, x, cap in DETECTORS}
+    fired = F.array_compact(F.array(*(F.when(F.col(n), one) for n, one in about.items() if n != UNCHECKED)))
+    lines = flagged.select(*KEYS, "line_no", "function_name", F.explode(fired).alias("d"))
+    tokens = C.unchecked_returns(C.located(judged), C.token_types(sources)).select(*KEYS, "line_no", "function_name", about[UNCHECKED].alias("d"))
+    lines = lines.unionByName(tokens).select(*KEYS, "line_no", "function_name", "d.*")
+    of = ["repo", "detector"]
+    nth = F.row_number().over(Window.partitionBy(*of).orderBy("file_path", "line_no"))
+    ranked = lines.withColumn("nth", nth)
+    shown = F.when(F.col("nth") <= F.col("cap"), F.struct("nth", F.concat("file_path", F.lit(":"), F.col("line_no").cast("string")).alias("at")))
+    grouped = ranked.groupBy(*of, "vulnerability_class", "confidence").agg(F.count("*").alias("n_evidence"), F.array_sort(F.collect_list(shown)).alias("shown"), F.array_sort(F.collect_set("function_name")).alias("functions"))
+    return grouped.select(*of, "vulnerability_class", "confidence", "n_evidence", F.array_join(F.transform("shown", lambda x: x["at"]), ",").alias("evidence"), F.array_join("functions", ",").alias("functions"))
 
 
 def q_function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +142,7 @@ def q_function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(target_sources(sample.sources(spark)))
+    return detections(sample.sources(spark, sample.LINKED_SOURCES))
 
 
 def q_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +175,46 @@ def _any(column: str, terms: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains({column}, {sample.quoted(t)})" for t in terms) + ")"
 
 
+_W = "PARTITION BY repo, file_path, contract_name, function_name, start_line"
+#: Flags of every line of the judged sources, with those of its function and file.
+_FLAGS = f"""{C.FACTS_SQL},
+l AS (
+  SELECT r.*, x.raw, lower(x.raw) AS low, split_part(x.raw, '//', 1) AS bare, lower(split_part(x.raw, '//', 1)) AS clow, replace(split_part(x.raw, '//', 1), ' ', '') AS compact, lower(replace(x.raw, ' ', '')) AS squeezed,
+         lower(coalesce(r.function_name, '')) AS name, r.function_name IS NOT NULL AS inside
+  FROM located r JOIN lines x USING (repo, file_path, line_no)),
+s AS (SELECT *, CASE WHEN inside THEN lower(string_agg(trim(raw), ' ') OVER ({_W})) ELSE '' END AS signature,
+        min(CASE WHEN {_any("raw", EXTERNAL)} THEN line_no END) OVER ({_W}) AS first_call FROM l),
+t AS (SELECT *, min(CASE WHEN {_any("raw", ACCOUNTING)} AND line_no > first_call THEN line_no END) OVER ({_W}) AS later, contains(signature, 'external') OR contains(signature, 'public') AS exposed,
+        contains(signature, 'view') OR contains(signature, 'pure') AS viewing, contains(raw, 'block.timestamp') AS now_, regexp_matches(raw, '(?i)\\w*(price|answer)\\w*\\s*=') AS wp, regexp_matches(raw, '(?i)\\w*timestamp\\w*\\s*=\\s*block\\.timestamp') AS wt FROM s),
+u AS (SELECT *, inside AND exposed AND NOT viewing AND bool_or(now_) OVER ({_W}) AND bool_or(wp) OVER ({_W}) AND bool_or(wt) OVER ({_W}) AS writer,
+        inside AND viewing AND bool_or(now_) OVER ({_W}) AND (bool_or(contains(low, 'stale')) OVER ({_W}) OR bool_or(contains(raw, 'block.timestamp -')) OVER ({_W})) AS reader,
+        inside AND line_no = start_line AS begins FROM t),
+flags AS (
+  SELECT repo, file_path, line_no, function_name, unnest(list_filter([
+    CASE WHEN contains(raw, 'tx.origin') AND {_any("low", AUTH)} THEN 'tx_origin_auth' END,
+    CASE WHEN name = 'initialize' AND exposed AND NOT bool_or({_any("squeezed", GUARDS)}) OVER ({_W}) AND NOT {_any("signature", GUARDS)} AND contains(raw, '=') AND {_any("squeezed", tuple(p + x for p in PRIVILEGED for x in "=_"))} THEN 'unguarded_initializer' END,
+    CASE WHEN contains(low, 'require') AND contains(raw, '||') AND {_any("low", FRESHNESS)} THEN 'oracle_staleness_logic' END,
+    CASE WHEN inside AND bool_or({_any("clow", ENTROPY)}) OVER ({_W}) AND bool_or({_any("clow", RANDOM)}) OVER ({_W}) AND bool_or({_any("clow", REWARD)}) OVER ({_W}) AND ({_any("clow", ENTROPY)} OR contains(clow, 'keccak256') OR contains(bare, '%')) THEN 'weak_randomness' END,
+    CASE WHEN contains(raw, '.delegatecall(') OR contains(raw, '.delegatecall{{') THEN 'dangerous_delegatecall' END,
+    CASE WHEN inside AND exposed AND NOT {_any("signature", ("onlyowner", "onlyrole", "auth", "internal"))} AND bool_or(contains(clow, 'ownerof(')) OVER ({_W}) AND bool_or(contains(clow, 'address(this)')) OVER ({_W})
+      AND bool_or({_any("clow", ("depositor", "beneficiary", "recipient", "owner", "account"))}) OVER ({_W}) AND bool_or({_any("clow", ("depositors[", "stored", "deposited", "ownerof"))}) OVER ({_W}) AND {_any("clow", ("ownerof(", "depositor", "stored"))} THEN 'public_vault_accounting_spoof' END,
+    CASE WHEN contains(low, 'require') AND contains(raw, '||') AND {_any("low", SENSITIVE)} THEN 'unsafe_or_guards' END,
+    CASE WHEN inside AND later IS NOT NULL AND line_no IN (first_call, later) THEN 'external_call_before_accounting' END,
+    CASE WHEN inside AND bool_or(contains(low, 'strategy')) OVER ({_W}) AND {_any("low", STRATEGY)} THEN 'strategy_accounting_trust' END,
+    CASE WHEN contains(raw, 'latestRoundData(') AND NOT contains(raw, 'function latestRoundData') AND NOT bool_or({_any("squeezed", BOUNDS)}) OVER (PARTITION BY repo, file_path) THEN 'chainlink_unbounded_price' END,
+    CASE WHEN NOT regexp_matches(trim(raw), '^(//|/\\*|\\*|$)') AND NOT {_any("clow", ("safetransfer", "safeapprove", "forceapprove"))} AND contains(compact, '.approve(') AND NOT regexp_matches(compact, '^(require\\(|if\\(|bool|assert\\()') AND NOT contains(split_part(compact, '.approve', 1), '=') THEN 'unsafe_approve' END,
+    CASE WHEN begins AND name IN ({", ".join(map(sample.quoted, ENTRYPOINTS))}) AND exposed AND bool_or({_any("low", ("pausable", "_pause()", "togglepause"))}) OVER (PARTITION BY repo, file_path) AND NOT bool_or({_any("low", ("whennotpaused", "whenpaused"))}) OVER (PARTITION BY repo, file_path) THEN 'pause_not_enforced' END,
+    CASE WHEN begins AND writer THEN 'oracle_update_replay' END,
+    CASE WHEN begins AND reader AND bool_or(writer) OVER (PARTITION BY repo, file_path, contract_name) THEN 'oracle_stale_read' END,
+    CASE WHEN reader AND regexp_matches(raw, 'block\\.timestamp\\s*-\\s*[A-Z][A-Z0-9_]{{2,}}') THEN 'oracle_constant_threshold' END,
+    CASE WHEN begins AND name IN ('converttoshares', 'converttoassets') AND bool_or({_any("squeezed", FEES)}) OVER ({_W}) THEN 'erc4626_convertto_includes_fees' END], lambda x: x IS NOT NULL)) AS detector FROM u),
+unchecked AS ({C.ORACLE["unchecked_returns"].removeprefix(f"WITH {C.FACTS_SQL},").replace("x AS (", "WITH x AS (", 1)}),
+fired AS (SELECT * FROM flags UNION ALL SELECT repo, file_path, line_no, function_name, '{UNCHECKED}' FROM unchecked),
+about(detector, vulnerability_class, confidence, cap) AS (VALUES {", ".join(f"('{n}', '{c}', {x}, {cap})" for n, c, x, cap in DETECTORS)}),
+ranked AS (SELECT f.*, a.vulnerability_class, a.confidence, a.cap, row_number() OVER (PARTITION BY repo, detector ORDER BY file_path, line_no) AS nth FROM fired f JOIN about a USING (detector)),
+detected AS (SELECT repo, detector, vulnerability_class, confidence, count(*) AS n_evidence, string_agg(file_path || ':' || line_no, ',' ORDER BY nth) FILTER (WHERE nth <= cap) AS evidence, coalesce(array_to_string(list_sort(list(DISTINCT function_name) FILTER (WHERE function_name IS NOT NULL)), ','), '') AS functions FROM ranked GROUP BY ALL)"""
 ORACLE = {
+    "detections": f"WITH {_FLAGS} SELECT * FROM detected",
     "function_ranges": f"WITH {sample.LINES_SQL} SELECT repo, file_path, contract_name, function_name, start_line, end_line FROM ranges",
     "interval_join": f"""WITH {sample.LINES_SQL}
 SELECT r.repo, r.file_path, r.function_name, count(*) AS n_lines, sum(length(l.raw)) AS n_chars

@@ -270,7 +270,7 @@ def q_code_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detection_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_detections(D.detections(D.target_sources(sample.sources(spark))))
+    return from_detections(D.detections(sample.sources(spark, sample.LINKED_SOURCES)))
 
 
 def q_missing_access_control(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,6 +352,7 @@ found AS (
   SELECT repo, 'gap-' || agent, {_case("gap_type", GAP_CLASS, "'business_logic'")}, subject, confidence, CASE status WHEN 'rejected' THEN 'rejected_by_counterevidence' WHEN 'likely' THEN 'strong_local_path' ELSE 'setup_required' END, status
   FROM (WITH {_GAPS}))
 SELECT * FROM found UNION ALL SELECT DISTINCT repo, 'default', 'manual_review', '', 0.2, 'setup_required', 'needs_manual_review' FROM target WHERE repo NOT IN (SELECT repo FROM found)""",
+    "detection_hypotheses": f"""WITH {D._FLAGS} SELECT repo, 'static.' || detector AS source, vulnerability_class, split_part(functions, ',', 1) AS subject, confidence, CASE WHEN confidence >= 0.75 THEN 'static_proof_complete' ELSE 'strong_local_path' END AS proof_status, 'suspicious' AS status FROM detected""",
     "missing_access_control": f"""WITH {sample.lines_sql(ACCESS_SOURCES + sample.LINKED_SOURCES)},
 n AS (SELECT *, coalesce(lead(start_line) OVER (PARTITION BY repo, file_path ORDER BY start_line), 1000000000) AS next_start FROM ranges),
 s AS (SELECT DISTINCT repo FROM lines WHERE {_any("raw", VALUE_CALLS)})

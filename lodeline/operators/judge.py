@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.functions import text as X
+from lodeline.plans.shared import bound_batches
 from lodeline.sources.sample import quoted, values_sql
 
 #: Severities by class, and their rank.
@@ -41,10 +45,10 @@ def severity_of(kind: Column) -> Column:
 
 
 def hypotheses(spark, sf_dir) -> DataFrame:
-    """Documents as hypotheses: class, title, evidence, functions, confidence; the label is their proof."""
+    """Documents as hypotheses: class, title (the first line), evidence, functions, confidence; the label is their proof."""
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    title = F.substring(F.regexp_replace(F.lower("text"), r"\s+", " "), 1, 40)
+    title = F.regexp_replace(F.lower(F.split_part("text", F.lit("\n"), F.lit(1))), r"\s+", " ")
     return docs.join(labels, "doc_id", "left").select("doc_id", "lang", "source", "n_chars", "quality", "toxic", document_class(F.col("text")).alias("class"), title.alias("title"))
 
 
@@ -62,18 +66,32 @@ def round_robin(rows: DataFrame, bucket: str, order: list, cap: int) -> DataFram
 
 
 def budget_greedy(rows: DataFrame, group: str, size: str, key: str, budget: int) -> DataFrame:
-    """Items of a group in order that fit a budget, skipping those that do not: one fold a group.
+    """Items of a group in order that fit a budget, skipping those that do not.
 
-    Only the budget's worth can be chosen, but any later small item may be: the fold keeps (left, chosen).
+    Each choice depends on those before, so a task walks its groups in order with one number a group; the items that
+    are chosen are at most ``budget``, if sizes are positive.
     """
-    items = F.array_sort(F.collect_list(F.struct(key, size)))
-    start = F.struct(F.lit(budget).cast("long").alias("left"), F.array().cast("array<bigint>").alias("chosen"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = x[size] <= s["left"]
-        return F.struct(F.when(fits, s["left"] - x[size]).otherwise(s["left"]).cast("long").alias("left"), F.when(fits, F.concat(s["chosen"], F.array(x[key].cast("long")))).otherwise(s["chosen"]).alias("chosen"))
-
-    return rows.groupBy(group).agg(F.aggregate(items, start, step).alias("s")).select(group, (budget - F.col("s.left")).alias("used"), F.col("s.chosen").alias("chosen"))
+    kind = rows.schema[group].dataType.simpleString()
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, left, chosen = None, budget, []
+        for batch in batches:
+            done = []
+            for of, item, need in zip(batch[group], batch[key], batch[size], strict=True):
+                if current is None or of != current:
+                    if current is not None:
+                        done.append((current, budget - left, chosen))
+                    current, left, chosen = of, budget, []
+                if need <= left:
+                    left -= int(need)
+                    chosen.append(int(item))
+            yield pd.DataFrame(done, columns=[group, "used", "chosen"])
+        if current is not None:
+            yield pd.DataFrame([(current, budget - left, chosen)], columns=[group, "used", "chosen"])
+
+    bound_batches(rows.sparkSession)
+    ordered = rows.where(F.col(group).isNotNull() & F.col(size).isNotNull()).select(group, key, size).repartition(group).sortWithinPartitions(group, key)
+    return ordered.mapInPandas(walk, f"{group} {kind}, used long, chosen array<long>")
 
 
 def gated(rows: DataFrame) -> DataFrame:
@@ -112,15 +130,24 @@ def q_stratified_round_robin(spark, sf_dir):
 
 def q_diversified_select(spark, sf_dir):
     """Strong first, then one a class, then the rest, at most 30."""
-    rows = hypotheses(spark, sf_dir).withColumn("nth", F.row_number().over(Window.partitionBy("class").orderBy(F.desc("n_chars"), "doc_id")))
-    tier = F.when((F.col("quality") == 1) & (F.col("n_chars") > 10_000), 0).when(F.col("nth") == 1, 1).otherwise(2)
-    return rows.withColumn("tier", tier).orderBy("tier", F.desc("n_chars"), "doc_id").limit(30).select("doc_id", "class", "tier")
+    rows = hypotheses(spark, sf_dir)
+    first = rows.groupBy("class").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("of"))).alias("top")).select("class", (-F.col("top.of")).alias("first_doc"))
+    tier = F.when((F.col("quality") == 1) & (F.col("n_chars") > 10_000), 0).when(F.col("doc_id") == F.col("first_doc"), 1).otherwise(2)
+    return rows.join(first, "class").withColumn("tier", tier).orderBy("tier", F.desc("n_chars"), "doc_id").limit(30).select("doc_id", "class", "tier")
 
 
 def q_budget_prefix(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    w = Window.partitionBy("source", "lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return docs.withColumn("used", F.sum("n_chars").over(w)).where("used <= 40000").groupBy("source", "lang").agg(F.count("*").alias("n"), F.max("used").alias("used"))
+    """Documents of each source and language, in order, as long as they fit a budget together.
+
+    Sums by a thousand ids tell which of them can still hold a fitting document; only those are summed up row by row.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "lang", "doc_id", "n_chars").withColumn("part", F.floor(F.col("doc_id") / 1000))
+    group = ["source", "lang"]
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = docs.groupBy(*group, "part").agg(F.sum("n_chars").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("start <= 40000")
+    w = Window.partitionBy(*group).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    near = docs.join(parts.select(*group, "part"), [*group, "part"], "left_semi")
+    return near.withColumn("used", F.sum("n_chars").over(w)).where("used <= 40000").groupBy(*group).agg(F.count("*").alias("n"), F.max("used").alias("used"))
 
 
 def q_budget_greedy(spark, sf_dir):
@@ -217,7 +244,7 @@ def q_hypothesis_union(spark, sf_dir):
 QUERIES = {n.removeprefix("q_"): f for n, f in list(globals().items()) if n.startswith("q_")}
 
 _CLASS = "CASE WHEN contains(lower(text), 'license') THEN 'licensing' WHEN regexp_matches(lower(text), 'token|password') THEN 'secret' WHEN regexp_matches(lower(text), '[^\\s@]+@[a-z0-9]+[.]') THEN 'contact' ELSE 'prose' END"
-_H = f"""h AS (SELECT d.doc_id, lang, source, n_chars, quality, toxic, {_CLASS} AS class, substring(regexp_replace(lower(text), '\\s+', ' ', 'g'), 1, 40) AS title
+_H = f"""h AS (SELECT d.doc_id, lang, source, n_chars, quality, toxic, {_CLASS} AS class, regexp_replace(lower(split_part(text, chr(10), 1)), '\\s+', ' ', 'g') AS title
 FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id))"""
 _SEV = "CASE class WHEN 'secret' THEN 'high' WHEN 'contact' THEN 'medium' WHEN 'licensing' THEN 'low' ELSE 'info' END"
 _G = _H + f""", g0 AS (SELECT *, CASE quality WHEN 1 THEN 'confirmed' WHEN 0 THEN 'likely' ELSE 'needs_manual_review' END AS s0 FROM h),
@@ -234,6 +261,10 @@ SELECT class, title, max(key) AS key, arg_max(doc_id, (key, -doc_id)) AS doc_id,
     "diversified_select": f"""WITH {_H}, n AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY n_chars DESC, doc_id) AS nth FROM h)
 SELECT doc_id, class, CASE WHEN quality = 1 AND n_chars > 10000 THEN 0 WHEN nth = 1 THEN 1 ELSE 2 END AS tier FROM n ORDER BY tier, n_chars DESC, doc_id LIMIT 30""",
     "budget_prefix": "SELECT source, lang, count(*) AS n, max(used) AS used FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source, lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 40000 GROUP BY 1, 2",
+    "budget_greedy": """WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS i FROM conversations WHERE text IS NOT NULL),
+w(conv_id, i, used, n) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM o
+  UNION ALL SELECT w.conv_id, o.i, CASE WHEN w.used + o.size <= 300 THEN w.used + o.size ELSE w.used END, CASE WHEN w.used + o.size <= 300 THEN w.n + 1 ELSE w.n END FROM w JOIN o ON o.conv_id = w.conv_id AND o.i = w.i + 1)
+SELECT conv_id, max(used) AS used, max(n) AS n FROM w GROUP BY 1""",
     "upsert_corpus": """SELECT doc_id, coalesce(n.source, o.source) AS source, coalesce(n.n_chars, o.n_chars) AS n_chars, CASE WHEN o.source IS NULL THEN 'added' WHEN n.source IS NULL THEN 'kept' ELSE 'replaced' END AS state
 FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) o FULL JOIN (SELECT doc_id, source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 = 0) n USING (doc_id)""",
     "gate_chain": f"WITH {_G} SELECT * FROM g",

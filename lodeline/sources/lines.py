@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodeline.functions.text import source_type
+
 
 def read_sources(spark: SparkSession, path: str, suffix: str = ".sol") -> DataFrame:
     """file_path, text of all files below a folder, without build output."""
@@ -87,13 +89,31 @@ def function_ranges(sources: DataFrame) -> DataFrame:
     return sources.select(*keys, F.explode(F.aggregate(lines, start, step)["found"]).alias("x")).select(*keys, "x.*")
 
 
+def target_sources(sources: DataFrame) -> DataFrame:
+    """Sources that are judged: production code and files of unknown kind."""
+    return sources.where(source_type(F.col("file_path")).isin("production", "unknown"))
+
+
+def target_sources(sources: DataFrame) -> DataFrame:
+    """Sources that are judged: production code and files of unknown kind."""
+    return sources.where(source_type(F.col("file_path")).isin("production", "unknown"))
+
+
+#: Lines of a bin, by which lines and ranges meet.
+BIN = 64
+
+
 def containing(lines: DataFrame, ranges: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:
-    """Lines with the first range that holds them (left outer): equi join on the file, then the interval."""
-    r = ranges.select(*keys, *(c for c in ranges.columns if c not in keys))
-    inner = [c for c in r.columns if c not in keys]
-    joined = lines.join(r, keys, "left").where(F.col("start_line").isNull() | F.col(line).between(F.col("start_line"), F.col("end_line")))
-    first = F.row_number().over(Window.partitionBy(*keys, line).orderBy("start_line", "end_line"))
-    held = joined.withColumn("nth", first).where("nth = 1").select(*keys, line, *inner)
+    """Lines with the first range that holds them (left outer).
+
+    An equi join on the file and a bin of BIN lines, then the interval: a line meets the ranges of its bin only.
+    """
+    inner = [c for c in ranges.columns if c not in keys]
+    bin_of = lambda c: F.floor(F.col(c) / BIN)
+    spread = ranges.select(*keys, F.struct("start_line", "end_line", *(c for c in inner if c not in ("start_line", "end_line"))).alias("_r"), F.explode(F.sequence(bin_of("start_line"), bin_of("end_line"))).alias("_bin"))
+    places = lines.select(*keys, line).distinct().withColumn("_bin", bin_of(line))
+    met = places.join(spread, [*keys, "_bin"]).where(F.col(line).between(F.col("_r.start_line"), F.col("_r.end_line")))
+    held = met.groupBy(*keys, line).agg(F.min("_r").alias("_r")).select(*keys, line, *(F.col("_r")[c].alias(c) for c in inner))
     return lines.join(held, [*keys, line], "left")
 
 

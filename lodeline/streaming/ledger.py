@@ -12,6 +12,8 @@ from lodeline.sources.sample import quoted, values_sql
 
 #: Milestones of a run in order.
 MILESTONES = ("signup", "view", "click", "purchase")
+#: Levels of a fingerprint's tree: a thousand digests are joined at most, for ids of up to 10 ** (3 * LEVELS + 3).
+LEVELS = 4
 #: Texts that hold a JSON object among others: id, text.
 REPLIES = (
     (1, 'Here it is: ```json\n{"name": "a", "n": 1}\n``` done'),
@@ -88,9 +90,12 @@ def tolerant_object(text: Column) -> Column:
 
 
 def q_ledger_summary(spark, sf_dir):
+    """Calls, kinds and errors of a user, and the last six calls: ranked before any are gathered."""
     events = read(spark, sf_dir)
-    last = F.array_join(F.transform(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ts", "event_id")))), 1, 6), lambda x: x["event_id"].cast("string")), ",")
-    return events.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "error").alias("errors"), last.alias("last_calls"))
+    counts = events.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("kinds"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    last = events.select("user_id", "ts", "event_id").withColumn("nth", nth).where("nth <= 6").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "event_id"))), lambda x: x["event_id"].cast("string")), ",").alias("last_calls"))
+    return counts.join(last, "user_id")
 
 
 def q_milestone_gap(spark, sf_dir):
@@ -115,12 +120,13 @@ def q_tolerant_json(spark, sf_dir):
 
 
 def q_corpus_fingerprint(spark, sf_dir):
-    """Digest of the digests of every thousand consecutive documents."""
+    """Digest of the corpus as a tree: of a thousand consecutive documents, of a thousand of those, and so on up."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    one = F.sha2(F.concat_ws("|", "doc_id", "source", "text"), 256)
-    ordered = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), "")
-    parts = docs.withColumn("digest", one).groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.sha2(ordered("doc_id", "digest"), 256).alias("digest"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(ordered("part", "digest"), 256).alias("fingerprint"), F.sum("n").alias("n"))
+    level = docs.select(F.col("doc_id").alias("key"), F.sha2(F.concat_ws("|", "doc_id", "source", "text"), 256).alias("digest"), F.lit(1).cast("long").alias("n"))
+    digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "digest"))), lambda x: x["digest"]), "")
+    for _ in range(LEVELS):
+        level = level.groupBy(F.floor(F.col("key") / 1000).alias("key")).agg(F.sha2(digests, 256).alias("digest"), F.sum("n").alias("n"))
+    return level.agg(F.sha2(digests, 256).alias("fingerprint"), F.sum("n").alias("n"))
 
 
 def q_index_gate(spark, sf_dir):
@@ -155,8 +161,10 @@ SELECT user_id, m[1] AS next, len(m) AS n_missing FROM m""",
     "json_path_get": "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1",
     "tolerant_json": f"""WITH r AS (SELECT id, nullif(regexp_extract(text, '(\\{{[^{{}}]*\\}})', 1), '') AS o FROM {values_sql(REPLIES, 'id, text')}), v AS (SELECT id, CASE WHEN o IS NOT NULL AND json_valid(o) THEN o END AS o FROM r)
 SELECT id, json_extract_string(o, '$.name') AS name, CAST(json_extract_string(o, '$.n') AS INT) AS n FROM v""",
-    "corpus_fingerprint": """WITH p AS (SELECT doc_id // 1000 AS part, sha256(string_agg(sha256(concat_ws('|', doc_id, source, text)), '' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1)
-SELECT sha256(string_agg(digest, '' ORDER BY part)) AS fingerprint, sum(n) AS n FROM p""",
+    "corpus_fingerprint": f"""WITH l0 AS (SELECT doc_id AS key, sha256(concat_ws('|', doc_id, source, text)) AS digest, 1 AS n FROM documents),
+{", ".join(f"l{i + 1} AS (SELECT key // 1000 AS key, sha256(string_agg(digest, '' ORDER BY key)) AS digest, sum(n) AS n FROM l{i} GROUP BY 1)" for i in range(LEVELS))}
+SELECT sha256(string_agg(digest, '' ORDER BY key)) AS fingerprint, sum(n) AS n FROM l{LEVELS}""",
     "index_gate": "SELECT count(*) AS n, max(len(embedding)) AS dim, min(len(embedding)) = 64 AND max(len(embedding)) = 64 AS compatible FROM embeddings",
+    "ledger_stream_windows": "SELECT event_type, count(*) AS n, count(DISTINCT time_bucket(INTERVAL 1 DAY, ts)) AS windows FROM events GROUP BY 1",
     "tumbling_counts": "SELECT strftime(time_bucket(INTERVAL 60 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, sum(CAST(value AS DECIMAL(18,4))) AS value FROM events GROUP BY 1, 2",
 }

@@ -35,7 +35,7 @@ def test_function_ranges_of_odd_sources(spark):
 
 
 def test_detectors_fire_where_they_should(spark):
-    got = {(r.repo, r.detector): r.evidence for r in D.detections(D.target_sources(sample.sources(spark))).collect()}
+    got = {(r.repo, r.detector): r.evidence for r in D.detections(sample.sources(spark)).collect()}
     vault, feed, game = "src/Treasury.sol", "src/PushOracle.sol", "contracts/EggGame.sol"
     assert got == {
         ("game", "erc4626_convertto_includes_fees"): f"{game}:26",
