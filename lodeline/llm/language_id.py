@@ -97,11 +97,12 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_A_LANGUAGE) -> Dat
     The hash threshold that leaves about ``per_language`` documents comes from the languages' counts, so
     the ranking within a language touches only a little more than the sample.
     """
-    usable = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    languages = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    near = usable.join(languages, "lang").where(F.col("draw") * F.col("n") <= F.lit(1.5 * per_language * (1 << 30)))
+    usable = docs.select("doc_id", "lang", "text").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    drawn = usable.select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"), F.xxhash64("text").alias("text"))
+    languages = materialise(drawn.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    near = join_checked(drawn, languages, "lang").where(F.col("draw") * F.col("n") <= F.lit(1.5 * per_language * (1 << 30)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", "text"))
-    ids = near.select("lang", "doc_id", "draw", F.xxhash64("text").alias("text")).withColumn("rank", rank).where(F.col("rank") <= per_language)
+    ids = near.select("lang", "doc_id", "draw", "text").withColumn("rank", rank).where(F.col("rank") <= per_language)
     chosen = materialise(ids.select("lang", "doc_id").distinct(), "language-sample")
     return join_checked(usable.select("lang", "doc_id", "text"), chosen, ["lang", "doc_id"], "left_semi").select("lang", "text")
 
