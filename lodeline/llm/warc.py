@@ -81,21 +81,35 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
-    """A crawl of ``pages`` as records: each page fetched in full, and asked for again half an hour later.
+    """A crawl of ``pages`` as records: two full fetches of a page, and two revisits.
 
-    Page i is fetched i hours after the start of 2020. The second answer is 'not modified'; the server sends no
-    entity tag for every fifth page, and for every seventh the tag of another version.
+    Page i is fetched i hours after the start of 2020, and again, if i is even and so in a new version, two days later.
+    It is asked for half an hour after the first fetch and three days after it; what is sent are the validators of the
+    latest version, but of the first one for every fourth page. The server sends no entity tag for every fifth page, and
+    for every seventh the tag of another version. Between its fetches those of other pages with the same URL may lie.
     """
     i = F.col("page_id")
-    body = F.md5(F.coalesce("html", F.lit("")))
-    tag = F.when(i % 5 != 0, F.concat(F.lit('"'), body, F.lit('"')))
     hour = F.lit(1_577_836_800) + i * 3600
-    fixed = [F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), hour.cast("string")]
-    response = pages.select((i * 2).alias("record_id"), "url", F.timestamp_seconds(hour).alias("at"), F.lit("response").alias("kind"), tag.alias("etag"), F.when(i % 3 != 0, hour.cast("string")).alias("last_modified"), body.alias("digest"), F.create_map(*fixed).alias("headers"))
-    later = [F.lit("content-type"), F.lit("ignored"), F.lit("date"), (hour + 1800).cast("string"), F.lit("expires"), (hour + 7200).cast("string")]
-    again = F.when(i % 7 == 3, F.lit('W/"other"')).otherwise(F.concat(F.lit("W/"), tag))
-    revisit = pages.select((i * 2 + 1).alias("record_id"), "url", F.timestamp_seconds(hour + 1800).alias("at"), F.lit("revisit").alias("kind"), again.alias("etag"), F.when(i % 3 != 0, hour.cast("string")).alias("last_modified"), F.when(i % 15 != 0, body).alias("digest"), F.create_map(*later).alias("headers"))
-    return response.unionByName(revisit)
+    first, second = (F.md5(F.concat(F.coalesce("html", F.lit("")), F.lit(mark))) for mark in ("", "#2"))
+    tag_of = lambda body: F.when(i % 5 != 0, F.concat(F.lit('"'), body, F.lit('"')))
+    modified = lambda at: F.when(i % 3 != 0, at.cast("string"))
+
+    def fetched(number: int, at: Column, body: Column) -> list[Column]:
+        sent = F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("cache-control"), F.lit("max-age=60"), F.lit("date"), at.cast("string"))
+        return [(i * 4 + number).alias("record_id"), F.col("url"), F.timestamp_seconds(at).alias("at"), F.lit("response").alias("kind"), tag_of(body).alias("etag"), modified(at).alias("last_modified"), body.alias("digest"), sent.alias("headers")]
+
+    def asked(number: int, at: Column, body: Column, since: Column) -> list[Column]:
+        sent = F.create_map(F.lit("content-type"), F.lit("ignored"), F.lit("date"), at.cast("string"), F.lit("expires"), (at + 5400).cast("string"))
+        tag = F.when(i % 7 == 3, F.lit('W/"other"')).otherwise(F.concat(F.lit("W/"), tag_of(body)))
+        return [(i * 4 + number).alias("record_id"), F.col("url"), F.timestamp_seconds(at).alias("at"), F.lit("revisit").alias("kind"), tag.alias("etag"), modified(since).alias("last_modified"), F.when(i % 15 != 0, body).alias("digest"), sent.alias("headers")]
+
+    newer = (i % 2 == 0) & (i % 4 != 2)
+    later = hour + 172_800
+    records = [
+        pages.select(*fetched(0, hour, first)), pages.where(i % 2 == 0).select(*fetched(1, later, second)),
+        pages.select(*asked(2, hour + 1800, first, hour)), pages.select(*asked(3, hour + 259_200, F.when(newer, second).otherwise(first), F.when(newer, later).otherwise(hour))),
+    ]
+    return records[0].unionByName(records[1]).unionByName(records[2]).unionByName(records[3])
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,35 +121,35 @@ QUERIES = {"op8_warc_revisits": op8_warc_revisits}
 ORACLE = {
     "op8_warc_revisits": r"""
 WITH bare AS (
-  SELECT page_id, md5(coalesce(html, '')) AS body, 1577836800 + page_id * 3600 AS h,
+  SELECT page_id, md5(coalesce(html, '')) AS body, md5(coalesce(html, '') || '#2') AS second, 1577836800 + page_id * 3600 AS h,
          regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?@]*@)?', '') AS b
   FROM pages),
 split AS (
-  SELECT page_id, body, h,
+  SELECT page_id, body, second, h,
          lower(regexp_replace(regexp_replace(regexp_extract(b, '^[^/?]*', 0), '(?i)^www[0-9]*[.]', ''), ':(80|443)$', '')) AS host,
          regexp_replace(regexp_extract(b, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
          list_sort(list_filter(string_split(regexp_extract(b, '^[^?]*\?(.*)$', 1), '&'),
                    lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref|sessionid)(=.*)?$'))) AS q
   FROM bare),
 page AS (
-  SELECT page_id, body, h, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical,
-         CASE WHEN page_id % 5 <> 0 THEN '"' || body || '"' END AS tag,
-         CASE WHEN page_id % 3 <> 0 THEN CAST(h AS VARCHAR) END AS modified
-  FROM split),
+  SELECT page_id AS i, body, second, h, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM split),
+sent AS (
+  SELECT i, i * 4 AS record_id, canonical, h AS t, h AS since, body FROM page
+  UNION ALL SELECT i, i * 4 + 1, canonical, h + 172800, h + 172800, second FROM page WHERE i % 2 = 0),
+full_ AS (SELECT *, CASE WHEN i % 5 <> 0 THEN '"' || body || '"' END AS tag, CASE WHEN i % 3 <> 0 THEN CAST(since AS VARCHAR) END AS modified FROM sent),
+asked AS (
+  SELECT i, i * 4 + 2 AS record_id, canonical, h + 1800 AS t, h AS since, body FROM page
+  UNION ALL SELECT i, i * 4 + 3, canonical, h + 259200, CASE WHEN i % 4 = 0 THEN h + 172800 ELSE h END, CASE WHEN i % 4 = 0 THEN second ELSE body END FROM page),
 revisit AS (
-  SELECT page_id * 2 + 1 AS record_id, canonical, h + 1800 AS t, h,
-         CASE WHEN page_id % 7 = 3 THEN '"other"' ELSE tag END AS tag, modified,
-         CASE WHEN page_id % 15 <> 0 THEN body END AS digest
-  FROM page),
+  SELECT *, CASE WHEN i % 7 = 3 THEN '"other"' WHEN i % 5 <> 0 THEN '"' || body || '"' END AS tag, CASE WHEN i % 3 <> 0 THEN CAST(since AS VARCHAR) END AS modified, CASE WHEN i % 15 <> 0 THEN body END AS digest FROM asked),
 joined AS (
-  SELECT r.record_id, r.canonical, r.h, r.tag, r.modified, r.digest, p.page_id AS p, p.tag AS ptag, p.modified AS pmodified, p.body AS pdigest,
-         row_number() OVER (PARTITION BY r.record_id ORDER BY p.h DESC NULLS LAST, p.page_id DESC) AS rn
-  FROM revisit r LEFT JOIN page p ON p.canonical = r.canonical AND p.h < r.t),
+  SELECT r.record_id, r.canonical, r.t, r.tag, r.modified, r.digest, p.record_id AS p, p.tag AS ptag, p.modified AS pmodified, p.body AS pdigest,
+         row_number() OVER (PARTITION BY r.record_id ORDER BY p.t DESC NULLS LAST, p.record_id DESC) AS rn
+  FROM revisit r LEFT JOIN full_ p ON p.canonical = r.canonical AND p.t < r.t),
 judged AS (
   SELECT *, coalesce(tag = ptag, modified = pmodified, digest = pdigest) AS agreed FROM joined WHERE rn = 1)
-SELECT record_id, canonical, p * 2 AS source_id,
+SELECT record_id, canonical, p AS source_id,
        CASE WHEN p IS NULL THEN 'orphan' WHEN agreed IS NULL THEN 'unvalidated' WHEN agreed THEN 'resolved' ELSE 'mismatch' END AS outcome,
-       CASE WHEN p IS NOT NULL AND agreed THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) ||
-            'date: ' || (h + 1800) || chr(10) || 'expires: ' || (h + 7200) END AS headers
+       CASE WHEN p IS NOT NULL AND agreed THEN 'cache-control: max-age=60' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || t || chr(10) || 'expires: ' || (t + 5400) END AS headers
 FROM judged"""
 }
