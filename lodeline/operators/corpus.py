@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.functions.text import has_any, terms
+from lodeline.sources import sample
 from lodeline.sources.sample import quoted, values_sql
 
 #: Terms of each class, in order.
@@ -189,16 +190,21 @@ MATCHES = (
 MODELS = (("small-en", 0.6, 0.5, 0.4, 40.0), ("base-en", 0.8, 0.5, 0.5, 900.0), ("large-en", 0.8, 0.7, 0.6, 7000.0), ("BAAI/bge--Large en v1.5 with a very long name that does not fit into sixty", 0.1, 0.0, 0.0, 9000.0))
 
 
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    """Sums of doubles differ in their last bits from engine to engine."""
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
 def q_normalize_finding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings(spark).select("id", "title", "protocol_name", F.array_join("tags", "|").alias("tags"), F.array_join("categories", "|").alias("categories"), "vulnerability_class", F.array_join("root_terms", "|").alias("root_terms"), F.md5("search_text").alias("search_md5"))
 
 
 def q_finding_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finding_scores(findings(spark), given_queries(spark))
+    return _rounded(finding_scores(findings(spark), given_queries(spark)), "keyword", "class_score", "pattern", "quality")
 
 
 def q_lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical_candidates(findings(spark), given_queries(spark))
+    return _rounded(lexical_candidates(findings(spark), given_queries(spark)), "score")
 
 
 def q_targeted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,11 +223,11 @@ def q_retrieval_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda c: F.filter(F.split(c, r"\|"), lambda x: x != "").alias(c)
     rows = spark.createDataFrame(MATCHES, "query int, rank int, found string, found_class string, found_tags string, found_text string, relevant string, expected_classes string, expected_terms string")
     rows = rows.select("query", "rank", "found", "found_class", listed("found_tags"), "found_text", listed("relevant"), listed("expected_classes"), listed("expected_terms"))
-    return query_metrics(labelled(rows))
+    return _rounded(query_metrics(labelled(rows)), "precision5", "recall5", "recall10", "overlap10")
 
 
 def q_best_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_models(spark.createDataFrame(MODELS, "model string, recall10 double, class_rate double, safe_rate double, latency_ms double"))
+    return _rounded(best_models(spark.createDataFrame(MODELS, "model string, recall10 double, class_rate double, safe_rate double, latency_ms double")), "score")
 
 
 def q_index_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,3 +296,4 @@ p AS (SELECT 'recall' AS best_by, model, CAST(recall10 AS DOUBLE) AS score FROM
 SELECT best_by, model, score FROM (SELECT *, row_number() OVER (PARTITION BY best_by ORDER BY score DESC, model) AS nth FROM p) WHERE nth = 1""",
     "index_names": f"""SELECT model, left('findings_' || trim(regexp_replace(lower(model), '[^a-z0-9]+', '_', 'g'), '_'), 63) AS index_name FROM {values_sql([(m[0],) for m in MODELS], "model")}""",
 }
+ORACLE |= {name: sample.doubles(ORACLE[name], *columns) for name, columns in {"finding_scores": ("keyword", "class_score", "pattern", "quality",), "lexical_candidates": ("score",), "retrieval_labels": ("precision5", "recall5", "recall10", "overlap10",), "best_models": ("score",)}.items()}

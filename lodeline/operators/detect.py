@@ -236,3 +236,4 @@ f AS (SELECT r.repo, r.file_path, r.function_name, r.start_line, l.line_no, {_an
 c AS (SELECT *, min(CASE WHEN e THEN line_no END) OVER (PARTITION BY repo, file_path, function_name, start_line) AS first_call FROM f)
 SELECT repo, file_path, function_name, first_call AS call_line, min(line_no) AS accounting_line FROM c WHERE a AND line_no > first_call GROUP BY ALL""",
 }
+ORACLE |= {name: sample.doubles(ORACLE[name], *columns) for name, columns in {"detections": ("confidence",)}.items()}

@@ -236,7 +236,7 @@ ACCESS_SOURCES = (
 
 
 def q_hypothesis_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark).select("id", *(rank_key()[c].alias(c) for c in ("meaning", "proof", "shown", "across")), "confidence")
+    return rows(spark).select("id", *(F.round(rank_key()[c], 6).alias(c) for c in ("meaning", "proof", "shown", "across")), "confidence")
 
 
 def q_hypothesis_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +279,7 @@ def q_missing_access_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tool_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = spark.createDataFrame(CHECKS, "tool int, check string, impact string, confidence string")
-    return table.select("tool", tool_class(F.col("check")).alias("vulnerability_class"), tool_confidence(F.col("impact"), F.col("confidence")).alias("score")).where("vulnerability_class is not null")
+    return table.select("tool", tool_class(F.col("check")).alias("vulnerability_class"), F.round(tool_confidence(F.col("impact"), F.col("confidence")), 6).alias("score")).where("vulnerability_class is not null")
 
 
 def q_semantic_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +327,7 @@ gated AS (
          CASE WHEN lead THEN least(confidence, {LEAD_CONFIDENCE}) WHEN proof_status = 'executed_poc_confirmed' THEN confidence ELSE least(confidence, {UNPROVEN_CONFIDENCE}) END AS confidence, CASE WHEN lead THEN 'lead' ELSE s4 END AS status,
          CASE WHEN lead THEN '' ELSE concat_ws(',', CASE WHEN s1 <> status THEN 'evidence' END, CASE WHEN s2 <> s1 THEN 'executed' END, CASE WHEN s3 <> s2 THEN 'proof' END, CASE WHEN s4 <> s3 THEN 'counterevidence' END) END AS gates,
          CASE WHEN lead THEN 'profile lead' WHEN proof_status = 'static_proof_complete' THEN 'complete static proof' WHEN proof_status IN ('setup_required', 'missing_counterevidence') THEN proof_status || '; cannot be confirmed' ELSE proof_status END AS limitation FROM g4)"""
-_GAPS = G.ORACLE["code_gaps"].removeprefix("WITH ")
+_GAPS = G.ORACLE["code_gaps"]
 ORACLE = {
     "hypothesis_rank": f"WITH {_ROWS_SQL} SELECT id, meaning, proof, shown, across, confidence FROM ranked",
     "hypothesis_merge": f"""WITH {_ROWS_SQL},
@@ -350,7 +350,7 @@ found AS (
   SELECT repo, 'inv-' || kind AS source, {_case("kind", INVARIANT_CLASS, "'business_logic'")} AS vulnerability_class, subject, confidence, proof_status, CASE WHEN proof_status = 'strong_local_path' THEN 'likely' ELSE 'needs_manual_review' END AS status FROM inv
   UNION ALL
   SELECT repo, 'gap-' || agent, {_case("gap_type", GAP_CLASS, "'business_logic'")}, subject, confidence, CASE status WHEN 'rejected' THEN 'rejected_by_counterevidence' WHEN 'likely' THEN 'strong_local_path' ELSE 'setup_required' END, status
-  FROM (WITH {_GAPS}))
+  FROM ({_GAPS}))
 SELECT * FROM found UNION ALL SELECT DISTINCT repo, 'default', 'manual_review', '', 0.2, 'setup_required', 'needs_manual_review' FROM target WHERE repo NOT IN (SELECT repo FROM found)""",
     "detection_hypotheses": f"""WITH {D._FLAGS} SELECT repo, 'static.' || detector AS source, vulnerability_class, split_part(functions, ',', 1) AS subject, confidence, CASE WHEN confidence >= 0.75 THEN 'static_proof_complete' ELSE 'strong_local_path' END AS proof_status, 'suspicious' AS status FROM detected""",
     "missing_access_control": f"""WITH {sample.lines_sql(ACCESS_SOURCES + sample.LINKED_SOURCES)},
@@ -366,3 +366,4 @@ FROM (SELECT *, CASE {" ".join(f"WHEN lower(t.check) = {quoted(k)} THEN {quoted(
   FROM (SELECT *, lower(coalesce(text, '')) AS low, {_any("lower(coalesce(text, ''))", ("usedsigner", "seensigner", "duplicate", "unique"))} AS u FROM {values_sql(CLAIMS, "claim, kind, text")}
         WHERE kind IN ('signature_threshold_uniqueness', 'checkpoint_boundary_mismatch', 'fee_formula_dimension_mismatch')))""",
 }
+ORACLE |= {name: sample.doubles(ORACLE[name], *columns) for name, columns in {"hypothesis_rank": ("meaning", "proof", "shown", "across", "confidence",), "finding_gates": ("confidence",), "code_hypotheses": ("confidence",), "detection_hypotheses": ("confidence",), "tool_findings": ("score",)}.items()}

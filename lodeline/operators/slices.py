@@ -447,3 +447,4 @@ SELECT repo, lesson, count(*) AS n_terms FROM terms JOIN {C.sample.values_sql([(
     "fact_summary": f"""WITH {C.FUNCTIONS_SQL}
 {" UNION ALL ".join(f"SELECT repo, '{name}' AS fact, count(*) AS n FROM {cte} GROUP BY repo" for name, cte in (("functions", "fn"), ("state_variables", "vars"), ("call_edges", "edges"), ("storage_accesses", "storage"), ("asset_flows", "flows"), ("auth_constraints", "auth"), ("lifecycle_transitions", "lifecycle"), ("trust_boundaries", "boundaries")))}""",
 }
+ORACLE |= {name: C.sample.doubles(ORACLE[name], *columns) for name, columns in {"slice_paths": ("confidence",), "path_invariants": ("confidence",), "order_races": ("confidence",), "code_gaps": ("confidence",)}.items()}

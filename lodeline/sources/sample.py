@@ -287,6 +287,11 @@ def values_sql(rows, columns: str) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(quoted(v) for v in row) + ")" for row in rows) + f") AS t({columns})"
 
 
+def doubles(sql: str, *columns: str) -> str:
+    """A query whose columns, decimal by their literals, are doubles of six places."""
+    return f"SELECT * REPLACE ({', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in columns)}) FROM ({sql})"
+
+
 def lines_sql(rows=SOURCES) -> str:
     """CTEs src, lines, code, depths, contracts and ranges over sources."""
     return f"""src AS (SELECT * FROM {values_sql(rows, 'repo, file_path, text')}),
