@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -10,10 +11,21 @@ import public_tokenizers as P  # noqa: E402
 import tiktoken  # noqa: E402
 
 import corpus_pipeline as C  # noqa: E402
-from lodeline.llm import language_id, mixing, near_dup, pii  # noqa: E402
+from lodeline.llm import language_id, mixing  # noqa: E402
 from lodeline.llm.bpe import read_ranks  # noqa: E402
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def plain_redacted(text):
+    """The e-mail addresses and telephone numbers of the test's sentences, by the given patterns."""
+    text = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", text)
+    return re.sub(r"\+[0-9][\x20().0-9-]+[0-9]", "[PHONE]", text)
+
+
 def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
     sentence = "the quick brown fox number {} jumps over the lazy dog and writes to a.b@c.de or calls +1 (523) 555-1055 today"
     rows = [(i, sentence.format(i // 3) + f" w{i // 3}" * 30, "en", f"src{i % 3}", 0) for i in range(60)]
@@ -25,14 +37,14 @@ def test_run_equals_its_stages_by_brute_force(spark, tmp_path):
     theirs = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
     kept, sets = {}, []
     for i, text, *_ in rows:
-        own = set(near_dup.shingle_set(text).tolist())
+        own = plain_shingles(text)
         if not any(c.isalpha() for c in text or "") or any(100 * len(own & s) >= 75 * len(own | s) for s in sets):
             continue
         sets.append(own)
         kept[i] = text
     want = {}
     for i, text in kept.items():
-        clean = pii.redacted_text(text, pii.all_spans(text, *pii.trained())[1])
+        clean = plain_redacted(text)
         ids = theirs.encode_ordinary(clean)
         want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(clean.encode()).hexdigest())
     assert got == want
