@@ -219,9 +219,11 @@ def passages_of(docs: DataFrame, most: int = PASSAGES) -> tuple[tuple[str, ...],
     text, draw = F.col("text"), F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     sign = F.regexp_instr(text, F.lit(r"@|\+[0-9]|[0-9][0-9.-]{6}"))
     anywhere = (draw % F.greatest(F.length(text) - PASSAGE, F.lit(1)) + 1).cast("int")
+    sizes = docs.agg(F.count("text"), F.count_if(sign > 0)).first()
     found = []
-    for start, rows in ((anywhere, docs), (F.greatest(sign - PASSAGE // 2, F.lit(1)), docs.where(sign > 0))):
-        taken = rows.where(text.isNotNull()).select(draw.alias("draw"), F.expr("text").substr(start, F.lit(PASSAGE)).alias("passage")).orderBy("draw", "passage").limit(most)
+    for start, rows, n in ((anywhere, docs, sizes[0]), (F.greatest(sign - PASSAGE // 2, F.lit(1)), docs.where(sign > 0), sizes[1])):
+        near = rows.where(text.isNotNull() & (draw * n <= F.lit(2 * most << 40)))  # about twice as many as are taken
+        taken = near.select(draw.alias("draw"), F.expr("text").substr(start, F.lit(PASSAGE)).alias("passage")).orderBy("draw", "passage").limit(most)
         found.append(tuple(r["passage"] for r in taken.collect()))
     return found[0], found[1]
 
