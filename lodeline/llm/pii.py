@@ -222,7 +222,7 @@ def passages_of(docs: DataFrame, most: int = PASSAGES) -> tuple[tuple[str, ...],
     sizes = docs.agg(F.count("text"), F.count_if(sign > 0)).first()
     found = []
     for start, rows, n in ((anywhere, docs, sizes[0]), (F.greatest(sign - PASSAGE // 2, F.lit(1)), docs.where(sign > 0), sizes[1])):
-        near = rows.where(text.isNotNull() & (draw * n <= F.lit(2 * most << 40)))  # about twice as many as are taken
+        near = rows.where(text.isNotNull() & (draw <= F.lit(2.0 * most * (1 << 40) / max(1, n))))  # about twice as many as are taken
         taken = near.select(draw.alias("draw"), F.expr("text").substr(start, F.lit(PASSAGE)).alias("passage")).orderBy("draw", "passage").limit(most)
         found.append(tuple(r["passage"] for r in taken.collect()))
     return found[0], found[1]
