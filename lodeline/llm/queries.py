@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES = ("bpe", "near_dup", "imatch", "language_id", "quality", "toxicity", "pii", "mixing", "html_text", "warc", "simhash", "divergence")
+MODULES = ("bpe", "near_dup", "imatch", "language_id", "quality", "toxicity", "pii", "mixing", "html_text", "warc", "simhash", "divergence", "ranked")
 
 
 def _gathered(attribute: str) -> dict:
