@@ -325,8 +325,8 @@ class Facts:
         return trust_boundaries(self.rows)
 
 
-def facts(spark: SparkSession) -> Facts:
-    return Facts(sample.sources(spark, sample.LINKED_SOURCES))
+def facts(spark: SparkSession, sf_dir: str) -> Facts:
+    return Facts(sample.repositories(spark, sf_dir, sample.LINKED_SOURCES))
 
 
 def _text(df: DataFrame, *arrays: str) -> DataFrame:
@@ -334,50 +334,50 @@ def _text(df: DataFrame, *arrays: str) -> DataFrame:
 
 
 def q_state_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark).variables
+    return facts(spark, sf_dir).variables
 
 
 def q_function_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = facts(spark).functions.select(*SCOPE, "function_name", "start_line", "visibility", "payable", "modifiers", "parameters", "reads", "writes", "calls")
+    kept = facts(spark, sf_dir).functions.select(*SCOPE, "function_name", "start_line", "visibility", "payable", "modifiers", "parameters", "reads", "writes", "calls")
     return _text(kept, "modifiers", "parameters", "reads", "writes", "calls")
 
 
 def q_storage_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark).storage
+    return facts(spark, sf_dir).storage
 
 
 def q_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark).edges
+    return facts(spark, sf_dir).edges
 
 
 def q_token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark).tokens
+    return facts(spark, sf_dir).tokens
 
 
 def q_receiver_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts(spark)
+    own = facts(spark, sf_dir)
     return with_receiver(own.rows, own.tokens).where("receiver is not null").select(*PLACE, "receiver", "kind")
 
 
 def q_unchecked_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = facts(spark)
+    own = facts(spark, sf_dir)
     return unchecked_returns(own.rows, own.tokens)
 
 
 def q_asset_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark).flows
+    return facts(spark, sf_dir).flows
 
 
 def q_auth_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark).auth
+    return facts(spark, sf_dir).auth
 
 
 def q_lifecycle_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text(facts(spark).lifecycle, "variables")
+    return _text(facts(spark, sf_dir).lifecycle, "variables")
 
 
 def q_trust_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark).boundaries
+    return facts(spark, sf_dir).boundaries
 
 
 QUERIES = {

@@ -138,27 +138,27 @@ def detections(sources: DataFrame) -> DataFrame:
 
 
 def q_function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.function_ranges(sample.sources(spark)).select("repo", "file_path", "contract_name", "function_name", "start_line", "end_line")
+    return L.function_ranges(sample.repositories(spark, sf_dir)).select("repo", "file_path", "contract_name", "function_name", "start_line", "end_line")
 
 
 def q_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detections(sample.sources(spark, sample.LINKED_SOURCES))
+    return detections(sample.repositories(spark, sf_dir, sample.LINKED_SOURCES))
 
 
 def q_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = sample.sources(spark)
+    src = sample.repositories(spark, sf_dir)
     held = L.containing(L.to_lines(src), L.function_ranges(src), KEYS)
     return held.where("function_name is not null").groupBy(*KEYS, "function_name").agg(F.count("*").alias("n_lines"), F.sum(F.length("raw")).alias("n_chars"))
 
 
 def q_line_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["tx_origin_auth", "oracle_staleness_logic", "dangerous_delegatecall", "unsafe_or_guards", "chainlink_unbounded_price", "unsafe_approve"]
-    flagged = flagged_lines(sample.sources(spark))
+    flagged = flagged_lines(sample.repositories(spark, sf_dir))
     return flagged.groupBy("repo").agg(*(F.sum(F.col(n).cast("int")).alias(n) for n in names))
 
 
 def q_first_call_then_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flagged = flagged_lines(sample.sources(spark)).where("external_call_before_accounting")
+    flagged = flagged_lines(sample.repositories(spark, sf_dir)).where("external_call_before_accounting")
     return flagged.groupBy(*KEYS, "function_name").agg(F.min("line_no").alias("call_line"), F.max("line_no").alias("accounting_line"))
 
 

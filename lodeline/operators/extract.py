@@ -28,8 +28,8 @@ REPORTS = (
 ADVICE = {"licensing": "state the licence of every source", "secret": "rotate {} secrets and scan history", "contact": "redact {} contacts before use"}
 
 
-def code_lines(spark: SparkSession) -> DataFrame:
-    return L.to_lines(sample.sources(spark)).withColumn("code", L.strip_comment(F.col("raw")))
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.to_lines(sample.repositories(spark, sf_dir)).withColumn("code", L.strip_comment(F.col("raw")))
 
 
 def visibility(signature: Column) -> Column:
@@ -74,16 +74,16 @@ def tool_findings(reports: DataFrame) -> DataFrame:
 
 
 def q_signature_parse(spark, sf_dir):
-    found = L.function_ranges(sample.sources(spark)).where("function_name not in ('constructor', 'receive', 'fallback')")
+    found = L.function_ranges(sample.repositories(spark, sf_dir)).where("function_name not in ('constructor', 'receive', 'fallback')")
     return found.select(*KEYS, "function_name", "start_line", visibility(F.col("signature")).alias("visibility"), F.array_join(parameters(F.col("signature")), ",").alias("parameters"))
 
 
 def q_assignment_lines(spark, sf_dir):
-    return assignments(code_lines(spark))
+    return assignments(code_lines(spark, sf_dir))
 
 
 def q_call_sites(spark, sf_dir):
-    return call_sites(code_lines(spark)).groupBy("receiver", "callee").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+    return call_sites(code_lines(spark, sf_dir)).groupBy("receiver", "callee").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
 
 
 def q_front_matter_note(spark, sf_dir):
@@ -130,8 +130,8 @@ def q_output_reference(spark, sf_dir):
 
 def q_slice_scoring(spark, sf_dir):
     """Lines of functions that name state: three for their own function's name, one a state variable named."""
-    src = sample.sources(spark)
-    variables = code_lines(spark).select(*KEYS, F.regexp_extract("code", r"^    (?:[A-Za-z0-9_]+|mapping\([^)]*\)) (?:public|private) ([A-Za-z_][A-Za-z0-9_]*)", 1).alias("variable")).where("variable <> ''").distinct()
+    src = sample.repositories(spark, sf_dir)
+    variables = code_lines(spark, sf_dir).select(*KEYS, F.regexp_extract("code", r"^    (?:[A-Za-z0-9_]+|mapping\([^)]*\)) (?:public|private) ([A-Za-z_][A-Za-z0-9_]*)", 1).alias("variable")).where("variable <> ''").distinct()
     held = L.containing(L.to_lines(src), L.function_ranges(src), KEYS).where("function_name is not null")
     words = held.select(*KEYS, "function_name", "start_line", F.explode(F.array_distinct(F.regexp_extract_all(L.strip_comment(F.col("raw")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("variable")).distinct()
     return words.join(variables, [*KEYS, "variable"]).groupBy(*KEYS, "function_name", "start_line").agg((F.count("*") + 3).alias("score"))

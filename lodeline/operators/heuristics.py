@@ -62,11 +62,11 @@ def checklist(rows: DataFrame, most: int) -> DataFrame:
 
 
 def q_line_heuristics(spark, sf_dir):
-    return line_heuristics(sample.sources(spark))
+    return line_heuristics(sample.repositories(spark, sf_dir))
 
 
 def q_first_match_hypotheses(spark, sf_dir):
-    return first_matches(sample.sources(spark))
+    return first_matches(sample.repositories(spark, sf_dir))
 
 
 def q_checklist_build(spark, sf_dir):

@@ -261,20 +261,20 @@ def q_hypothesis_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_code_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hypotheses of the linked sources from attack paths and gaps, and a manual review where there is none."""
-    own, fns, reach, _, facts = G._graph(spark)
+    own, fns, reach, _, facts = G._graph(spark, sf_dir)
     kinds = F.array(*(F.lit(f[1]) for f in G.FAMILIES))
     paths = G.attack_paths(G.graph_slices(own, fns, reach, facts)).withColumn("invariant_type", F.get(kinds, "nth"))
-    _, acts, raced, assumed = G._acts(spark, own)
+    _, acts, raced, assumed = G._acts(spark, sf_dir, own)
     found = from_invariants(paths).unionByName(from_gaps(G.gaps(acts, raced, assumed)))
     return or_manual_review(found, own.sources.select("repo").distinct())
 
 
 def q_detection_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_detections(D.detections(sample.sources(spark, sample.LINKED_SOURCES)))
+    return from_detections(D.detections(sample.repositories(spark, sf_dir, sample.LINKED_SOURCES)))
 
 
 def q_missing_access_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return missing_access_control(sample.sources(spark, ACCESS_SOURCES + sample.LINKED_SOURCES))
+    return missing_access_control(sample.repositories(spark, sf_dir, ACCESS_SOURCES + sample.LINKED_SOURCES))
 
 
 def q_tool_findings(spark: SparkSession, sf_dir: str) -> DataFrame:

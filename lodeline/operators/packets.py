@@ -35,15 +35,15 @@ def loop_extents(sources: DataFrame) -> DataFrame:
 
 
 def q_caller_mentions(spark, sf_dir):
-    return callers(sample.sources(spark))
+    return callers(sample.repositories(spark, sf_dir))
 
 
 def q_loop_extent(spark, sf_dir):
-    return loop_extents(sample.sources(spark))
+    return loop_extents(sample.repositories(spark, sf_dir))
 
 
 def q_domain_facts(spark, sf_dir):
-    lines = L.to_lines(sample.sources(spark)).withColumn("low", F.lower(L.strip_comment(F.col("raw"))))
+    lines = L.to_lines(sample.repositories(spark, sf_dir)).withColumn("low", F.lower(L.strip_comment(F.col("raw"))))
     phase = F.lit(False)
     for word in PHASES:
         phase |= F.contains("low", F.lit(word))

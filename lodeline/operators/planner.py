@@ -220,8 +220,12 @@ def q_decision_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_entry_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(ANCHORED, "repo string, id string, vulnerability_class string, functions string").withColumn("functions", _split("functions"))
-    return enriched(rows, functions_of(C.facts(spark))).withColumn("functions", F.array_join("functions", ","))
+    """Hypotheses on functions of each repository that follows one of two patterns."""
+    own = C.facts(spark, sf_dir)
+    patterns = spark.createDataFrame(ANCHORED, "pattern string, id string, vulnerability_class string, functions string").withColumn("functions", _split("functions"))
+    repositories = own.sources.select("repo", F.regexp_extract("repo", "^[a-z]+", 0).alias("pattern")).distinct()
+    rows = repositories.join(F.broadcast(patterns), "pattern").drop("pattern")
+    return enriched(rows, functions_of(own)).withColumn("functions", F.array_join("functions", ","))
 
 
 def q_evidence_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +258,7 @@ k AS (SELECT *, CASE WHEN NOT known THEN 'unknown_tool' WHEN side_effects IN ('n
   array_to_string(list_transform(given, lambda g: g || '=' || (CAST(input AS JSON)->>g)), ',') AS same FROM j)
 SELECT seq, tool, coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY tool, same, reason IS NULL ORDER BY seq) > 1 THEN 'duplicate_call' END, 'run') AS verdict FROM k""",
     "entry_enrich": f"""WITH {C.FUNCTIONS_SQL},
-h AS (SELECT repo, id, vulnerability_class, string_split(functions, '|') AS functions FROM {values_sql(ANCHORED, "repo, id, vulnerability_class, functions")}),
+h AS (SELECT s.repo, id, vulnerability_class, string_split(functions, '|') AS functions FROM (SELECT DISTINCT repo FROM src) s JOIN {values_sql(ANCHORED, "pattern, id, vulnerability_class, functions")} ON regexp_extract(s.repo, '^[a-z]+') = pattern),
 c AS (SELECT repo, function_name, file_path, start_line, regexp_extract(unnest(calls), '[^.]+$') AS callee FROM fn),
 a AS (SELECT h.repo, h.id, c.function_name, min((c.file_path, c.start_line)) AS place FROM h JOIN c ON c.repo = h.repo AND list_contains(h.functions, c.callee) WHERE vulnerability_class IN {C._list(ENRICHED)} AND NOT list_contains(h.functions, c.function_name) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY repo, id ORDER BY place, function_name) AS nth FROM a)

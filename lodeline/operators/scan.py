@@ -106,11 +106,11 @@ def q_marker_lines(spark, sf_dir):
 
 
 def q_doc_carry(spark, sf_dir):
-    return doc_carry(L.to_lines(sample.sources(spark)), ["repo", "file_path"])
+    return doc_carry(L.to_lines(sample.repositories(spark, sf_dir)), ["repo", "file_path"])
 
 
 def q_nesting_ranges(spark, sf_dir):
-    rows = L.nesting_ranges(L.to_lines(sample.sources(spark)), ["repo", "file_path"])
+    rows = L.nesting_ranges(L.to_lines(sample.repositories(spark, sf_dir)), ["repo", "file_path"])
     return rows.groupBy("repo", "file_path").agg(F.max("depth_after").alias("deepest"), F.sum((F.col("depth_after") > 1).cast("int")).alias("inner_lines"), F.count("*").alias("n_lines"))
 
 
@@ -143,12 +143,12 @@ def q_set_algebra(spark, sf_dir):
 
 
 def q_repo_snapshot(spark, sf_dir):
-    files = sample.sources(spark).withColumn("kind", X.source_type(F.col("file_path")))
+    files = sample.repositories(spark, sf_dir).withColumn("kind", X.source_type(F.col("file_path")))
     return files.groupBy("repo").agg(F.count("*").alias("n_files"), F.sum(F.col("kind").isin("production", "unknown").cast("int")).alias("n_target"), F.sum((F.col("kind") == "test").cast("int")).alias("n_tests"), F.min(F.regexp_extract("text", r"pragma solidity ([^;]+);", 1)).alias("pragma"))
 
 
 def q_body_concat(spark, sf_dir):
-    src = sample.sources(spark)
+    src = sample.repositories(spark, sf_dir)
     held = L.containing(L.to_lines(src), L.function_ranges(src), ["repo", "file_path"]).where("function_name is not null")
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
     body = F.substring(F.array_join(F.transform(ordered, lambda x: x["raw"]), "\n"), 1, 1600)

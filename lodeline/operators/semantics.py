@@ -157,37 +157,37 @@ def helper_flows(rows: DataFrame) -> DataFrame:
     return found.select(*C.PLACE, kind.alias("asset_kind"), F.when(n >= 3, arg(0)).alias("from_expr"), F.when(n >= 3, arg(1)).otherwise(arg(0)).alias("to_expr"), F.when(n >= 3, arg(2)).otherwise(arg(1)).alias("amount_expr"))
 
 
-def _facts(spark: SparkSession) -> C.Facts:
-    return C.Facts(sample.sources(spark, SOURCES))
+def _facts(spark: SparkSession, sf_dir: str) -> C.Facts:
+    return C.Facts(sample.repositories(spark, sf_dir, SOURCES))
 
 
 def q_statement_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(_facts(spark).rows)
+    return statements(_facts(spark, sf_dir).rows)
 
 
 def q_data_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data_flows(_facts(spark).rows)
+    return data_flows(_facts(spark, sf_dir).rows)
 
 
 def q_semantic_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic_calls(_facts(spark).rows)
+    return semantic_calls(_facts(spark, sf_dir).rows)
 
 
 def q_checkpoint_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checkpoint_lookups(_facts(spark).rows)
+    return checkpoint_lookups(_facts(spark, sf_dir).rows)
 
 
 def q_fee_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fee_formulas(_facts(spark).rows).withColumns({c: F.array_join(c, "|") for c in ("numerator", "units")})
+    return fee_formulas(_facts(spark, sf_dir).rows).withColumns({c: F.array_join(c, "|") for c in ("numerator", "units")})
 
 
 def q_native_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _facts(spark)
+    own = _facts(spark, sf_dir)
     return native_payments(own.rows, own.sources)
 
 
 def q_helper_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return helper_flows(_facts(spark).rows)
+    return helper_flows(_facts(spark, sf_dir).rows)
 
 
 QUERIES = {n.removeprefix("q_"): f for n, f in list(globals().items()) if n.startswith("q_")}

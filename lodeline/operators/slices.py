@@ -238,83 +238,83 @@ def lessons(fns: DataFrame) -> DataFrame:
     return words.join(wanted, "term").groupBy("repo", "lesson").agg(F.countDistinct("term").alias("n_terms")).where("n_terms >= 2")
 
 
-def _graph(spark: SparkSession, own: C.Facts | None = None):
-    own = own or C.facts(spark)
+def _graph(spark: SparkSession, sf_dir: str, own: C.Facts | None = None):
+    own = own or C.facts(spark, sf_dir)
     fns = functions_of(own)
     reach, steps = slices(own, fns)
     return own, fns, reach, steps, materialise(slice_facts(own, fns, reach, steps), "slice-facts")
 
 
-def _acts(spark: SparkSession, own: C.Facts | None = None):
-    own = own or C.facts(spark)
+def _acts(spark: SparkSession, sf_dir: str, own: C.Facts | None = None):
+    own = own or C.facts(spark, sf_dir)
     fns = functions_of(own)
     acts = materialise(actions(fns, own.flows), "actions")
     return fns, acts, races(acts), assumptions(acts)
 
 
 def q_call_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = C.facts(spark)
+    own = C.facts(spark, sf_dir)
     return successors(functions_of(own), own.edges)
 
 
 def q_entry_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = C.facts(spark)
+    own = C.facts(spark, sf_dir)
     return slices(own, functions_of(own))[0]
 
 
 def q_graph_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, fns, reach, _, facts = _graph(spark)
+    own, fns, reach, _, facts = _graph(spark, sf_dir)
     found = graph_slices(own, fns, reach, facts)
     return found.select("repo", "entry", "functions", "writes", "reads", "flows", "edges", "auth", "lifecycle", "boundaries", *(F.array_join(c, "|").alias(c) for c in ("written", "against", "missing")), "proof_status")
 
 
 def q_slice_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, fns, _, _, facts = _graph(spark)
+    _, fns, _, _, facts = _graph(spark, sf_dir)
     return slice_evidence(fns, facts)
 
 
 def q_slice_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, fns, reach, _, facts = _graph(spark)
+    own, fns, reach, _, facts = _graph(spark, sf_dir)
     return attack_paths(graph_slices(own, fns, reach, facts)).select("path", "repo", "entry", "family", "proof_status", "confidence")
 
 
 def q_path_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each attack path as an invariant to prove; a path without evidence in its slice is dropped."""
-    own, fns, reach, _, facts = _graph(spark)
+    own, fns, reach, _, facts = _graph(spark, sf_dir)
     paths = attack_paths(graph_slices(own, fns, reach, facts)).join(slice_evidence(fns, facts).select("repo", "entry").distinct(), ["repo", "entry"], "left_semi")
     kinds, proofs = (F.array(*(F.lit(f[i]) for f in FAMILIES)) for i in (1, 2))
     return paths.select("path", "repo", "entry", F.get(kinds, "nth").alias("invariant_type"), F.get(proofs, "nth").alias("required_proof"), "confidence", F.array_join("written", ",").alias("state"))
 
 
 def q_user_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _acts(spark)[1].select("repo", "node", "role", "effects", F.array_join("missing_bounds", ",").alias("missing_bounds"), "sentence")
+    return _acts(spark, sf_dir)[1].select("repo", "node", "role", "effects", F.array_join("missing_bounds", ",").alias("missing_bounds"), "sentence")
 
 
 def q_order_races(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _acts(spark)[2].select("repo", "victim", "mutator", "edge_type", F.array_join("shared", ",").alias("shared"), "confidence")
+    return _acts(spark, sf_dir)[2].select("repo", "victim", "mutator", "edge_type", F.array_join("shared", ",").alias("shared"), "confidence")
 
 
 def q_code_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, acts, raced, assumed = _acts(spark)
+    _, acts, raced, assumed = _acts(spark, sf_dir)
     return gaps(acts, raced, assumed)
 
 
 def q_code_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return actors(functions_of(C.facts(spark)))
+    return actors(functions_of(C.facts(spark, sf_dir)))
 
 
 def q_reasoning_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, acts, raced, assumed = _acts(spark)
+    _, acts, raced, assumed = _acts(spark, sf_dir)
     return packets(acts, assumed, raced)
 
 
 def q_memory_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lessons(functions_of(C.facts(spark)))
+    return lessons(functions_of(C.facts(spark, sf_dir)))
 
 
 def q_fact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each fact table by repository."""
-    own = C.facts(spark)
+    own = C.facts(spark, sf_dir)
     tables = {"functions": own.functions, "state_variables": own.variables, "call_edges": own.edges, "storage_accesses": own.storage, "asset_flows": own.flows, "auth_constraints": own.auth, "lifecycle_transitions": own.lifecycle, "trust_boundaries": own.boundaries}
     counts = None
     for name, table in tables.items():

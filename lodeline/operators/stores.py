@@ -108,7 +108,7 @@ def q_listing_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_bounded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources written one a file and read back by their first 400 bytes."""
     root = scratch(spark, "files")
-    rows = sample.sources(spark, sample.LINKED_SOURCES).select("text")
+    rows = sample.repositories(spark, sf_dir, sample.LINKED_SOURCES).select("text")
     rows.write.option("maxRecordsPerFile", 1).text(root)
     return files.read_bounded(spark, root, 400).select(F.md5("text").alias("md5"), "truncated", "n_lines").distinct()
 
@@ -132,6 +132,6 @@ SELECT 'r1' AS run, bucket, count(id) AS n, coalesce(string_agg(id, ',' ORDER BY
 WHEN json_type(TRY_CAST(value AS JSON)) = 'OBJECT' AND length(value) > {sinks.SLIM_CHARS} THEN '<dict:' || len(json_keys(TRY_CAST(value AS JSON))) || ' keys; omitted>' ELSE value END AS value FROM {values_sql(STATE, "key, value")}""",
     "lesson_log": f"SELECT DISTINCT repo, lesson FROM {values_sql(LESSONS + MORE_LESSONS, 'repo, lesson')}",
     "listing_capped": "SELECT path, count(*) OVER () > 100 AS truncated FROM (SELECT DISTINCT url AS path FROM pages WHERE url IS NOT NULL) ORDER BY path LIMIT 100",
-    "bounded_read": f"""SELECT DISTINCT md5(left(text || chr(10), 400)) AS md5, length(text || chr(10)) > 400 AS truncated, len(string_split(left(text || chr(10), 400), chr(10))) AS n_lines FROM {values_sql(sample.LINKED_SOURCES, "repo, file_path, text")}""",
+    "bounded_read": f"""WITH {sample.src_sql(sample.LINKED_SOURCES)} SELECT DISTINCT md5(left(text || chr(10), 400)) AS md5, length(text || chr(10)) > 400 AS truncated, len(string_split(left(text || chr(10), 400), chr(10))) AS n_lines FROM src""",
     "framework": f"""SELECT repo, CASE WHEN bool_or(regexp_matches(path, '(^|/)foundry.toml$')) THEN 'foundry' WHEN bool_or(regexp_matches(path, '(^|/)hardhat.config.(js|ts)$')) THEN 'hardhat' ELSE 'unknown' END AS framework FROM {values_sql(MARKERS, "repo, path")} GROUP BY repo""",
 }

@@ -94,11 +94,6 @@ def target_sources(sources: DataFrame) -> DataFrame:
     return sources.where(source_type(F.col("file_path")).isin("production", "unknown"))
 
 
-def target_sources(sources: DataFrame) -> DataFrame:
-    """Sources that are judged: production code and files of unknown kind."""
-    return sources.where(source_type(F.col("file_path")).isin("production", "unknown"))
-
-
 #: Lines of a bin, by which lines and ranges meet.
 BIN = 64
 

@@ -1,8 +1,9 @@
-"""A small corpus of contract sources, written for this engine, and frames and SQL values made of it."""
+"""Contract sources written for this engine, repositories that follow them for each supplier, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VAULT = """pragma solidity ^0.8.20;
 import "./IERC20.sol";
@@ -82,7 +83,7 @@ contract PushOracle {
 
 GAME = """pragma solidity ^0.8.0;
 
-contract EggGame {
+contract HatchGame {
     mapping(uint256 => address) public depositors;
     uint256[] public players;
 
@@ -259,8 +260,8 @@ contract OrderBook {
 SOURCES = (
     ("treasury", "src/Treasury.sol", VAULT),
     ("treasury", "src/PushOracle.sol", ORACLE),
-    ("game", "contracts/EggGame.sol", GAME),
-    ("game", "test/EggGame.t.sol", GAME.replace("EggGame", "EggGameTest")),
+    ("game", "contracts/HatchGame.sol", GAME),
+    ("game", "test/HatchGame.t.sol", GAME.replace("HatchGame", "HatchGameTest")),
     ("safe", "src/SafeBox.sol", SAFE),
     ("safe", "lib/SafeBox.sol", SAFE.replace("SafeBox", "LibBox")),
 )
@@ -275,6 +276,31 @@ def sources(spark: SparkSession, rows=SOURCES) -> DataFrame:
     return spark.createDataFrame(rows, "repo string, file_path string, text string")
 
 
+def repositories(spark: SparkSession, sf_dir: str, rows=SOURCES) -> DataFrame:
+    """repo, file_path, text: a repository for each supplier, after one of those in ``rows``.
+
+    The supplier's key picks the repository it follows and names it; its balance, if negative, drops the owners' guards; its
+    nation sets the delay and, if even, renames the keeper. So code and facts differ from repository to repository and
+    grow with the table.
+    """
+    kinds = list(dict.fromkeys(r[0] for r in rows))
+    patterns = spark.createDataFrame([(kinds.index(repo), repo, path, text) for repo, path, text in rows], "kind int, name string, file_path string, given string")
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_acctbal").withColumn("kind", F.pmod("s_suppkey", F.lit(len(kinds))).cast("int"))
+    guarded = F.when(F.col("s_acctbal") < 0, F.replace("given", F.lit(" onlyOwner"), F.lit(""))).otherwise(F.col("given"))
+    delayed = F.replace(guarded, F.lit("3600"), (600 * (F.col("s_nationkey") + 1)).cast("int").cast("string"))
+    renamed = F.when(F.col("s_nationkey") % 2 == 0, F.replace(delayed, F.lit("keeper"), F.concat(F.lit("keeper"), F.col("s_nationkey").cast("string")))).otherwise(delayed)
+    return suppliers.join(F.broadcast(patterns), "kind").select(F.concat("name", F.lit("-"), F.col("s_suppkey").cast("string")).alias("repo"), "file_path", renamed.alias("text"))
+
+
+def src_sql(rows=SOURCES) -> str:
+    """The CTE src: ``repositories`` in SQL."""
+    kinds = list(dict.fromkeys(r[0] for r in rows))
+    values = values_sql([(kinds.index(repo), repo, path, text) for repo, path, text in rows], "kind, name, file_path, given")
+    return f"""src AS (SELECT name || '-' || s_suppkey AS repo, file_path, CASE WHEN s_nationkey % 2 = 0 THEN replace(delayed, 'keeper', 'keeper' || s_nationkey) ELSE delayed END AS text
+  FROM (SELECT *, replace(CASE WHEN s_acctbal < 0 THEN replace(given, ' onlyOwner', '') ELSE given END, '3600', CAST(600 * (s_nationkey + 1) AS VARCHAR)) AS delayed
+        FROM supplier JOIN {values} ON kind = s_suppkey % {len(kinds)}))"""
+
+
 def quoted(value) -> str:
     """A SQL literal."""
     if value is None:
@@ -294,7 +320,7 @@ def doubles(sql: str, *columns: str) -> str:
 
 def lines_sql(rows=SOURCES) -> str:
     """CTEs src, lines, code, depths, contracts and ranges over sources."""
-    return f"""src AS (SELECT * FROM {values_sql(rows, 'repo, file_path, text')}),
+    return f"""{src_sql(rows)},
 lines AS (
   SELECT repo, file_path, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS raw FROM src),
 code AS (SELECT *, split_part(raw, '//', 1) AS code FROM lines),
@@ -318,4 +344,4 @@ ranges AS (
 
 
 LINES_SQL = lines_sql()
-SOURCES_SQL = f"src AS (SELECT * FROM {values_sql(SOURCES, 'repo, file_path, text')})"
+SOURCES_SQL = src_sql()

@@ -11,7 +11,7 @@ SMALL = "/root/testdata/sf0.001"
 def test_every_oracle_has_a_query_and_columns_are_named():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(catalogue.queries()) > 170
+    assert set(entry.queries()).isdisjoint(catalogue.FIXTURES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are absent")
@@ -27,14 +27,15 @@ def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(SMALL):
         con.execute(f"create view {file.removesuffix('.parquet')} as select * from read_parquet('{SMALL}/{file}')")
-    df = entry.queries()[name](spark, SMALL)
+    query, sql = catalogue.fixtures().get(name) or (entry.queries()[name], entry.oracle_sql()[name])
+    df = query(spark, SMALL)
     columns = sorted(df.columns)
 
     def plain(value):
         return round(float(value), 6) if isinstance(value, (int, float)) and not isinstance(value, bool) else str(value)
 
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
-    result = con.execute(entry.oracle_sql()[name])
+    result = con.execute(sql)
     names = [d[0] for d in result.description]
     want = sorted(tuple(plain(row[names.index(c)]) for c in columns) for row in result.fetchall())
     assert sorted(names) == columns and got == want

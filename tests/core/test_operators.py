@@ -36,7 +36,7 @@ def test_function_ranges_of_odd_sources(spark):
 
 def test_detectors_fire_where_they_should(spark):
     got = {(r.repo, r.detector): r.evidence for r in D.detections(sample.sources(spark)).collect()}
-    vault, feed, game = "src/Treasury.sol", "src/PushOracle.sol", "contracts/EggGame.sol"
+    vault, feed, game = "src/Treasury.sol", "src/PushOracle.sol", "contracts/HatchGame.sol"
     assert got == {
         ("game", "erc4626_convertto_includes_fees"): f"{game}:26",
         ("game", "public_vault_accounting_spoof"): f"{game}:15,{game}:16,{game}:17",
