@@ -110,13 +110,13 @@ def graph_slices(own: C.Facts, fns: DataFrame, reach: DataFrame, facts: DataFram
 
 
 def attack_paths(found: DataFrame) -> DataFrame:
-    """path (by order of entry points), repo, entry, family, confidence: the first MOST_PATHS slices of a family."""
+    """path (by order of entry points), repo, entry, family, confidence: the first MOST_PATHS slices of a family in each repository."""
     family = F.when((F.col("flows") > 0) & (F.col("writes") > 0), 0).when((F.col("lifecycle") > 0) & (F.col("auth") == 0), 1).when((F.col("boundaries") > 0) & (F.col("writes") > 0), 2)
-    of = found.withColumn("nth", family).where("nth is not null").orderBy("repo", "file_path", "start_line", "entry").limit(MOST_PATHS)
+    path = F.row_number().over(Window.partitionBy("repo").orderBy("file_path", "start_line", "entry"))
+    of = found.withColumn("nth", family).where("nth is not null").withColumn("path", path).where(F.col("path") <= MOST_PATHS)
     confidence = F.when(F.col("nth") == 0, F.when(F.col("proof_status") == "strong_local_path", 0.74).otherwise(0.60)).when(F.col("nth") == 1, 0.62).otherwise(0.64)
     names = F.array(*(F.lit(f[0]) for f in FAMILIES))
-    path = F.row_number().over(Window.orderBy("repo", "file_path", "start_line", "entry"))  # of at most MOST_PATHS rows
-    return of.select(path.alias("path"), "repo", "entry", F.get(names, "nth").alias("family"), "nth", "proof_status", confidence.alias("confidence"), "written")
+    return of.select("path", "repo", "entry", F.get(names, "nth").alias("family"), "nth", "proof_status", confidence.alias("confidence"), "written")
 
 
 def slice_evidence(fns: DataFrame, facts: DataFrame) -> DataFrame:
@@ -380,8 +380,8 @@ sl AS (
          CASE WHEN flows > 0 AND writes > 0 THEN CASE WHEN auth = 0 AND mods = 0 AND safe_flows = 0 THEN 'strong_local_path' ELSE 'missing_counterevidence' END
               WHEN writes + flows + control > 0 THEN 'setup_required' ELSE 'rejected_by_counterevidence' END AS proof_status FROM base),
 paths AS (
-  SELECT row_number() OVER (ORDER BY repo, file_path, start_line, entry) AS path, * FROM (
-    SELECT *, CASE WHEN paired THEN 0 WHEN lifecycle > 0 AND auth = 0 THEN 1 WHEN boundaries > 0 AND writes > 0 THEN 2 END AS nth FROM sl) WHERE nth IS NOT NULL ORDER BY repo, file_path, start_line, entry LIMIT """ + str(MOST_PATHS) + """),
+  SELECT * FROM (SELECT row_number() OVER (PARTITION BY repo ORDER BY file_path, start_line, entry) AS path, * FROM (
+    SELECT *, CASE WHEN paired THEN 0 WHEN lifecycle > 0 AND auth = 0 THEN 1 WHEN boundaries > 0 AND writes > 0 THEN 2 END AS nth FROM sl) WHERE nth IS NOT NULL) WHERE path <= """ + str(MOST_PATHS) + """),
 scored AS (SELECT *, CASE nth WHEN 0 THEN CASE WHEN proof_status = 'strong_local_path' THEN 0.74 ELSE 0.60 END WHEN 1 THEN 0.62 ELSE 0.64 END AS confidence FROM paths)"""
 _ACTS = C.FUNCTIONS_SQL + f""",
 nodes AS (SELECT *, contract_name || '.' || function_name AS node, left(full_sig, {MOST_TEXT}) AS body FROM fn),
