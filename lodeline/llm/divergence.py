@@ -3,7 +3,7 @@
 1. Single-pass in-memory indexing: a task counts the terms of its documents, by language and source, in a block. When
    the block holds BLOCK_ENTRIES entries it leaves as a run in the order of its terms, and the next one begins. So
    a term leaves a task once a block and source, however frequent it is.
-2. Runs are dealt into shards by the hash of (language, term), and each shard merges its runs in the order of terms and adds
+2. Runs are dealt into shards by the hash of term and language, and each shard merges its runs in the order of terms and adds
    up: one row a term, with its occurrences in every source that has it. Terms in fewer than LEAST_DOCUMENTS documents of
    the language go.
 3. A pair's value is a sum over all kept terms of the language, most of which either source lacks. It is formed
@@ -32,13 +32,13 @@ LEAST_DOCUMENTS = 3
 #: Ranks of terms that are reported for a group.
 REPORTED = 200
 #: Entries (language, source, term) of a block in a task's memory.
-BLOCK_ENTRIES = 200_000
+BLOCK_ENTRIES = 500_000
 #: Shares are counted in units of this part of all.
 UNIT = 1_000_000_000
 #: Rows of a batch that leaves a task; elements of pairs that are worked out at once.
 RUN_ROWS, PAIR_ELEMENTS = 20_000, 1_000_000
 
-_RUN = "lang string, term string, source string, n long, docs long"
+_RUN = "key string, source string, n long, docs long"
 _TERMS = "lang string, term string, total long, sources array<string>, counts array<long>"
 
 #: A-Z to a-z, what is no part of a term to a space; bytes above 127 stay.
@@ -51,25 +51,25 @@ def terms_of(text: bytes | None) -> list[bytes]:
 
 
 def _runs(block_entries: int):
-    """Batches of (lang, text, source) to runs of term-ordered (lang, term, source, n, docs).
+    """Batches of (lang, text, source) to runs of (key, source, n, docs) in the order of keys.
 
-    Each group (lang, source) of a block also has a row of a null term, so groups without terms are not lost.
+    A key is a term, a NUL (which no term holds) and the language. Each group (lang, source) of a block also has a row of the
+    empty term, so groups without terms are not lost.
     """
 
     def spilled(counts: dict, docs: dict) -> Iterator:
         import pyarrow as pa
 
-        columns: list[list] = [[], [], [], [], []]
+        keys, sources, ns, ds = [], [], [], []
         for (lang, source), found in counts.items():
-            own = docs[lang, source]
-            for column, more in zip(columns, ([lang] * (len(found) + 1), [None, *found], [source] * (len(found) + 1), [0, *found.values()], [0, *(own[t] for t in found)]), strict=True):
-                column.extend(more)
-        names = ["lang", "term", "source", "n", "docs"]
-        kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
-        run = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-        run = run.sort_by([("lang", "ascending"), ("term", "ascending"), ("source", "ascending")])
-        run = run.set_column(1, "term", run["term"].cast(pa.string()))
-        yield from run.to_batches(max_chunksize=RUN_ROWS)
+            own, end = docs[lang, source], b"\0" + lang.encode()
+            keys += [end, *(t + end for t in found)]
+            sources += [source] * (len(found) + 1)
+            ns += [0, *found.values()]
+            ds += [0, *map(own.__getitem__, found)]
+        run = pa.table([pa.array(keys, pa.binary()), pa.array(sources, pa.string()), pa.array(ns, pa.int64()), pa.array(ds, pa.int64())], names=["key", "source", "n", "docs"])
+        run = run.sort_by([("key", "ascending"), ("source", "ascending")])
+        yield from run.set_column(0, "key", run["key"].cast(pa.string())).to_batches(max_chunksize=RUN_ROWS)
 
     def run(batches: Iterator) -> Iterator:
         counts: dict = defaultdict(Counter)
@@ -99,36 +99,38 @@ def _merged(least: int):
         new = np.zeros(len(columns[0]), bool)
         new[:1] = True
         for c in columns:
-            a, b = c.slice(1), c.slice(0, len(c) - 1)
-            differs = pc.if_else(pc.and_(pc.is_valid(a), pc.is_valid(b)), pc.not_equal(a, b), pc.xor(pc.is_valid(a), pc.is_valid(b)))
-            new[1:] |= differs.to_numpy(zero_copy_only=False).astype(bool)
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False).astype(bool)
         return np.flatnonzero(new)
 
     def added(table):
-        """One row for each (lang, term, source)."""
+        """One row for each (key, source)."""
         import pyarrow as pa
 
-        at = firsts(table["lang"], table["term"], table["source"])
+        at = firsts(table["key"], table["source"])
+        if len(at) == table.num_rows:
+            return table
         sums = [pa.array(np.add.reduceat(table[c].to_numpy(), at)) for c in ("n", "docs")]
-        return pa.table([*(table[c].take(pa.array(at)) for c in ("lang", "term", "source")), *sums], names=["lang", "term", "source", "n", "docs"])
+        return pa.table([*(table[c].take(pa.array(at)) for c in ("key", "source")), *sums], names=["key", "source", "n", "docs"])
 
     def finished(table) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         if not table.num_rows:
             return
-        at = firsts(table["lang"], table["term"])
+        at = firsts(table["key"])
         ends = np.append(at[1:], table.num_rows)
-        known = np.add.reduceat(table["docs"].to_numpy(), at)
-        term = table["term"].take(pa.array(at))
-        keep = np.flatnonzero((known >= least) | ~term.is_valid().to_numpy(zero_copy_only=False).astype(bool))
-        rows = np.concatenate([np.arange(at[i], ends[i]) for i in keep]) if len(keep) else np.zeros(0, np.int64)
+        unnamed = pc.starts_with(table["key"].take(pa.array(at)), "\0").to_numpy(zero_copy_only=False).astype(bool)
+        keep = np.flatnonzero((np.add.reduceat(table["docs"].to_numpy(), at) >= least) | unnamed)
+        if not len(keep):
+            return
+        rows = np.concatenate([np.arange(at[i], ends[i]) for i in keep])
         offsets = pa.array(np.concatenate(([0], np.cumsum((ends - at)[keep]))), pa.int32())
         whole = table.take(pa.array(rows))
         lists = [pa.ListArray.from_arrays(offsets, whole[c].combine_chunks()) for c in ("source", "n")]
         totals = pa.array(np.add.reduceat(table["n"].to_numpy(), at)[keep])
-        picked = pa.array(at[keep])
-        out = pa.table([table["lang"].take(picked), table["term"].take(picked), totals, *lists], names=["lang", "term", "total", "sources", "counts"])
+        parts = [k.split("\0", 1) for k in table["key"].take(pa.array(at[keep])).to_pylist()]
+        out = pa.table([pa.array([x[1] for x in parts], pa.string()), pa.array([x[0] or None for x in parts], pa.string()), totals, *lists], names=["lang", "term", "total", "sources", "counts"])
         yield from out.to_batches(max_chunksize=RUN_ROWS)
 
     def run(batches: Iterator) -> Iterator:
@@ -140,7 +142,7 @@ def _merged(least: int):
                 continue
             table = pa.Table.from_batches([batch])
             table = added(table if held is None else pa.concat_tables([held, table]).combine_chunks())
-            last = int(firsts(table["lang"], table["term"])[-1])
+            last = int(firsts(table["key"])[-1])
             yield from finished(table.slice(0, last))
             held = table.slice(last)
         if held is not None:
@@ -153,7 +155,7 @@ def term_table(docs: DataFrame, least: int = LEAST_DOCUMENTS, block_entries: int
     """lang, term, total, sources, counts: the kept terms of each language, and a row of a null term with all its sources."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
     runs = rows.mapInArrow(_runs(block_entries), _RUN)
-    return runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source").mapInArrow(_merged(least), _TERMS)
+    return runs.repartition("key").sortWithinPartitions("key", "source").mapInArrow(_merged(least), _TERMS)
 
 
 def _share(count: Column, n: Column, v: Column) -> Column:
