@@ -5,12 +5,13 @@ lies in a band of the corpus, i.e. whose inverse document frequency does; as eve
 at least ``LEAST_SHARE`` of the documents, its size is at most (mean distinct terms a document) /
 ``LEAST_SHARE``, however large the corpus. All of a document's terms are looked up in it, however long the text is.
 
-The sorted distinct terms of the lexicon that a document has are hashed to one signature; so are those in each of
-``SUBSETS`` random subsets of the lexicon, the first ones of M into which a hash deals it. M is a power of two that
-leaves about ``TERMS_A_SUBSET`` of the document's terms in each subset; M, 2 M and 4 M are used, so that documents
-of similar length have a scale in common. Signatures have 64 bits.
+The sorted distinct terms of the lexicon that a document has are hashed to one signature. The same is done in
+randomised lexicons, the same ones for all texts: random halves of the lexicon, and parts of a hash's M parts of it for
+M = 8, 32, ... 8192 (LADDER). Large ones notice any change of a short text, small ones survive changes of a
+long one; whatever its length, all of a text's terms are in the signatures of the whole lexicon, of its halves and of its
+eighths. Signatures have 64 bits.
 
-Likeness of two fingerprints: equal signatures / subsets in which either has a term, over the scales in common.
+Likeness of two fingerprints: equal signatures / randomised lexicons in which either has a term.
 A text without a term of the lexicon is fingerprinted by its digest; its likeness is 1 to an equal text, else 0.
 """
 
@@ -24,11 +25,8 @@ from lodeline.plans.shared import discard, join_checked, materialise
 
 #: The band: shares of the documents that hold a term of the lexicon.
 LEAST_SHARE, MOST_SHARE = 0.0005, 0.1
-#: Subsets hashed at each scale.
-SUBSETS = 32
-TERMS_A_SUBSET = 1.2
-#: Numbers of subsets a fingerprint covers: M, 2 M, 4 M.
-SCALES = 3
+#: Parts that the lexicon is dealt into, and how many of them are hashed; of 2 parts, so many random halves.
+LADDER = ((1, 1), (2, 4), (8, 8), (32, 16), (128, 16), (512, 16), (2048, 16), (8192, 16))
 #: Rows of a bucket of consecutive documents; and the most buckets, whose bounds the driver holds.
 BUCKET_ROWS, MOST_BUCKETS = 1000, 65_536
 LEAST_KEY = -(1 << 63)
@@ -80,54 +78,39 @@ def in_order_with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> tuple
     return both.withColumn("place", F.row_number().over(w)).withColumn("next_t", F.lead("t").over(w)), n
 
 
-def _scale(terms: Column) -> Column:
-    """log2 of the number of subsets, from the number of the document's terms in the lexicon."""
-    return F.round(F.log2(F.greatest(terms / F.lit(TERMS_A_SUBSET), F.lit(1.0)))).cast("int")
-
-
 def _bound(value: Column, use) -> Column:
     """use(value), with the value worked out once, however often the lambda functions in ``use`` read it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _subsets(scale: Column) -> Column:
-    return F.pow(F.lit(2.0), scale).cast("long")
-
-
 def _signature(terms: Column) -> Column:
     """Hexadecimal hash of sorted terms; empty if there is none."""
     return F.when(F.size(terms) == 0, F.lit("")).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(terms))), 16, "0"))
 
 
-def _signatures(hashes: Column, scale: Column) -> Column:
-    """One signature a subset."""
-    dealt = _bound(_subsets(scale), lambda m: F.transform(F.filter(hashes, lambda h: F.pmod(h, m) < SUBSETS), lambda h: F.struct(F.pmod(h, m).alias("k"), h.alias("h"))))
-
-    def every(terms: Column) -> Column:
-        subset = lambda k: F.transform(F.filter(terms, lambda x: x["k"] == k), lambda x: x["h"])
-        return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: _bound(subset(k), _signature))
-
-    return _bound(dealt, every)
+def _signatures(hashes: Column, parts: int, subsets: int) -> Column:
+    """One signature for each of so many subsets of a lexicon dealt into ``parts``."""
+    if parts == 1:
+        return F.array(_signature(hashes))
+    every = F.sequence(F.lit(0), F.lit(subsets - 1))
+    if parts == 2:
+        return F.transform(every, lambda k: _bound(F.filter(hashes, lambda h: F.call_function("shiftright", h, k + 40).bitwiseAND(F.lit(1)) == 1), _signature))
+    dealt = F.filter(hashes, lambda h: F.pmod(h, F.lit(parts)) < subsets) if subsets < parts else hashes
+    return _bound(dealt, lambda some: F.transform(every, lambda k: _bound(F.filter(some, lambda h: F.pmod(h, F.lit(parts)) == k), _signature)))
 
 
 def _fingerprint(of: Column) -> Column:
-    parts = F.transform(of["signatures"], lambda x: F.array_join(x, ","))
-    return F.when(of["whole"] == "", F.concat(F.lit("text:"), of["digest"])).otherwise(F.concat_ws(":", of["scale"].cast("string"), of["whole"], F.array_join(parts, ":")))
+    return F.when(of["signatures"][0] == "", F.concat(F.lit("text:"), of["digest"])).otherwise(F.array_join(of["signatures"], ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two structs (scale, signatures by scale, digest), over the scales they have in common."""
-    apart = b["scale"] - a["scale"]
-    common = F.lit(SCALES) - F.abs(apart)
+    """Likeness of two structs (signatures, digest)."""
 
     def share(pairs: Column) -> Column:
-        equal = F.filter(pairs, lambda v: v)
-        return F.when(F.size(pairs) == 0, F.lit(0.0)).otherwise(F.size(equal) / F.size(pairs))
+        return F.when(F.size(pairs) == 0, F.lit(0.0)).otherwise(F.size(F.filter(pairs, lambda v: v)) / F.size(pairs))
 
-    x = F.flatten(F.slice(a["signatures"], F.greatest(apart, F.lit(0)) + 1, F.greatest(common, F.lit(0))))
-    y = F.flatten(F.slice(b["signatures"], F.greatest(-apart, F.lit(0)) + 1, F.greatest(common, F.lit(0))))
-    pairs = F.filter(F.zip_with(x, y, lambda p, q: F.when((p != "") | (q != ""), p == q)), lambda v: v.isNotNull())
-    return F.when(a["digest"] == b["digest"], F.lit(1.0)).when(common < 1, F.lit(0.0)).otherwise(_bound(pairs, share))
+    pairs = F.filter(F.zip_with(a["signatures"], b["signatures"], lambda p, q: F.when((p != "") | (q != ""), p == q)), lambda v: v.isNotNull())
+    return F.when(a["digest"] == b["digest"], F.lit(1.0)).otherwise(_bound(pairs, share))
 
 
 def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
@@ -164,9 +147,8 @@ def fingerprints(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST
     for i, name, digest in ((0, "own", "sha256"), (1, "other", "edited_sha256")):
         which = F.lit(i)
         found = found.withColumn("hashes", F.transform(F.filter("terms", lambda x: x["which"] == which), lambda x: x["h"]))  # noqa: B023
-        scale = _scale(F.size("hashes"))
-        signatures = F.array(*(_signatures(F.col("hashes"), scale + j) for j in range(SCALES)))
-        found = found.withColumn(name, F.struct(scale.alias("scale"), _signature(F.col("hashes")).alias("whole"), signatures.alias("signatures"), F.col(digest).alias("digest")))
+        signatures = F.concat(*(_signatures(F.col("hashes"), parts, subsets) for parts, subsets in LADDER))
+        found = found.withColumn(name, F.struct(signatures.alias("signatures"), F.col(digest).alias("digest")))
     w = Window.partitionBy("bucket").orderBy("place")
     found = found.select("bucket", "place", "real", "doc_id", "n_chars", "edited_sha256", "own", "other").withColumn("following", F.lead("own").over(w))
     return found.where("real").select(

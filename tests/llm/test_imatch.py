@@ -1,12 +1,11 @@
 import hashlib
-import math
 import random
 import re
 from collections import Counter
 
 import pytest
 
-from lodeline.llm.imatch import SCALES, SUBSETS, TERMS_A_SUBSET, fingerprints, in_order_with_next
+from lodeline.llm.imatch import LADDER, fingerprints, in_order_with_next
 
 
 def rows_of(spark, rows):
@@ -68,16 +67,14 @@ def test_fingerprints_and_likeness_by_brute_force(spark):
     assert not unknown & lexicon
 
     def plain(text):
-        """scale, and by scale the sets of terms in each subset."""
+        """The lexicon's terms in each randomised lexicon."""
         own = sorted(hashes[w] for w in terms_of(text) if w in lexicon)
-        scale = max(0, math.floor(math.log2(max(1.0, len(own) / TERMS_A_SUBSET)) + 0.5))
-        return scale, own, [[tuple(h for h in own if h % 2**m == k) for k in range(SUBSETS)] for m in range(scale, scale + SCALES)]
+        inside = lambda h, m, k: h >> 40 + k & 1 if m == 2 else h % m == k
+        return [tuple(h for h in own if inside(h, m, k)) for m, n in LADDER for k in range(n)]
 
     def like(a, b, equal):
-        if equal:
-            return 1.0
-        pairs = [(x, y) for m in range(SCALES) for n in range(SCALES) if a[0] + m == b[0] + n for x, y in zip(a[2][m], b[2][n], strict=True) if x or y]
-        return sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+        pairs = [(x, y) for x, y in zip(a, b, strict=True) if x or y]
+        return 1.0 if equal else sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
 
     found = {r.doc_id: r for r in fingerprints(rows_of(spark, rows), least, most).collect()}
     prints = [plain(t) for t in ordered]
@@ -85,6 +82,15 @@ def test_fingerprints_and_likeness_by_brute_force(spark):
         following = (at + 1) % len(rows)
         assert found[i].near_edited == pytest.approx(like(prints[at], plain(edited[at]), t == edited[at]))
         assert found[i].near_next == pytest.approx(like(prints[at], prints[following], t == ordered[following]))
-        assert found[i].fingerprint.startswith("text:" if not prints[at][1] else f"{prints[at][0]}:")
-    whole = {tuple(p[1]) for p in prints if p[1]}
-    assert len({f.fingerprint.split(":")[1] for f in found.values() if not f.fingerprint.startswith("text:")}) == len(whole)
+        assert found[i].fingerprint.startswith("text:") != bool(prints[at][0])
+    whole = {p[0] for p in prints if p[0]}
+    assert len({f.fingerprint for f in found.values() if not f.fingerprint.startswith("text:")}) == len(whole)
+
+
+def test_texts_of_very_different_lengths_are_compared(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.sample([f"w{j}" for j in range(3000)], 20)), "", "") for i in range(400)]
+    shared = " ".join(f"s{j}" for j in range(30))
+    rows += [(1002, shared, "", ""), (1001, f"{shared} " + " ".join(f"w{j}" for j in range(300)), "", ""), (1000, shared, "", "")]
+    found = {r.doc_id: r for r in fingerprints(rows_of(spark, rows), 0.0, 0.5).collect()}
+    assert 0 < found[1002].near_next < 0.5 and found[1001].near_next == found[1002].near_next
