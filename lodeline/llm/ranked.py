@@ -16,6 +16,7 @@ Queries are taken in blocks, each with a pass of its own, so a task holds the te
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,36 +50,45 @@ def terms_of(text: bytes | None) -> list[bytes]:
 def _indexed(vocabulary: frozenset, shard_docs: int, shard_postings: int):
     """Batches of (doc_id, text) to shards, one a row. Documents of a shard are in the order of doc_id, nulls last."""
 
-    def shard(rows: list, docs: int, words: int):
+    def shard(doc_ids: list, lengths: array, lists: dict, docs: int, words: int):
         import pyarrow as pa
 
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
-        lists: dict[bytes, list] = {}
-        for place, (_, _, own) in enumerate(rows):
-            for term, tf in own:
-                lists.setdefault(term, []).append((place, tf))
-        terms = sorted(lists)
-        postings = [p for t in terms for p in lists[t]]
-        columns = [docs, words, [r[0] for r in rows], [r[1] for r in rows], terms, [len(lists[t]) for t in terms], [p for p, _ in postings], [tf for _, tf in postings]]
+        order = np.array(sorted(range(len(doc_ids)), key=lambda i: (doc_ids[i] is None, doc_ids[i] or 0)), np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        terms, sizes, places, tfs = sorted(lists), [], [], []
+        for term in terms:
+            met, often = (np.frombuffer(x, np.int32) for x in lists[term])
+            at = place[met]
+            sizes.append(len(at))
+            places.append(np.sort(at))
+            tfs.append(often[at.argsort()])
+        joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        columns = [docs, words, [doc_ids[i] for i in order], np.array(lengths, np.int64)[order], terms, sizes, joined(places), joined(tfs)]
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds, strict=True)], names=["docs", "words", "doc_ids", "lengths", "terms", "sizes", "places", "tfs"])
 
     def run(batches: Iterator) -> Iterator:
-        rows, docs, words, postings = [], 0, 0, 0
+        doc_ids, lengths, lists, docs, words, postings = [], array("q"), {}, 0, 0, 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = terms_of(text.as_py())
                 docs, words = docs + bool(found), words + len(found)
                 counts = Counter(found)
-                own = [(t, counts[t]) for t in vocabulary & counts.keys()]
+                own = vocabulary & counts.keys()
+                for t in own:
+                    met, often = lists.get(t) or lists.setdefault(t, (array("i"), array("i")))
+                    met.append(len(doc_ids))
+                    often.append(counts[t])
                 if own:
-                    rows.append((doc_id, len(found), own))
+                    doc_ids.append(doc_id)
+                    lengths.append(len(found))
                     postings += len(own)
-                if len(rows) >= shard_docs or postings >= shard_postings:
-                    yield shard(rows, docs, words)
-                    rows, docs, words, postings = [], 0, 0, 0
+                if len(doc_ids) >= shard_docs or postings >= shard_postings:
+                    yield shard(doc_ids, lengths, lists, docs, words)
+                    doc_ids, lengths, lists, docs, words, postings = [], array("q"), {}, 0, 0, 0
         if docs:
-            yield shard(rows, docs, words)
+            yield shard(doc_ids, lengths, lists, docs, words)
 
     return run
 
