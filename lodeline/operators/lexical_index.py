@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeline.functions.skipping import BLOCK_BITS, PostingList, best_of_shard
-from lodeline.operators.retrieve import _SCORED, blocks, corpus_terms, query_terms, rounded, top_k
+from lodeline.operators.retrieve import _SCORED, blocks, corpus_terms, query_terms, read, rounded, top_k
 from lodeline.plans.shared import bound_batches, discard, join_checked, materialise, shared_dir
 
 #: Documents of a slice, about; the most slices, whose bounds the driver holds.
@@ -107,8 +107,27 @@ def q_lexical_index_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
 
 
+def words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
+
+
+def q_overlap_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the documents that have any word of an item, the four with most of its words."""
+    import uuid
+
+    corpus = read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("terms"))
+    index = LexicalIndex.build(corpus, f"{shared_dir(spark)}/lodeline/word-index-{uuid.uuid4().hex}")
+    items = materialise(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words(F.col("text")).alias("terms")).withColumn("n", F.size("terms")), "item-words")
+    found = index.search(items, 4).join(items.select("query_id", "n"), "query_id")
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round(F.col("score") * F.greatest(F.lit(4), "n")).cast("int").alias("overlap"), "rank")
+
+
 QUERIES = {n.removeprefix("q_"): f for n, f in list(globals().items()) if n.startswith("q_")}
+_WORDS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 ORACLE = {
+    "overlap_evidence": f"""WITH i AS (SELECT item_id, unnest({_WORDS}) AS w FROM benchmark), d AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents),
+p AS (SELECT item_id, doc_id, CAST(count(*) AS INT) AS overlap FROM i JOIN d USING (w) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS rank FROM p) WHERE rank <= 4""",
     "lexical_index_topk": f"""WITH {_SCORED}, x AS (SELECT query_id, doc_id, round(keyword, 6) AS score FROM f)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 5""",
     "lexical_index_lists": f"WITH {_SCORED} SELECT term, count(*) AS df FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT unnest(t) FROM i) GROUP BY 1",

@@ -13,6 +13,7 @@ from lodeline.operators.extract import ORACLE as EXTRACT_SQL
 from lodeline.plans.shared import shared_dir
 from lodeline.sources import files, sample, sinks
 from lodeline.sources.sample import values_sql
+from lodeline.sources.versions import VersionedCorpus
 from lodeline.streaming.ledger import append_records
 
 #: key, value (JSON) of a run's state.
@@ -117,11 +118,35 @@ def q_framework(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.framework(spark.createDataFrame(MARKERS, "repo string, path string"))
 
 
+def q_versioned_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents merged into a stored corpus twice, with a merge that fails between: rows and sums of each version, and what each merge did."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    corpus = VersionedCorpus(spark, scratch(spark, "versioned"), "doc_id", "doc_id long, source string, n_chars long", 16, F.pmod("doc_id", F.lit(16)))
+    done = [corpus.merge(docs.where("doc_id % 3 = 0"))]
+    try:
+        corpus.merge(docs.withColumn("n_chars", F.when(F.col("doc_id") >= 0, F.raise_error(F.lit("a merge that fails"))).otherwise(F.col("n_chars"))))
+    except Exception:
+        done.append({"version": corpus.version(), "added": 0, "replaced": 0, "rewritten": 0})
+    done.append(corpus.merge(docs.where("doc_id % 16 < 5").withColumn("n_chars", F.col("n_chars") + 1)))
+    merges = spark.createDataFrame([(i, *(m[c] for c in ("version", "added", "replaced", "rewritten"))) for i, m in enumerate(done)], "step int, version int, added long, replaced long, rewritten int")
+    versions = None
+    for v in (1, 2):
+        one = corpus.read(v).agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars")).withColumn("version", F.lit(v))
+        versions = one if versions is None else versions.unionByName(one)
+    return merges.join(versions, "version")
+
+
 QUERIES = {n.removeprefix("q_"): f for n, f in list(globals().items()) if n.startswith("q_")}
 _GATED = H._GATED_SQL
 NOTE_SQL = EXTRACT_SQL["front_matter_note"]
 ORACLE = {
     "corpus_store": "SELECT of, source, count(*) AS n, sum(n_chars) AS n_chars FROM documents CROSS JOIN (VALUES ('raw'), ('normalised')) t(of) GROUP BY ALL",
+    "versioned_upsert": """WITH v AS (SELECT 1 AS version, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 2, count(*), CAST(sum(n_chars + CAST(doc_id % 16 < 5 AS INT)) AS BIGINT) FROM documents WHERE doc_id % 3 = 0 OR doc_id % 16 < 5),
+m AS (SELECT 0 AS step, 1 AS version, count(*) AS added, 0 AS replaced, count(DISTINCT doc_id % 16) AS rewritten FROM documents WHERE doc_id % 3 = 0
+  UNION ALL SELECT 1, 1, 0, 0, 0
+  UNION ALL SELECT 2, 2, count(*) FILTER (WHERE doc_id % 3 <> 0), count(*) FILTER (WHERE doc_id % 3 = 0), count(DISTINCT doc_id % 16) FROM documents WHERE doc_id % 16 < 5)
+SELECT * FROM m JOIN v USING (version)""",
     "ledger_append": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1",
     "note_files": NOTE_SQL,
     "index_rebuild": "SELECT 'index' AS part, count(*) AS n FROM embeddings WHERE vec_id % 2 = 0 UNION ALL SELECT 'index.archive', count(*) FROM embeddings UNION ALL SELECT 'metadata', count(*) FROM embeddings WHERE vec_id % 2 = 0",

@@ -47,13 +47,20 @@ def build_index(vectors: DataFrame, root: str, about: dict[str, str | int]) -> N
 
 
 def rebuild_index(vectors: DataFrame, root: str, about: dict[str, str | int]) -> None:
-    """Build anew; the index so far becomes the one archived generation."""
+    """Build anew; the index so far becomes the one archived generation, once the new one is written."""
     spark = vectors.sparkSession
-    if exists(spark, f"{root}/index"):
-        fs, archive = _filesystem(spark, f"{root}/index.archive")
-        fs.delete(archive, True)
-        fs.rename(_filesystem(spark, f"{root}/index")[1], archive)
-    build_index(vectors, root, about)
+    build_index(vectors, f"{root}/next", about)
+    fs, _ = _filesystem(spark, root)
+    for part, archived in (("index", True), ("index_metadata", False)):
+        _, now = _filesystem(spark, f"{root}/{part}")
+        if fs.exists(now):
+            _, archive = _filesystem(spark, f"{root}/{part}.archive")
+            fs.delete(archive, True)
+            fs.rename(now, archive)
+            if not archived:
+                fs.delete(archive, True)
+        fs.rename(_filesystem(spark, f"{root}/next/{part}")[1], now)
+    fs.delete(_filesystem(spark, f"{root}/next")[1], True)
 
 
 def report_document(findings: DataFrame, run: str) -> DataFrame:
