@@ -12,7 +12,7 @@ MODULES: tuple[str, ...] = ("operators.detect", "operators.scan", "operators.rel
 #: Queries on a few rows typed into their modules: tests compare them with their SQL, but they are not registered.
 FIXTURES = frozenset(
     """hypothesis_rank hypothesis_merge finding_gates report_buckets hypothesis_origin tool_findings semantic_validation
-    state_effects run_through plan_updates decision_filter evidence_records report_evidence plan_validate
+    run_through plan_updates decision_filter evidence_records report_evidence plan_validate
     ground_truth run_candidates recall_matches recall_report artifact_arities
     normalize_finding finding_scores lexical_candidates freshness retrieval_labels best_models index_names
     note_files report_json report_markdown slim_state lesson_log framework

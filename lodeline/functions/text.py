@@ -74,3 +74,33 @@ def leaks_answers(path: Column) -> Column:
     parts = F.split(F.lower(path), "/")
     name = F.element_at(parts, -1)
     return F.arrays_overlap(parts, F.array(*map(F.lit, LEAK_FOLDERS))) | (F.regexp_extract(name, r"\.([a-z0-9]+)$", 1).isin(*LEAK_SUFFIXES) & name.rlike(LEAK_NAME))
+
+
+def tolerant_object(text: Column) -> Column:
+    """The first JSON object of a text as it stands there, whatever is around or within it; null if its braces do not close or it is no JSON.
+
+    An object in a fence of three backticks comes first. The pieces between quotes, braces and escapes are gone through once: braces count
+    unless they are in a string.
+    """
+    fenced = F.nullif(F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    start = F.instr(text, "{")
+    rest = F.substring(text, start, F.length(text))
+    pieces = F.when(start > 0, F.regexp_extract_all(rest, F.lit(r'(?s)\\.|["{}]|[^"{}\\]+|\\'), F.lit(0)))
+    at_first = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("n"), F.lit(False).alias("closed"))
+
+    def step(s: Column, x: Column) -> Column:
+        quoted = F.when(x == '"', ~s["quoted"]).otherwise(s["quoted"])
+        depth = s["depth"] + F.when(s["quoted"], 0).when(x == "{", 1).when(x == "}", -1).otherwise(0)
+        after = F.struct(depth.alias("depth"), quoted.alias("quoted"), (s["n"] + 1).alias("n"), (~s["quoted"] & (x == "}") & (depth == 0)).alias("closed"))
+        return F.when(s["closed"], s).otherwise(after)
+
+    end = F.aggregate(pieces, at_first, step)
+    balanced = F.when(end["closed"], F.array_join(F.slice(pieces, F.lit(1), F.greatest(end["n"], F.lit(1))), ""))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(valid(fenced), valid(balanced))
+
+
+def string_list(value: Column, path: str) -> Column:
+    """A VARIANT's string or list of strings as a list; null if it is neither."""
+    many, one = F.try_variant_get(value, path, "array<string>"), F.try_variant_get(value, path, "string")
+    return F.coalesce(many, F.when(one.isNotNull(), F.array(one)))

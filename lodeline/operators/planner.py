@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodeline.operators import codefacts as C
 from lodeline.operators.slices import functions_of
+from lodeline.functions.text import string_list, tolerant_object
 from lodeline.sources.sample import quoted, values_sql
 
 #: Classes whose hypotheses are anchored at the entry points that reach them, and how many are added.
@@ -22,22 +23,36 @@ _IDENTIFIER = r"^[A-Za-z_]\w*$"
 
 
 def effects(outputs: DataFrame, declared: DataFrame) -> DataFrame:
-    """state_path, value (JSON): what calls leave in a state, in order of the calls.
+    """run, state_path, value (JSON): what the calls of a run leave at each path of its state, in order of the calls.
 
-    ``outputs`` (call, tool, output: JSON), ``declared`` (tool, output_path, state_path, merge). A missing value has no
-    effect; set keeps the last value, extend gathers all in order, update lets later keys win.
+    ``outputs`` (run, call, tool, output: JSON), ``declared`` (tool, output_path, state_path, merge). A missing or null value has
+    no effect. set puts the value; extend adds it, or its items, to the list there, and begins one where there is none; update
+    merges an object into the object there, later keys winning, and else puts the value. Types are kept (VARIANT). A path's
+    history counts from the last effect that put something new there. Paths are looked at one by one, also where one leads into another.
     """
     path = F.when(F.col("output_path") == "", F.lit("$")).otherwise(F.concat(F.lit("$."), "output_path"))
-    value = F.expr("get_json_object(output, path)")
-    rows = outputs.join(declared, "tool").withColumn("path", path).withColumn("value", value).where("value is not null")
-    rows = rows.withColumn("items", F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value")))
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("call", F.col(c).alias("x")))), lambda s: s["x"])
-    # keys of an update: the last call that sets one wins
-    pairs = rows.where("merge = 'update'").select("state_path", "call", F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
-    updated = pairs.groupBy("state_path", "k").agg(F.max_by("v", "call").alias("v")).groupBy("state_path").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v"))))).alias("value"))
-    extended = rows.where("merge = 'extend'").groupBy("state_path").agg(F.to_json(F.flatten(in_order("items"))).alias("value"))
-    kept = rows.where("merge = 'set'").groupBy("state_path").agg(F.max_by("value", "call").alias("value"))
-    return kept.unionByName(extended).unionByName(updated)
+    rows = outputs.withColumn("output", F.try_parse_json("output")).join(F.broadcast(declared), "tool")  # what a registry declares
+    rows = rows.withColumn("value", F.try_variant_get("output", path, "variant")).where("value is not null and not is_variant_null(value)")
+    kind = F.schema_of_variant("value")
+    rows = rows.select("run", "state_path", "call", "merge", "value", F.when(F.col("merge") == "extend", "list").when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "object").otherwise("other").alias("kind"), kind.startswith("ARRAY").alias("many"))
+    of = ["run", "state_path"]
+    before = F.lag("kind").over(Window.partitionBy(*of).orderBy("call"))
+    goes_on = ((F.col("merge") == "extend") & (F.col("before") == "list")) | ((F.col("merge") == "update") & (F.col("before") == "object") & (F.col("kind") == "object"))
+    rows = rows.withColumn("before", before).withColumn("anew", ~F.coalesce(goes_on, F.lit(False)))
+    since = rows.groupBy(*of).agg(F.max(F.when(F.col("anew"), F.col("call"))).alias("since"))
+    rows = rows.join(since, of).where("call >= since")
+    lists = rows.where("kind = 'list'").withColumn("items", F.when(F.col("many"), F.try_variant_get("value", "$", "array<variant>")).otherwise(F.array("value")))
+    items = lists.select(*of, "call", F.posexplode("items").alias("i", "item"))
+    extended = items.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("call", "i", F.to_json("item").alias("item")))).alias("x")).select(*of, F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["item"]), ","), F.lit("]")).alias("value"))
+    empty = lists.groupBy(*of).agg(F.max(F.size("items")).alias("most")).where("most = 0").select(*of, F.lit("[]").alias("value"))
+    keys = rows.where("kind = 'object'").select(*of, "call", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("k", "v"))
+    latest = keys.groupBy(*of, "k").agg(F.max_by(F.to_json("v"), "call").alias("v"))
+    updated = latest.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x"))
+    quoted_key = lambda k: F.substring(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2)
+    updated = updated.select(*of, F.concat(F.lit("{"), F.array_join(F.transform("x", lambda x: F.concat(quoted_key(x["k"]), F.lit(":"), x["v"])), ","), F.lit("}")).alias("value"))
+    nothing = rows.where("kind = 'object'").groupBy(*of).agg(F.max(F.size(F.try_variant_get("value", "$", "map<string,variant>"))).alias("most")).where("most = 0").select(*of, F.lit("{}").alias("value"))
+    other = rows.where("kind = 'other'").groupBy(*of).agg(F.max_by(F.to_json("value"), "call").alias("value"))
+    return extended.unionByName(empty).unionByName(updated).unionByName(nothing).unionByName(other)
 
 
 def run_through(done: DataFrame, chain: tuple[str, ...], target: str) -> DataFrame:
@@ -171,10 +186,11 @@ def plan_errors(plans: DataFrame, signatures: DataFrame, targets: list[str]) ->
     return plans.select("plan").join(errors, "plan", "left").select("plan", F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
 
 
-#: call, tool, output.
-OUTPUTS = ((1, "repo.scan", '{"facts": {"files": 3, "lang": "sol"}, "paths": ["a", "b"]}'), (2, "repo.scan", '{"facts": {"files": 4}, "paths": ["c"]}'), (3, "build.run", '{"status": "ok"}'), (4, "build.run", '{"other": 1}'), (5, "note.add", '{"note": "n"}'))
-#: tool, output_path, state_path, merge.
-EFFECTS = (("repo.scan", "facts", "repo_facts", "update"), ("repo.scan", "paths", "repo.paths", "extend"), ("build.run", "status", "build.status", "set"), ("note.add", "note", "repo.paths", "extend"))
+#: tool, output_path, state_path, merge: what calls of each type leave in a user's state.
+EFFECTS = (
+    ("signup", "about", "facts", "set"), ("click", "facts", "facts", "update"), ("error", "facts.k", "facts", "update"), ("view", "id", "seen", "extend"), ("purchase", "ids", "seen", "set"),
+    ("click", "ids", "clicks.all", "extend"), ("purchase", "amount", "last.amount", "set"), ("signup", "missing", "facts", "set"),
+)
 #: run, milestone.
 DONE = ((1, "snapshot"), (1, "static_facts"), (2, "snapshot"), (2, "protocol_ir"), (3, "graph"))
 STEPS, UPDATES = ((1, "open"), (2, "open"), (3, "open")), ((1, 2, "started"), (2, 2, "done"), (3, 3, "started"), (4, 9, "done"))
@@ -198,12 +214,39 @@ PLANS = (
 )
 
 
+def reply() -> Column:
+    """A reply about an event, by its number: text around an object, half an object, or none."""
+    return (
+        F.when(F.col("event_id") % 5 == 0, F.format_string('Event %d: {"in": %s, "tags": ["%s", "b"]} {"in": {"k": -1}}', "event_id", "props", "event_type"))
+        .when(F.col("event_id") % 5 == 1, F.format_string('Here:\n```json\n{"in": %s, "tags": "%s"}\n```\n{"in": 1}', "props", "event_type"))
+        .when(F.col("event_id") % 5 == 2, F.format_string('{"note": "a } and \\"{", "in": %s}, then', "props"))
+        .when(F.col("event_id") % 5 == 3, F.format_string('nothing { "in": %s', "props"))
+        .otherwise(F.col("event_type"))
+    )
+
+
 def _split(c: str) -> Column:
     return F.filter(F.split(c, r"\|"), lambda x: x != "")
 
 
 def q_state_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return effects(spark.createDataFrame(OUTPUTS, "call int, tool string, output string"), spark.createDataFrame(EFFECTS, "tool string, output_path string, state_path string, merge string"))
+    """The state that each user's events leave, an event being a call whose output holds its input and value."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null")
+    about = F.format_string('{"facts": %s, "id": %d, "ids": [%d, "e%d"], "amount": %s, "about": {"by": "signup", "k": %d}}', "props", "event_id", "event_id", "event_id", F.col("value").cast("decimal(18,2)").cast("string"), F.col("event_id") % 7)
+    return effects(events.select(F.col("user_id").alias("run"), F.col("event_id").alias("call"), F.col("event_type").alias("tool"), about.alias("output")), spark.createDataFrame(EFFECTS, "tool string, output_path string, state_path string, merge string"))
+
+
+def q_tolerant_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects found in replies that are made of each event: bare, fenced, nested, with braces in strings, and broken ones."""
+    replies = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", tolerant_object(reply()).alias("found"))
+    v = replies.withColumn("v", F.try_parse_json("found"))
+    return v.select("event_id", F.try_variant_get("v", "$.in.k", "bigint").alias("k"), F.array_join(string_list(F.col("v"), "$.tags"), ",").alias("tags"), F.try_variant_get("v", "$.note", "string").alias("note"), F.schema_of_variant("v").alias("kind"))
+
+
+def q_tolerant_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One schema for the objects of all replies of a type of event, and how many there are."""
+    replies = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.try_parse_json(tolerant_object(reply())).alias("v"))
+    return replies.groupBy("event_type").agg(F.count("v").alias("n"), F.schema_of_variant_agg("v").alias("kind"))
 
 
 def q_run_through(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,12 +288,20 @@ def q_plan_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {n.removeprefix("q_"): f for n, f in list(globals().items()) if n.startswith("q_")}
 _KNOWN = "[" + ", ".join(map(quoted, TARGETS)) + "]"
 ORACLE = {
-    "state_effects": f"""WITH r AS (SELECT o.call, e.state_path, e.merge, CAST(o.output AS JSON)->('$.' || e.output_path) AS v FROM {values_sql(OUTPUTS, "call, tool, output").replace(" AS t(", " AS o(")} JOIN {values_sql(EFFECTS, "tool, output_path, state_path, merge").replace(" AS t(", " AS e(")} USING (tool)),
-x AS (SELECT call, state_path, i, CASE WHEN json_type(v) = 'ARRAY' THEN v->>('$[' || i || ']') ELSE v->>'$' END AS item FROM (SELECT *, unnest(range(CASE WHEN json_type(v) = 'ARRAY' THEN CAST(json_array_length(v) AS BIGINT) ELSE 1 END)) AS i FROM r WHERE merge = 'extend' AND v IS NOT NULL)),
-u AS (SELECT state_path, k, arg_max(v->>k, call) AS item FROM (SELECT *, unnest(json_keys(v)) AS k FROM r WHERE merge = 'update' AND v IS NOT NULL) GROUP BY ALL)
-SELECT state_path, arg_max(v->>'$', call) AS value FROM r WHERE merge = 'set' AND v IS NOT NULL GROUP BY 1
-UNION ALL SELECT state_path, '[' || string_agg('"' || item || '"', ',' ORDER BY call, i) || ']' FROM x GROUP BY 1
-UNION ALL SELECT state_path, '{{' || string_agg('"' || k || '":"' || item || '"', ',' ORDER BY k) || '}}' FROM u GROUP BY 1""",
+    "state_effects": """WITH e AS (SELECT * FROM events WHERE user_id IS NOT NULL),
+o AS (SELECT user_id, event_id, CASE WHEN event_type = 'signup' THEN 'set' WHEN event_type = 'click' AND json_type(CAST(props AS JSON)) = 'OBJECT' THEN 'object' ELSE 'other' END AS kind, CAST(json_extract(props, '$.k') AS VARCHAR) AS k, event_id % 7 AS m FROM e WHERE event_type IN ('signup', 'click', 'error')),
+l AS (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM o),
+r AS (SELECT *, max(CASE WHEN kind <> 'object' OR coalesce(before, 'other') = 'other' THEN event_id END) OVER (PARTITION BY user_id) AS since FROM l),
+f AS (SELECT user_id, bool_or(kind = 'set') AS signed, bool_or(kind = 'other') AS plain, arg_max(CASE WHEN kind = 'set' THEN CAST(m AS VARCHAR) ELSE k END, event_id) AS k FROM r WHERE event_id >= since GROUP BY 1),
+p AS (SELECT user_id, max(event_id) FILTER (WHERE event_type = 'purchase') AS since FROM e GROUP BY 1),
+seen AS (SELECT user_id, string_agg(CASE WHEN event_type = 'purchase' THEN event_id || ',"e' || event_id || '"' ELSE CAST(event_id AS VARCHAR) END, ',' ORDER BY event_id) AS items FROM e JOIN p USING (user_id) WHERE (event_type = 'view' AND event_id > coalesce(since, -1)) OR event_id = since GROUP BY 1)
+SELECT user_id AS run, 'facts' AS state_path, CASE WHEN plain THEN k WHEN signed THEN '{"by":"signup","k":' || k || '}' ELSE '{"k":' || k || '}' END AS value FROM f
+UNION ALL SELECT user_id, 'seen', '[' || items || ']' FROM seen
+UNION ALL SELECT user_id, 'clicks.all', '[' || string_agg(event_id || ',"e' || event_id || '"', ',' ORDER BY event_id) || ']' FROM e WHERE event_type = 'click' GROUP BY 1
+UNION ALL SELECT user_id, 'last.amount', arg_max(regexp_replace(regexp_replace(CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''), event_id) FROM e WHERE event_type = 'purchase' GROUP BY 1""",
+    "tolerant_objects": """SELECT event_id, CASE WHEN event_id % 5 < 3 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k, CASE event_id % 5 WHEN 0 THEN event_type || ',b' WHEN 1 THEN event_type END AS tags, CASE WHEN event_id % 5 = 2 THEN 'a } and "{' END AS note,
+CASE event_id % 5 WHEN 0 THEN 'OBJECT<in: OBJECT<k: BIGINT>, tags: ARRAY<STRING>>' WHEN 1 THEN 'OBJECT<in: OBJECT<k: BIGINT>, tags: STRING>' WHEN 2 THEN 'OBJECT<in: OBJECT<k: BIGINT>, note: STRING>' END AS kind FROM events""",
+    "tolerant_kinds": """SELECT event_type, count(*) FILTER (WHERE event_id % 5 < 3) AS n, 'OBJECT<in: OBJECT<k: BIGINT>, note: STRING, tags: VARIANT>' AS kind FROM events GROUP BY 1""",
     "run_through": f"""SELECT r.run, c.milestone, c.place FROM (SELECT DISTINCT run FROM {values_sql(DONE, "run, milestone")}) r CROSS JOIN {values_sql(tuple(enumerate(CHAIN)), "place, milestone").replace(" AS t(", " AS c(")} WHERE c.place <= {CHAIN.index("hypotheses")} AND (r.run, c.milestone) NOT IN (SELECT run, milestone FROM {values_sql(DONE, "run, milestone")})""",
     "plan_updates": f"""SELECT p.step, coalesce(u.status, p.status) AS status, u.status IS NOT NULL AS updated FROM {values_sql(STEPS, "step, status").replace(" AS t(", " AS p(")} LEFT JOIN (SELECT step, arg_max(status, seq) AS status FROM {values_sql(UPDATES, "seq, step, status")} GROUP BY 1) u USING (step)""",
     "decision_filter": f"""WITH j AS (SELECT d.*, t.tool IS NOT NULL AS known, t.side_effects, t.required, list_sort(json_keys(CAST(d.input AS JSON))) AS given FROM {values_sql(DECISIONS, "seq, tool, input").replace(" AS t(", " AS d(")} LEFT JOIN {values_sql(TOOLS, "tool, side_effects, required")} USING (tool)),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lodeline.functions.text import tolerant_object
 from lodeline.plans.shared import shared_dir
 from lodeline.sources.sample import quoted, values_sql
 
@@ -83,12 +84,6 @@ def first_calls(events: DataFrame) -> DataFrame:
     return events.withColumn("key", key).withColumn("nth", rank).where("nth = 1").drop("nth")
 
 
-def tolerant_object(text: Column) -> Column:
-    """The first flat {...} of a text, if it is valid JSON; else null."""
-    raw = F.nullif(F.regexp_extract(text, r"(\{[^{}]*\})", 1), F.lit(""))
-    return F.when(F.try_parse_json(raw).isNotNull(), raw)
-
-
 def q_ledger_summary(spark, sf_dir):
     """Calls, kinds and errors of a user, and the last six calls: ranked before any are gathered."""
     events = read(spark, sf_dir)

@@ -21,7 +21,7 @@ def test_entry_runs(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["line_scan", "path_classify", "session_gaps", "gate_chain", "ledger_summary", "first_call_then_accounting", "unguarded_writes", "retrieval_metrics", "line_heuristics", "first_match_hypotheses", "checklist_build", "detections", "function_facts", "graph_slices", "order_races", "finding_gates", "hypothesis_merge", "recall_report", "normalize_finding", "finding_scores", "plan_validate", "state_effects", "corpus_store", "index_rebuild", "budget_greedy", "ledger_stream_windows", "corpus_fingerprint"])
+@pytest.mark.parametrize("name", ["line_scan", "path_classify", "session_gaps", "gate_chain", "ledger_summary", "first_call_then_accounting", "unguarded_writes", "retrieval_metrics", "line_heuristics", "first_match_hypotheses", "checklist_build", "detections", "function_facts", "graph_slices", "order_races", "finding_gates", "hypothesis_merge", "recall_report", "normalize_finding", "finding_scores", "plan_validate", "state_effects", "tolerant_json", "tolerant_objects", "tolerant_kinds", "token_bucket_stream", "late_rows_stream", "session_stream", "containment", "overlap_evidence", "versioned_upsert", "corpus_store", "index_rebuild", "budget_greedy", "ledger_stream_windows", "corpus_fingerprint"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
