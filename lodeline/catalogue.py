@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 #: Modules that hold QUERIES (name -> function) and ORACLE (name -> SQL).
-MODULES: tuple[str, ...] = ("operators.detect", "operators.scan", "operators.relate", "operators.retrieve", "operators.judge", "streaming.ledger", "operators.extract", "operators.packets", "operators.heuristics", "operators.codefacts", "operators.slices", "operators.hypotheses", "operators.corpus", "operators.recall", "operators.stores", "operators.planner", "operators.semantics", "operators.vector_index", "operators.lexical_index", "streaming.stateful", "operators.containment", "operators.reach")
+MODULES: tuple[str, ...] = ("operators.detect", "operators.scan", "operators.relate", "operators.retrieve", "operators.judge", "streaming.ledger", "operators.extract", "operators.packets", "operators.heuristics", "operators.codefacts", "operators.slices", "operators.hypotheses", "operators.corpus", "operators.recall", "operators.stores", "operators.planner", "operators.semantics", "operators.vector_index", "operators.lexical_index", "streaming.stateful", "operators.containment", "operators.reach", "operators.sketches")
 
 
 #: Queries on a few rows typed into their modules: tests compare them with their SQL, but they are not registered.
