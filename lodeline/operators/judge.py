@@ -136,6 +136,16 @@ def q_diversified_select(spark, sf_dir):
     return rows.join(first, "class").withColumn("tier", tier).orderBy("tier", F.desc("n_chars"), "doc_id").limit(30).select("doc_id", "class", "tier")
 
 
+def q_packed_turns(spark, sf_dir):
+    """Turns of each conversation that fit 1500 characters: one of each role first, then the others in order, by a table function of SQL."""
+    from lodeline.functions.packing import register
+
+    register(spark)
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.struct("conv_id", "turn").alias("item"), "role", F.length("text").alias("chars"))
+    found = spark.sql("SELECT * FROM packed(TABLE({turns}) PARTITION BY conv_id ORDER BY turn, budget => 1500, item => 'item', cover => 'role', size => 'chars')", turns=turns)
+    return found.select("item.conv_id", "item.turn", F.col("cover").alias("role"), "size", F.col("pass").alias("way"), "place", "used")
+
+
 def q_budget_prefix(spark, sf_dir):
     """Documents of each source and language, in order, as long as they fit a budget together.
 
@@ -265,6 +275,15 @@ SELECT doc_id, class, CASE WHEN quality = 1 AND n_chars > 10000 THEN 0 WHEN nth
 w(conv_id, i, used, n) AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM o
   UNION ALL SELECT w.conv_id, o.i, CASE WHEN w.used + o.size <= 300 THEN w.used + o.size ELSE w.used END, CASE WHEN w.used + o.size <= 300 THEN w.n + 1 ELSE w.n END FROM w JOIN o ON o.conv_id = w.conv_id AND o.i = w.i + 1)
 SELECT conv_id, max(used) AS used, max(n) AS n FROM w GROUP BY 1""",
+    "packed_turns": """WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) AS size FROM conversations WHERE length(text) > 0),
+steps AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pass, turn) AS nth FROM (SELECT *, 0 AS pass FROM t UNION ALL SELECT *, 1 AS pass FROM t)),
+f AS (
+  SELECT conv_id, 0::BIGINT AS nth, 0::BIGINT AS used, []::VARCHAR[] AS covered, []::BIGINT[] AS taken, NULL::BIGINT AS turn, NULL::VARCHAR AS role, NULL::BIGINT AS size, NULL::INT AS pass, false AS took FROM (SELECT DISTINCT conv_id FROM t)
+  UNION ALL
+  SELECT conv_id, nth, CASE WHEN took THEN used + size ELSE used END, CASE WHEN took AND pass = 0 THEN list_append(covered, role) ELSE covered END, CASE WHEN took THEN list_append(taken, turn) ELSE taken END, turn, role, size, pass, took
+  FROM (SELECT f.conv_id, s.nth, f.used, f.covered, f.taken, s.turn, s.role, s.size, s.pass, f.used + s.size <= 1500 AND NOT list_contains(f.taken, s.turn) AND (s.pass = 1 OR NOT list_contains(f.covered, s.role)) AS took
+        FROM f JOIN steps s ON s.conv_id = f.conv_id AND s.nth = f.nth + 1))
+SELECT conv_id, turn, role, size, CASE pass WHEN 0 THEN 'breadth' ELSE 'depth' END AS way, CAST(len(taken) AS INT) AS place, used FROM f WHERE took""",
     "upsert_corpus": """SELECT doc_id, coalesce(n.source, o.source) AS source, coalesce(n.n_chars, o.n_chars) AS n_chars, CASE WHEN o.source IS NULL THEN 'added' WHEN n.source IS NULL THEN 'kept' ELSE 'replaced' END AS state
 FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) o FULL JOIN (SELECT doc_id, source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 3 = 0) n USING (doc_id)""",
     "gate_chain": f"WITH {_G} SELECT * FROM g",

@@ -74,7 +74,9 @@ def searched(rows: DataFrame, queries: DataFrame, k: int, schema: str, key: str,
     """
     bound_batches(rows.sparkSession)
     found = None
-    for part in blocks(queries):
+    for i, part in enumerate(blocks(queries)):
+        if i == 1:  # several blocks: work the rows out once
+            rows = materialise(rows, "searched-rows")
         score, names = one_block(part), part["query_id"].to_numpy()
 
         def run(batches: Iterator[pd.DataFrame], score=score, names=names) -> Iterator[pd.DataFrame]:
