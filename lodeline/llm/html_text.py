@@ -46,13 +46,15 @@ MOST_OF_ARTICLES = 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 FURNITURE = frozenset("head nav footer aside form script style noscript template menu button select option textarea input iframe object embed svg math canvas audio video dialog title noembed noframes datalist".split())
 MAIN = frozenset("article main".split())
 #: Words of class, id or role that mark furniture, in whole and as beginnings.
 MARKS = frozenset("ad ads adv nav navbar menu header masthead footer sidebar side aside notice notices cookie cookies consent gdpr banner promo popup modal overlay share sharing social related recommended comments comment commentlist respond disqus subscribe newsletter breadcrumb breadcrumbs pagination pager toolbar search login signup alert widget skip".split())
 MARK_STARTS = ("advert", "sponsor", "comment", "cookie", "newsletter", "breadcrumb", "sidebar", "navigation", "reader-comment")
+#: Compound names that mark furniture within an article as well.
+COMPOUNDS = frozenset("ad-slot ad-box ad-banner ad-unit ad-container ad-wrapper google-ad text-ad reader-comments reader-comment comment-list comment-section comments-section comments-area comment-form user-comments cookie-banner cookie-notice cookie-consent newsletter-signup social-share share-buttons related-articles related-posts".split())
 AMBIGUOUS = frozenset("menu header side aside notice notices share sharing social related recommended respond search login signup alert widget skip toolbar popup modal overlay footer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -70,12 +72,13 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-def _marked(words: str) -> tuple[bool, bool]:
-    """Whether class, id and so on mark furniture, surely and perhaps (by an ambiguous word of a compound)."""
+def _marked(words: str) -> tuple[bool, bool, bool]:
+    """Whether class, id and so on mark furniture: by a whole name, by a part of a compound, by an ambiguous part."""
     names = words.lower().split()
     parts = [w for name in names for w in re.split(r"[_-]+", name) if w]
-    sure = any(w in MARKS or w.startswith(MARK_STARTS) for w in names) or any((w in MARKS and w not in AMBIGUOUS) or w.startswith(MARK_STARTS) for w in parts)
-    return sure, any(w in AMBIGUOUS for w in parts)
+    whole = any(w in MARKS or w in COMPOUNDS or (w.startswith(MARK_STARTS) and w.isalpha()) for w in names)
+    part = any((w in MARKS and w not in AMBIGUOUS) or w.startswith(MARK_STARTS) for w in (*names, *parts))
+    return whole, part, any(w in AMBIGUOUS for w in parts)
 
 
 class Block(NamedTuple):
@@ -107,6 +110,8 @@ class Page:
     def _text(self, text: str) -> None:
         if text:
             top = self._stack[-1]
+            if self._pieces and top[2] and not self._block[2]:  # a control within a line of text does not cut it
+                return
             if not self._pieces or top[2:] != self._block[2:]:
                 self._flush()
                 self._block = top
@@ -159,10 +164,10 @@ class Page:
         if name in MAIN or role == "main":
             main, perhaps = True, False
         if marks and name not in ("html", "body", "article", "main"):
-            sure, ambiguous = _marked(marks)
-            furniture = furniture or sure
-            if ambiguous and main:
-                doubts = (*doubts, path)
+            whole, part, ambiguous = _marked(marks)
+            furniture = furniture or whole or (part and not main)
+            if main and (part or ambiguous) and not whole:
+                doubts = (*doubts, path)  # the template decides
             perhaps = perhaps or (ambiguous and not main)
         self._stack.append((name, path, furniture, perhaps, main, doubts))
 

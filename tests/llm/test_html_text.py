@@ -146,3 +146,15 @@ def test_copies_of_a_page_are_no_template(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in H.extract(df).collect()}
     assert got == {i: "First real line.\nSecond real line." for i in range(5)} | {9: "First real line.\nThird real line."}
+
+
+def test_compound_names_within_an_article_are_left_to_the_template():
+    page = (
+        '<body><div class="site-nav">Menu</div><article><h1 class="banner-headline">Title</h1><div class="ad-hoc-analysis">Ad hoc.</div>'
+        '<p id="comment-policy">Policy.</p><section class="navigation-satellites">Orbits.</section><p>One <select><option>a<option>b</select> line.</p>'
+        '<div class="ad">Buy</div><div class="reader-comments">Nice!</div><div class="promo-box">Repeated.</div></article></body>'
+    )
+    kept = "Title\nAd hoc.\nPolicy.\nOrbits.\nOne line.\nRepeated."
+    assert H.Page(page).main_text(set()) == kept
+    promo = [t for t, b in H.Page(page).tokens if b is None and t in {d for _, x in H.Page(page).tokens if x and x.text == "Repeated." for d in x.doubts}]
+    assert H.Page(page).main_text(set(promo)) == kept.removesuffix("\nRepeated.")
