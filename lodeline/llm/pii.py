@@ -2,7 +2,7 @@
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. High-recall generators then propose
 further, overlapping spans that the patterns miss: telephone numbers without "+", spelled-out e-mail addresses,
-IPv6 addresses, card numbers in other groupings. Boosted trees score each from its format and its context, a
+IPv6 addresses, card numbers in other groupings, and kinds without a pattern: account numbers (IBAN) and national numbers. Boosted trees score each from its format and its context, a
 threshold for each kind (set on held-back rows for a precision of PRECISION) selects, and of overlapping
 candidates the best stays.
 
@@ -31,6 +31,9 @@ from lodeline.plans.shared import bound_batches
 
 #: Kinds in the order of results.
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that no base pattern knows, after them: account numbers (IBAN), and national numbers (of nine digits in groups, or of eight with a letter).
+FURTHER = ("iban", "national")
+ALL_KINDS = (*KINDS, *FURTHER)
 TRAINING_SPANS = 8000
 #: Passages of each kind that the driver receives, and their code points.
 PASSAGES, PASSAGE = 1500, 160
@@ -74,6 +77,20 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, free))
 
 
+def valid_iban(span: str) -> bool:
+    """Whether the check digits of an account number hold."""
+    plain = span.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def valid_national(span: str) -> bool:
+    """Nine digits in the ranges that are given out, or eight digits and their letter."""
+    if span[-1:].isalpha():
+        return "TRWAGMYFPDXBNJZSQVHLCKE"[int(_digits(span)) % 23] == span[-1]
+    area, group, serial = (int(x) for x in span.split("-"))
+    return 0 < area < 900 and area != 666 and group > 0 and serial > 0
+
+
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """The spans of the fixed patterns by kind, in order."""
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
@@ -94,6 +111,8 @@ GENERATORS = (
     ("card", re.compile(r"(?<![\w.])[0-9]{4}(?:[._/ -]{1,2}[0-9]{4}){2}[._/ -]{1,2}[0-9]{1,7}(?![\w])")),
     ("ip", re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")),
     ("email", re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}+ ?[(\[{] ?(?:at|AT|@) ?[)\]}] ?[\w-]{1,64}+(?: ?(?:\.|[(\[{] ?(?:dot|DOT|\.) ?[)\]}]) ?[\w-]{1,64}+){1,4}")),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII)),
+    ("national", re.compile(r"(?<![\w-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{8}-?[TRWAGMYFPDXBNJZSQVHLCKE])(?![\w-])")),
 )
 #: Words that speak for a kind, and against any.
 HINTS = {
@@ -101,6 +120,8 @@ HINTS = {
     "ip": ("ip", "ipv6", "host", "server", "address", "ping"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "amex"),
     "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "telefon", "téléphone", "teléfono", "whatsapp"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta", "bank", "transfer"),
+    "national": ("ssn", "social", "security", "dni", "nif", "identity", "passport", "ausweis"),
 }
 AGAINST = ("order", "invoice", "isbn", "issn", "version", "date", "page", "total", "sku", "serial", "doi", "ref", "time", "score", "id")
 
@@ -115,7 +136,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     near = re.findall(r"\w+", before.lower())[-2:]
     year = any(1900 <= int(g) <= 2100 for g in groups if len(g) == 4)
     return [
-        *(float(kind == k) for k in KINDS),
+        *(float(kind == k) for k in ALL_KINDS), float(kind == "iban" and valid_iban(span)), float(kind == "national" and valid_national(span)),
         len(span), len(digits), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), float(len(groups[-1]) if groups else 0),
         len(separators), len(set(separators)), float(span.startswith("(") or span.startswith("00")), float(13 <= len(digits) <= 19 and luhn(digits)),
         float(year), float("." in span), float("/" in span), float(":" in span), span.count(":"), sum(c.isalpha() for c in span),
@@ -177,13 +198,34 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.bias + sum(self._walk(t, b) for t in self.trees))))
 
 
+def _iban(rng: random.Random, valid: bool) -> str:
+    """An account number in groups of four or in one piece, with check digits that hold or do not."""
+    country, own = rng.choice(("DE", "FR", "ES", "GB", "NL")), "".join(rng.choices("0123456789", k=rng.choice((14, 18, 20))))
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{own}{country}00")) % 97
+    plain = f"{country}{check if valid else (check + rng.randint(1, 90)) % 97 + 1:02d}{own}"
+    return " ".join(plain[i : i + 4] for i in range(0, len(plain), 4)) if rng.random() < 0.6 else plain
+
+
 def _synthetic(rng: random.Random, passages: tuple[str, ...] = ()) -> tuple[str, str, int, int, int]:
     """A text, and a candidate in it: kind, start, end, whether it is personal data; in one of ``passages``, if any."""
     d = lambda n: "".join(rng.choices("0123456789", k=n))
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzéü", k=rng.randint(2, 9)))
-    kind, real = rng.choice(KINDS), rng.random() < 0.5
+    kind, real = rng.choice(ALL_KINDS), rng.random() < 0.5
     hex4 = lambda: "".join(rng.choices("0123456789abcdef", k=4))
-    if kind == "phone":
+    if kind == "phone" and not real and rng.random() < 0.2:  # digits of an account number
+        account = _iban(rng, True)
+        first = re.search(r"[0-9]{4}(?: [0-9]{4})+", account[5:] + " 0000 0000")
+        text = f"{rng.choice(HINTS['iban'])} {account} {word()}"
+        at = text.index(account) + 5
+        size = len(first[0]) if first and first.start() == 0 else 9
+        return text, kind, at, min(at + size, len(text)), 0
+    if kind == "iban":
+        span = _iban(rng, real)
+    elif kind == "national":
+        number = d(8)
+        span = (f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" if rng.random() < 0.6 else number + "TRWAGMYFPDXBNJZSQVHLCKE"[int(number) % 23]) if real else rng.choice(
+            [f"9{d(2)}-{d(2)}-{d(4)}", f"000-{d(2)}-{d(4)}", f"{d(3)}-00-{d(4)}", number + "TRWAGMYFPDXBNJZSQVHLCKE"[(int(number) + 5) % 23]])
+    elif kind == "phone":
         span = rng.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"00{d(2)} {d(3)} {d(4)} {d(3)}", f"0{d(2)} {d(3)} {d(4)}", f"0{d(3)}/{d(6)}", f"{d(3)} {d(3)} {d(4)}"]) if real else rng.choice(
             [f"{rng.randint(1900, 2099)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/{rng.randint(1900, 2099)}", d(rng.randint(7, 14)), f"{d(3)}-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(rng.randint(1, 3))}.{d(rng.randint(4, 12))}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)}-{d(4)}", f"{rng.randint(1900, 2099)}-{rng.randint(1900, 2099)}"])
     elif kind == "card":
@@ -209,7 +251,7 @@ def _confirmed(passage: str) -> Iterator[tuple[str, str, int, int, int]]:
     """Candidates of a passage that a base span of their kind covers in part."""
     base = base_spans(passage)
     for kind, pattern in GENERATORS:
-        for m in pattern.finditer(passage) if _worth(kind, passage) else ():
+        for m in pattern.finditer(passage) if kind in base and _worth(kind, passage) else ():
             if _overlaps(_merged(base[kind]), *m.span()):
                 yield passage, kind, *m.span(), 1
 
@@ -245,7 +287,7 @@ def trained_and_judged(passages: tuple[str, ...] = (), marked: tuple[str, ...] =
     part = np.arange(len(rows)) % 8  # of eight parts, five fit, two set thresholds, one judges
     model = Boosted.fit(x[part < 5], y[part < 5])
     thresholds, judged = {}, {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         own = (kinds == kind) & (part >= 5) & (part < 7)
         p, truth = model.probability(x[own]), y[own]
         order = np.argsort(-p)
@@ -304,7 +346,7 @@ def _worth(kind: str, text: str) -> bool:
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
     """kind:start:end by kind, then start, comma-joined."""
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (ALL_KINDS.index(s[0]), s[1], s[2])))
 
 
 def all_spans(text: str, model: Boosted, thresholds: dict[str, float]) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:

@@ -121,3 +121,19 @@ def test_merged_spans_answer_overlaps():
     assert taken == [(1, 3), (5, 12), (20, 21)]
     plain = lambda a, b: any(s < b and a < e for s, e in taken)
     assert all(P._overlaps(taken, a, b) == plain(a, b) for a in range(25) for b in range(a + 1, 25))
+
+
+def test_account_and_national_numbers_are_found_by_their_kind():
+    from lodeline.llm import pii
+
+    model, thresholds = pii.trained()
+
+    def kinds(text):
+        return [(k, text[a:b]) for k, a, b in pii.all_spans(text, model, thresholds)[1]]
+
+    assert kinds("IBAN DE89 3704 0044 0532 0130 00 thanks") == [("iban", "DE89 3704 0044 0532 0130 00")]
+    assert kinds("konto GB82WEST12345698765432, please") == [("iban", "GB82WEST12345698765432")]
+    assert kinds("IBAN DE88 3704 0044 0532 0130 00 thanks") == []  # check digits are wrong
+    assert kinds("my ssn 123-45-6789 is private") == [("national", "123-45-6789")]
+    assert kinds("lot 000-45-6789 and dni 12345678A") == []
+    assert kinds("dni 12345678Z") == [("national", "12345678Z")]
