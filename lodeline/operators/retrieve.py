@@ -162,8 +162,15 @@ def _class_of(lang: Column) -> Column:
     return F.when(lang == "de", "ge").when(lang == "es", "sp").otherwise(lang)
 
 
-def scored_matches(spark, sf_dir, k: int = 5) -> DataFrame:
-    """The k best documents of each item with their partial scores."""
+def canonical_terms(queries: DataFrame) -> DataFrame:
+    """Queries with the terms of their class added: what a repaired or canonical query asks for."""
+    words = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for n, w in DOMAINS.items() for x in (n[:2], w)))
+    whole = F.array_union("terms", F.coalesce(F.try_element_at(words, F.col("class")), F.array().cast("array<string>")))
+    return queries.withColumn("terms", whole).withColumn("n", F.size("terms"))
+
+
+def scored_matches(spark, sf_dir, k: int = 5, queries: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each item, or of the given (query_id, terms, n, class), with their partial scores."""
     labels = materialise(read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")), "qualities")
     docs = join_checked(corpus_terms(spark, sf_dir).withColumn("same", _class_of(F.col("lang"))), labels, "doc_id", "left")
 
@@ -189,7 +196,7 @@ def scored_matches(spark, sf_dir, k: int = 5) -> DataFrame:
         return score
 
     schema = "doc_id long, lang string, hits int, n int, semantic double, keyword double, pattern double, class_score double, quality_score double, score double, query_id long"
-    return searched(docs.select("doc_id", "lang", "same", "n_chars", "quality", "terms"), query_terms(spark, sf_dir), k, schema, "doc_id", one_block)
+    return searched(docs.select("doc_id", "lang", "same", "n_chars", "quality", "terms"), query_terms(spark, sf_dir) if queries is None else queries, k, schema, "doc_id", one_block)
 
 
 def graded(matches: DataFrame) -> DataFrame:
@@ -252,14 +259,52 @@ def q_rag_bundle(spark, sf_dir):
 
 
 def q_repair_choose_better(spark, sf_dir):
-    """A second pass with twice the matches; its grade counts where the first is weak or bad and it scores no less."""
-    matches = materialise(scored_matches(spark, sf_dir, 10), "matches")
-    first, second = graded(matches.where("rank <= 5")), graded(matches)
-    joined = first.join(second.select("query_id", F.col("grade").alias("grade2"), F.col("grade_score").alias("score2")), "query_id")
-    better = (F.col("grade") != "good") & (F.col("score2") >= F.col("grade_score"))
+    """A second search by the repaired query, the terms of the class added, for eight matches; its grade counts where the first is weak or bad and it scores no less."""
+    asked = materialise(query_terms(spark, sf_dir), "item-queries")
+    first = graded(scored_matches(spark, sf_dir, 5, asked))
+    weak = materialise(first.where("grade != 'good'").select("query_id"), "weak-queries")
+    second = graded(scored_matches(spark, sf_dir, 8, canonical_terms(join_checked(asked, weak, "query_id", "left_semi"))))
+    joined = first.join(second.select("query_id", F.col("grade").alias("grade2"), F.col("grade_score").alias("score2")), "query_id", "left")
+    better = F.coalesce(F.col("score2") >= F.col("grade_score"), F.lit(False))
     return joined.select("query_id", F.when(better, F.col("grade2")).otherwise(F.col("grade")).alias("grade"), F.when(better, F.col("score2")).otherwise(F.col("grade_score")).alias("grade_score"), better.alias("repaired"))
 
 
+def mode_metrics(matches: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row: means over all ``queries`` of the measures of their ten best ``matches``.
+
+    ``relevant`` (query_id, doc_id) are the given documents of a query; one without any counts matches of its class, and then reaches a recall
+    of 1 by one of them.
+    """
+    given = relevant.groupBy("query_id").agg(F.count("*").alias("given"))
+    rows = matches.join(relevant.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left").join(given, "query_id", "left")
+    same = (F.col("class_score") > 0).cast("int")
+    rows = rows.withColumn("label", F.when(F.col("given").isNotNull(), F.coalesce("hit", F.lit(0))).otherwise(same)).withColumn("safe", same * ((F.col("hits") >= 2) & (F.col("score") >= CITED)).cast("int"))
+    upto = lambda k: F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("label"))), F.lit(0))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("label"), "rank"))
+    rows = rows.withColumn("gain", F.col("label") / F.log2(F.col("rank") + 1)).withColumn("ideal", F.col("label") / F.log2(best + 1))
+    total = F.coalesce(F.max("given"), F.lit(1))
+    each = rows.groupBy("query_id").agg(
+        F.least(F.lit(1.0), upto(5) / total).alias("recall5"), F.least(F.lit(1.0), upto(10) / total).alias("recall10"), (upto(5) / 5).alias("precision5"), (upto(10) / 10).alias("precision10"),
+        F.coalesce(1 / F.min(F.when(F.col("label") == 1, F.col("rank"))), F.lit(0.0)).alias("mrr10"), F.coalesce(F.try_divide(F.sum("gain"), F.sum("ideal")), F.lit(0.0)).alias("ndcg10"),
+        F.avg(same).alias("class_rate"), F.avg("safe").alias("safe_rate"), F.max("score").alias("top_score"),
+    )
+    measures = [c for c in each.columns if c != "query_id"]
+    every = queries.select("query_id").join(each, "query_id", "left").fillna(0.0, measures)
+    strict = relevant.agg((F.count("*") > 0).alias("strict"))
+    return every.agg(*(F.round(F.avg(c), 4).alias(c) for c in measures), F.count("*").alias("queries")).crossJoin(strict)  # one row by one row
+
+
+def q_query_modes(spark, sf_dir):
+    """Measures of searches by the items' own terms and by their canonical queries; relevant are the documents that hold an item whole."""
+    from lodeline.operators.containment import q_containment
+
+    asked = materialise(query_terms(spark, sf_dir), "item-queries")
+    relevant = materialise(q_containment(spark, sf_dir).where("holds = 'row'").select(F.col("item_id").alias("query_id"), "doc_id"), "relevant")
+    raw = mode_metrics(scored_matches(spark, sf_dir, 10, asked), relevant, asked).withColumn("mode", F.lit("raw_query"))
+    canonical = mode_metrics(scored_matches(spark, sf_dir, 10, canonical_terms(asked)), relevant, asked).withColumn("mode", F.lit("canonical_query"))
+    return raw.unionByName(canonical)
+
+
 def q_two_tier_retrieval(spark, sf_dir):
     """Labelled documents first, the rest only fills up."""
     labels = read(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("tier", F.lit(0))
@@ -339,6 +384,13 @@ f AS (SELECT *, round(CAST(0.30 AS DOUBLE) * semantic + CAST(0.25 AS DOUBLE) * k
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f)"""
 
 
+_I = _SCORED[_SCORED.index("i AS (") : _SCORED.index("p AS (")]
+_CLASS_WORDS = "CASE class " + " ".join(f"WHEN '{n[:2]}' THEN {_list(w)}" for n, w in DOMAINS.items()) + " ELSE [] END"
+#: The same for canonical queries.
+_CANONICAL = _SCORED.replace(_I, _I.replace("i AS (", "raw AS (", 1) + f"""i AS (SELECT query_id, t, len(t) AS n, class FROM (SELECT query_id, list_distinct(list_concat(t, {_CLASS_WORDS})) AS t, class FROM raw)),
+""")
+
+
 def _grades(most: int, name: str) -> str:
     return f"""{name}0 AS (SELECT query_id, count(*) FILTER (WHERE score >= 0.30 AND class_score > 0 AND hits >= 2) AS strong, max(score) FILTER (WHERE score >= 0.18) AS weak,
   list_slice(list_sort(list(score) FILTER (WHERE score >= 0.30 AND class_score > 0 AND hits >= 2), 'DESC'), 1, 3) AS top FROM r WHERE rank <= {most} GROUP BY 1),
@@ -370,9 +422,19 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
     "critique_safe": f"""WITH {_SCORED} SELECT query_id, doc_id, {_SAFE} AS safe, array_to_string(list_filter([CASE WHEN class_score = 0 THEN 'class differs: ' || lang END, CASE WHEN hits < 2 THEN 'no term overlap' END,
 CASE WHEN score < 0.25 THEN 'score below citation' END], lambda x: x IS NOT NULL), '; ') AS differences FROM r WHERE rank <= 5""",
     "rag_bundle": f"""WITH {_SCORED} SELECT query_id, count(*) AS n, count(*) FILTER (WHERE {_SAFE}) AS n_safe, coalesce(array_to_string(list_slice(list(doc_id ORDER BY rank) FILTER (WHERE {_SAFE}), 1, 3), ','), '') AS safe_docs FROM r WHERE rank <= 5 GROUP BY 1""",
-    "repair_choose_better": f"""WITH {_SCORED}, {_grades(5, 'g')}, {_grades(10, 'h')}
+    "repair_choose_better": f"""WITH r AS (WITH {_SCORED} SELECT * FROM r), {_grades(5, 'g')}, r2 AS (WITH {_CANONICAL} SELECT * FROM r WHERE rank <= 8), {_grades(8, 'h').replace("FROM r WHERE", "FROM r2 WHERE")}
 SELECT query_id, CASE WHEN better THEN g2 ELSE g1 END AS grade, CASE WHEN better THEN s2 ELSE s1 END AS grade_score, better AS repaired
-FROM (SELECT g.query_id, g.grade AS g1, h.grade AS g2, g.grade_score AS s1, h.grade_score AS s2, g.grade <> 'good' AND h.grade_score >= g.grade_score AS better FROM g JOIN h USING (query_id))""",
+FROM (SELECT g.query_id, g.grade AS g1, h.grade AS g2, g.grade_score AS s1, h.grade_score AS s2, g.grade <> 'good' AND coalesce(h.grade_score >= g.grade_score, false) AS better FROM g LEFT JOIN h USING (query_id))""",
+    "query_modes": f"""WITH m AS (SELECT 'raw_query' AS mode, * FROM (WITH {_SCORED} SELECT query_id, doc_id, hits, score, class_score, rank FROM r WHERE rank <= 10)
+  UNION ALL SELECT 'canonical_query', * FROM (WITH {_CANONICAL} SELECT query_id, doc_id, hits, score, class_score, rank FROM r WHERE rank <= 10)),
+rel AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON b.text <> '' AND contains(lower(d.text), lower(b.text))),
+g AS (SELECT query_id, count(*) AS given FROM rel GROUP BY 1),
+l AS (SELECT m.*, given, CAST(CASE WHEN given IS NOT NULL THEN rel.doc_id IS NOT NULL ELSE class_score > 0 END AS INT) AS label, CAST({_SAFE} AS INT) AS safe FROM m LEFT JOIN rel ON rel.query_id = m.query_id AND rel.doc_id = m.doc_id LEFT JOIN g ON g.query_id = m.query_id),
+x AS (SELECT *, row_number() OVER (PARTITION BY mode, query_id ORDER BY label DESC, rank) AS best FROM l),
+e AS (SELECT mode, query_id, least(1.0, coalesce(sum(label) FILTER (WHERE rank <= 5), 0) / CAST(coalesce(max(given), 1) AS DOUBLE)) AS recall5, least(1.0, sum(label) / CAST(coalesce(max(given), 1) AS DOUBLE)) AS recall10, coalesce(sum(label) FILTER (WHERE rank <= 5), 0) / CAST(5 AS DOUBLE) AS precision5, sum(label) / CAST(10 AS DOUBLE) AS precision10,
+  coalesce(1 / CAST(min(rank) FILTER (WHERE label = 1) AS DOUBLE), 0.0) AS mrr10, coalesce(sum(label / log2(rank + 1)) / nullif(sum(label / log2(best + 1)), 0), 0.0) AS ndcg10, avg(CAST(class_score > 0 AS INT)) AS class_rate, avg(safe) AS safe_rate, max(score) AS top_score FROM x GROUP BY ALL),
+n AS (SELECT count(*) AS queries FROM benchmark)
+SELECT mode, {", ".join(f"round(sum({c}) / max(queries), 4) AS {c}" for c in ("recall5", "recall10", "precision5", "precision10", "mrr10", "ndcg10", "class_rate", "safe_rate", "top_score"))}, max(queries) AS queries, (SELECT count(*) > 0 FROM rel) AS strict FROM e CROSS JOIN n GROUP BY mode""",
     "two_tier_retrieval": f"""WITH {_SCORED}, t AS (SELECT query_id, doc_id, rank, CAST(doc_id NOT IN (SELECT doc_id FROM labels) AS INT) AS tier FROM r WHERE rank <= 10)
 SELECT * FROM (SELECT query_id, doc_id, tier, row_number() OVER (PARTITION BY query_id ORDER BY tier, rank) AS place FROM t) WHERE place <= 5""",
     "merge_best": f"WITH {_SCORED} SELECT doc_id, max(score) AS score, count(*) AS items FROM r WHERE rank <= 5 GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 10",
