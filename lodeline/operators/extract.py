@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.functions import text as X
+from lodeline.plans.slices import sliced, with_nearest
 from lodeline.sources import lines as L
 from lodeline.sources import sample
 from lodeline.sources.sample import quoted, values_sql
@@ -122,9 +123,8 @@ def q_class_text_lookup(spark, sf_dir):
 
 def q_output_reference(spark, sf_dir):
     """Each purchase with the value that the user's last earlier view gave."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    found = events.withColumn("source_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w))
+    events = sliced(spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "event_type", "ts"), F.unix_micros(F.col("ts").cast("timestamp")))
+    found = with_nearest(events, ["user_id"], ["ts", "event_id"], F.when(F.col("event_type") == "view", F.col("event_id")), "source_id")
     return found.where("event_type = 'purchase'").select("event_id", "source_id")
 
 

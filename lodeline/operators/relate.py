@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.plans.shared import materialise
+from lodeline.plans.slices import SLICE, SLICES, sliced, with_nearest, with_running_sum
 
 #: Types of a part by words of its name, first match.
 KINDS = (("metal", ("steel", "brass", "copper", "tin", "nickel")), ("sized", ("large", "small", "medium", "economy")))
@@ -41,12 +42,13 @@ def first_then_later(rows: DataFrame, keys: list[str], order: str, first, later)
     return marked.groupBy(*keys).agg(F.min("first_at").alias("first_at"), F.min(F.when(later & (F.col(order) > F.col("first_at")), F.col(order))).alias("later_at")).where("later_at is not null")
 
 
-def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """Events of a user with the number of their session; a longer gap begins one."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w)
-    fresh = F.when(gap.isNull() | (gap > minutes * 60_000_000), 1).otherwise(0)
-    return events.withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w))
+def sessions(events: DataFrame, minutes: int = 30, slices: int = SLICES) -> DataFrame:
+    """Events of a user with the number of their session; a longer gap begins one. A user may hold any share of the events."""
+    order = ["_at", "event_id"]
+    rows = sliced(events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp"))), F.unix_micros(F.col("ts").cast("timestamp")), slices)
+    rows = with_nearest(rows, ["user_id"], order, F.col("_at"), "_before")
+    rows = rows.withColumn("fresh", F.when(F.col("_before").isNull() | (F.col("_at") - F.col("_before") > minutes * 60_000_000), 1).otherwise(0))
+    return with_running_sum(rows, ["user_id"], order, F.col("fresh"), "session").drop("_at", "_before", SLICE)
 
 
 def supplier_edges(spark, sf_dir):
@@ -129,8 +131,10 @@ def q_edge_existence(spark, sf_dir):
 
 
 def q_next_start(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ranked = read(spark, sf_dir, "events").withColumn("ordinal", F.row_number().over(w)).withColumn("next_id", F.lead("event_id").over(w))
+    """Each signup's number among the user's events, and the event after it."""
+    order = ["ts", "event_id"]
+    rows = sliced(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), F.unix_micros(F.col("ts").cast("timestamp")))
+    ranked = with_nearest(with_running_sum(rows, ["user_id"], order, F.lit(1), "ordinal"), ["user_id"], order, F.col("event_id"), "next_id", after=True)
     return ranked.where("event_type = 'signup'").select("user_id", "event_id", "ordinal", "next_id")
 
 
