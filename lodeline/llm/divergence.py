@@ -1,7 +1,7 @@
 """Divergence of each source from the other sources of its language, and of its terms from the language.
 
 1. Single-pass in-memory indexing: a task counts the terms of its documents, by language and source, in a block. When
-   the block holds BLOCK_ENTRIES entries it leaves as a run in the order of its terms, and the next one begins. So
+   the block has counted BLOCK_TERMS terms it leaves as a run in the order of its terms, and the next one begins. So
    a term leaves a task once a block and source, however frequent it is.
 2. Runs are dealt into shards by the hash of term and language, and each shard merges its runs in the order of terms and adds
    up: one row a term, with its occurrences in every source that has it. Terms in fewer than LEAST_DOCUMENTS documents of
@@ -16,8 +16,6 @@ The driver holds a count for each (language, source); the result has a row for e
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +29,8 @@ from lodeline.plans.shared import bound_batches, discard, join_checked, material
 LEAST_DOCUMENTS = 3
 #: Ranks of terms that are reported for a group.
 REPORTED = 200
-#: Entries (language, source, term) of a block in a task's memory.
-BLOCK_ENTRIES = 500_000
+#: Terms, repeats included, whose entries (language, source, term) a task holds as a block.
+BLOCK_TERMS = 1_500_000
 #: Shares are counted in units of this part of all.
 UNIT = 1_000_000_000
 #: Rows of a batch that leaves a task; elements of pairs that are worked out at once.
@@ -43,48 +41,67 @@ _TERMS = "lang string, term string, total long, sources array<string>, counts ar
 
 #: A-Z to a-z, what is no part of a term to a space; bytes above 127 stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+_FOLDED = np.frombuffer(_FOLD, np.uint8)
 
 
-def terms_of(text: bytes | None) -> list[bytes]:
-    """Maximal runs of A-Z (as a-z) and of characters above U+007F in a UTF-8 text."""
-    return (text or b"").translate(_FOLD).split()
+def split_terms(texts):
+    """The terms of an Arrow array of UTF-8 texts (binary, null: empty) in order, and the number of the text that each is in."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
+    texts = pc.fill_null(texts, b"")
+    _, offsets, data = texts.buffers()
+    folded = _FOLDED[np.frombuffer(data, np.uint8)] if data is not None and data.size else np.zeros(0, np.uint8)
+    pieces = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, offsets, pa.py_buffer(folded)], offset=texts.offset))
+    found, at = pieces.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(pieces).to_numpy())
+    known = pc.greater(pc.binary_length(found), 0)  # a text that begins or ends with a space has an empty piece there
+    return found.filter(known), at[known.to_numpy(zero_copy_only=False)]
 
-def _runs(block_entries: int):
+
+def _runs(block_terms: int):
     """Batches of (lang, text, source) to runs of (key, source, n, docs) in the order of keys.
 
     A key is a term, a NUL (which no term holds) and the language. Each group (lang, source) of a block also has a row of the
     empty term, so groups without terms are not lost.
     """
 
-    def spilled(counts: dict, docs: dict) -> Iterator:
+    def spilled(terms: list, at: list[np.ndarray], groups: list[np.ndarray], names: dict[tuple[str, str], int]) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        keys, sources, ns, ds = [], [], [], []
-        for (lang, source), found in counts.items():
-            own, end = docs[lang, source], b"\0" + lang.encode()
-            keys += [end, *(t + end for t in found)]
-            sources += [source] * (len(found) + 1)
-            ns += [0, *found.values()]
-            ds += [0, *map(own.__getitem__, found)]
-        run = pa.table([pa.array(keys, pa.binary()), pa.array(sources, pa.string()), pa.array(ns, pa.int64()), pa.array(ds, pa.int64())], names=["key", "source", "n", "docs"])
-        run = run.sort_by([("key", "ascending"), ("source", "ascending")])
-        yield from run.set_column(0, "key", run["key"].cast(pa.string())).to_batches(max_chunksize=RUN_ROWS)
+        coded = pa.chunked_array(terms, pa.string()).combine_chunks().dictionary_encode()
+        size = len(coded.dictionary) + 1
+        starts = np.cumsum([0, *(len(g) for g in groups)])
+        rows, code = np.concatenate([x + s for x, s in zip(at, starts, strict=False)]), coded.indices.to_numpy().astype(np.int64)
+        in_text, often = np.unique(rows * size + code, return_counts=True)
+        entry = np.concatenate(groups)[in_text // size] * size + in_text % size
+        order = entry.argsort(kind="stable")
+        first = np.flatnonzero(np.diff(entry[order], prepend=-1))
+        entry, n, docs = entry[order][first], np.add.reduceat(often[order], first) if len(first) else often[:0], np.diff(np.append(first, len(order)))
+        langs, sources = (pa.array([name[i] for name in names], pa.string()) for i in (0, 1))
+        group = np.concatenate([entry // size, np.arange(len(names))])
+        words = pa.concat_arrays([coded.dictionary.take(pa.array(entry % size)), pa.array([""] * len(names), pa.string())])
+        nothing = np.zeros(len(names), np.int64)
+        keys = pc.binary_join_element_wise(words, langs.take(pa.array(group)), "\0")
+        run = pa.table([keys, sources.take(pa.array(group)), pa.array(np.concatenate([n, nothing])), pa.array(np.concatenate([docs, nothing]))], names=["key", "source", "n", "docs"])
+        yield from run.sort_by([("key", "ascending"), ("source", "ascending")]).to_batches(max_chunksize=RUN_ROWS)
 
     def run(batches: Iterator) -> Iterator:
-        counts: dict = defaultdict(Counter)
-        docs: dict = defaultdict(Counter)
+        terms, at, groups, names, held = [], [], [], {}, 0
         for batch in batches:
-            for lang, text, source in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                words = terms_of(text.as_py())
-                counts[lang, source].update(words)
-                docs[lang, source].update(set(words))
-            if sum(map(len, counts.values())) >= block_entries:
-                yield from spilled(counts, docs)
-                counts.clear()
-                docs.clear()
-        if counts:
-            yield from spilled(counts, docs)
+            if not batch.num_rows:
+                continue
+            found, where = split_terms(batch.column(1))
+            own = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            terms.append(found)
+            at.append(where)
+            groups.append(np.fromiter((names.setdefault(x, len(names)) for x in own), np.int64, batch.num_rows))
+            held += len(found)
+            if held >= block_terms:
+                yield from spilled(terms, at, groups, names)
+                terms, at, groups, names, held = [], [], [], {}, 0
+        if groups:
+            yield from spilled(terms, at, groups, names)
 
     return run
 
@@ -151,10 +168,10 @@ def _merged(least: int):
     return run
 
 
-def term_table(docs: DataFrame, least: int = LEAST_DOCUMENTS, block_entries: int = BLOCK_ENTRIES) -> DataFrame:
+def term_table(docs: DataFrame, least: int = LEAST_DOCUMENTS, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """lang, term, total, sources, counts: the kept terms of each language, and a row of a null term with all its sources."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("binary").alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"))
-    runs = rows.mapInArrow(_runs(block_entries), _RUN)
+    runs = rows.mapInArrow(_runs(block_terms), _RUN)
     return runs.repartition("key").sortWithinPartitions("key", "source").mapInArrow(_merged(least), _TERMS)
 
 
@@ -193,6 +210,7 @@ def _both(sizes: dict[str, tuple[int, dict[str, int]]]):
                 v, of = sizes[lang]
                 total = np.array([of[s] + v for s in sorted(of)], np.int64)
                 nothing = shares(np.zeros(len(total), np.int64), total)
+                neither = value(nothing[:, None], nothing[None, :])
                 rows = np.flatnonzero(langs == lang)
                 sources, counts = (batch.column(c).take(pa.array(rows)) for c in (3, 4))
                 lengths = np.diff(sources.offsets.to_numpy())
@@ -206,12 +224,12 @@ def _both(sizes: dict[str, tuple[int, dict[str, int]]]):
                         s = index[place]
                         p, none = shares(number[place], total[s]), nothing[s]
                         a, b, a0, b0 = p[:, :, None], p[:, None, :], none[:, :, None], none[:, None, :]
-                        x = (value(a, b) - value(a, b0) - value(a0, b) + value(a0, b0)).ravel()
                         pair = (s[:, :, None] * len(total) + s[:, None, :]).ravel()
-                        # sums of 21 bits at a time are exact in doubles
-                        parts = [np.bincount(pair, y, len(total) ** 2) for y in (x & 0x1FFFFF, x >> 21 & 0x1FFFFF, x >> 42)]
-                        for j in np.flatnonzero(np.bincount(pair, minlength=len(total) ** 2)):
-                            sums[lang, int(j)] = sums.get((lang, int(j)), 0) + sum(int(y[j]) << 21 * e for e, y in enumerate(parts))
+                        x = (value(a, b) - value(a, b0) - value(a0, b)).ravel() + neither.ravel()[pair]
+                        # sums of 31 bits of a million values are exact in doubles
+                        low, high = (np.bincount(pair, y, len(total) ** 2) for y in (x & 0x7FFFFFFF, x >> 31))
+                        for j in np.flatnonzero((low != 0) | (high != 0)):
+                            sums[lang, int(j)] = sums.get((lang, int(j)), 0) + int(low[j]) + (int(high[j]) << 31)
         out = [(lang, *divmod(j, len(order[lang])), x) for (lang, j), x in sums.items()]
         names = {lang: sorted(of) for lang, of in order.items()}
         rows = [(lang, names[lang][a], names[lang][b], str(x)) for lang, a, b, x in out if a != b]

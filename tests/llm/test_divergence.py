@@ -57,7 +57,7 @@ def test_equals_the_plain_form(spark):
 
 def test_small_blocks_and_ranks(spark):
     rows = corpus(60)
-    terms = D.term_table(frame(spark, rows).coalesce(1), block_entries=3)
+    terms = D.term_table(frame(spark, rows).coalesce(1), block_terms=3)
     whole = D.term_table(frame(spark, rows).coalesce(1))
     key = lambda r: (r.lang, r.term or "", r.total, sorted(zip(r.sources, r.counts, strict=True)))
     assert sorted(map(key, terms.collect())) == sorted(map(key, whole.collect()))
