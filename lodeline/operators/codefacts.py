@@ -71,10 +71,10 @@ def contract_ranges(lines: DataFrame) -> DataFrame:
     return found.withColumn("at_contract", F.when(inside, owner)).drop("_after", "_before", "_begins", "_nth")
 
 
-def located(sources: DataFrame) -> DataFrame:
-    """repo, file_path, line_no, code, contract_name, function_name, start_line, at_contract of every line."""
+def located(sources: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """repo, file_path, line_no, code, contract_name, function_name, start_line, at_contract of every line; ``ranges`` are those of functions, if known."""
     lines = L.to_lines(sources).withColumn("code", statement(F.col("raw")))
-    ranges = L.function_ranges(sources).select(*FILE, F.col("contract_name").alias("fn_contract"), "function_name", "start_line", "end_line")
+    ranges = (L.function_ranges(sources) if ranges is None else ranges).select(*FILE, F.col("contract_name").alias("fn_contract"), "function_name", "start_line", "end_line")
     rows = contract_ranges(L.containing(lines, ranges, FILE))
     first = F.first("at_contract", ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     inside = F.col("function_name").isNotNull()
@@ -122,12 +122,12 @@ def visibility(signature: Column) -> Column:
     return F.coalesce(*(F.when(signature.rlike(rf"\b{v}\b"), F.lit(v)) for v in VISIBILITIES))
 
 
-def functions(sources: DataFrame, rows: DataFrame, variables: DataFrame) -> DataFrame:
+def functions(ranges: DataFrame, rows: DataFrame, variables: DataFrame) -> DataFrame:
     """A row a function: visibility, payable, modifiers, parameters, aliases, reads, writes and calls of its body."""
     key = [*FILE, "contract_name", "function_name", "start_line"]
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n")
     bodies = with_state(rows.where("function_name is not null").groupBy(*key).agg(body.alias("body")), variables)
-    signatures = L.function_ranges(sources).select(*key, "end_line", "signature")
+    signatures = ranges.select(*key, "end_line", "signature")
     found = signatures.join(bodies, key)
     body, names, signature = F.col("body"), _names(F.col("vars")), F.col("signature")
     tail = F.element_at(F.split(signature, r"\)"), -1)
@@ -279,14 +279,18 @@ def trust_boundaries(rows: DataFrame) -> DataFrame:
 
 
 class Facts:
-    """The fact tables of sources, each worked out when first asked for; lines, variables and functions are written down."""
+    """The fact tables of sources, each worked out when first asked for; ranges, lines, variables and functions are written down."""
 
     def __init__(self, sources: DataFrame):
         self.given, self.sources = sources, L.target_sources(sources)
 
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return materialise(L.function_ranges(self.sources), "function-ranges")
+
     @cached_property
     def rows(self) -> DataFrame:
-        return materialise(located(self.sources), "code-lines")
+        return materialise(located(self.sources, self.ranges), "code-lines")
 
     @cached_property
     def variables(self) -> DataFrame:
@@ -294,7 +298,7 @@ class Facts:
 
     @cached_property
     def functions(self) -> DataFrame:
-        return materialise(functions(self.sources, self.rows, self.variables), "functions")
+        return materialise(functions(self.ranges, self.rows, self.variables), "functions")
 
     @cached_property
     def tokens(self) -> DataFrame:

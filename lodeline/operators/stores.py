@@ -107,10 +107,10 @@ def q_listing_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_bounded_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources written one a file and read back by their first 400 bytes."""
+    """Sources written one a file and read back by their first 400 bytes. Tasks move their files into place themselves; the driver would take one after the other."""
     root = scratch(spark, "files")
     rows = sample.repositories(spark, sf_dir, sample.LINKED_SOURCES).select("text")
-    rows.write.option("maxRecordsPerFile", 1).text(root)
+    rows.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(root)
     return files.read_bounded(spark, root, 400).select(F.md5("text").alias("md5"), "truncated", "n_lines").distinct()
 
 

@@ -276,12 +276,22 @@ def sources(spark: SparkSession, rows=SOURCES) -> DataFrame:
     return spark.createDataFrame(rows, "repo string, file_path string, text string")
 
 
+#: Suppliers a task makes repositories of.
+SUPPLIERS = 1000
+
+
+def spread(rows: DataFrame, each: int) -> DataFrame:
+    """``rows`` dealt over the cores, and over more tasks once a task would have more than ``each``: a small table is one file, and one task."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // each)))
+
+
 def repositories(spark: SparkSession, sf_dir: str, rows=SOURCES) -> DataFrame:
     """repo, file_path, text: a repository for each supplier, after one of those in ``rows``.
 
     The supplier's key picks the repository it follows and names it; its balance, if negative, drops the owners' guards; its
     nation sets the delay and, if even, renames the keeper. So code and facts differ from repository to repository and
-    grow with the table.
+    grow with the table. A supplier becomes kilobytes of code, so suppliers are dealt over tasks before.
     """
     kinds = list(dict.fromkeys(r[0] for r in rows))
     patterns = spark.createDataFrame([(kinds.index(repo), repo, path, text) for repo, path, text in rows], "kind int, name string, file_path string, given string")
@@ -289,7 +299,7 @@ def repositories(spark: SparkSession, sf_dir: str, rows=SOURCES) -> DataFrame:
     guarded = F.when(F.col("s_acctbal") < 0, F.replace("given", F.lit(" onlyOwner"), F.lit(""))).otherwise(F.col("given"))
     delayed = F.replace(guarded, F.lit("3600"), (600 * (F.col("s_nationkey") + 1)).cast("int").cast("string"))
     renamed = F.when(F.col("s_nationkey") % 2 == 0, F.replace(delayed, F.lit("keeper"), F.concat(F.lit("keeper"), F.col("s_nationkey").cast("string")))).otherwise(delayed)
-    return suppliers.join(F.broadcast(patterns), "kind").select(F.concat("name", F.lit("-"), F.col("s_suppkey").cast("string")).alias("repo"), "file_path", renamed.alias("text"))
+    return spread(suppliers, SUPPLIERS).join(F.broadcast(patterns), "kind").select(F.concat("name", F.lit("-"), F.col("s_suppkey").cast("string")).alias("repo"), "file_path", renamed.alias("text"))
 
 
 def src_sql(rows=SOURCES) -> str:
