@@ -17,6 +17,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes of a frontier that is broadcast; there is one a hop, and all pass the driver.
+FRONTIER_BYTES = 2 << 20
+
+
 def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, node, hop): nodes within so many hops of each start, the start included, with the fewest hops.
 
@@ -31,7 +35,7 @@ def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     known = seeds.select("node", "block", "bits", F.lit(0).alias("hop"))
     frontier = seeds
     for hop in range(1, hops + 1):
-        step = join_checked(edges, frontier.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "block", "bits", F.lit(0).cast("long").alias("old"))
+        step = join_checked(edges, frontier.withColumnRenamed("node", "src"), "src", limit=FRONTIER_BYTES).select(F.col("dst").alias("node"), "block", "bits", F.lit(0).cast("long").alias("old"))
         both = step.unionByName(known.select("node", "block", F.lit(0).cast("long").alias("bits"), F.col("bits").alias("old")))
         merged = both.groupBy("node", "block").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
         frontier = materialise(merged.select("node", "block", F.expr("bits & ~old").alias("bits"), F.lit(hop).alias("hop")).where("bits != 0"), "reach")
@@ -41,7 +45,7 @@ def reachable(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
         frontier = frontier.drop("hop")
     discard(edges)
     blocks = materialise(seeds.groupBy("block").agg(F.collect_list(F.struct("node", "bits")).alias("starts")), "reach-blocks")
-    found = join_checked(known, blocks, "block").select("node", "hop", F.explode(F.filter("starts", lambda s: s["bits"].bitwiseAND(F.col("bits")) != 0)).alias("s"))
+    found = join_checked(known, blocks, "block", limit=FRONTIER_BYTES).select("node", "hop", F.explode(F.filter("starts", lambda s: s["bits"].bitwiseAND(F.col("bits")) != 0)).alias("s"))
     return found.select(F.col("s.node").alias("start"), "node", "hop")
 
 
