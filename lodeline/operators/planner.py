@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lodeline.operators import codefacts as C
 from lodeline.operators.slices import functions_of
 from lodeline.functions.text import string_list, tolerant_object
+from lodeline.plans.shared import materialise
 from lodeline.sources.sample import quoted, values_sql
 
 #: Classes whose hypotheses are anchored at the entry points that reach them, and how many are added.
@@ -32,27 +33,25 @@ def effects(outputs: DataFrame, declared: DataFrame) -> DataFrame:
     """
     path = F.when(F.col("output_path") == "", F.lit("$")).otherwise(F.concat(F.lit("$."), "output_path"))
     rows = outputs.withColumn("output", F.try_parse_json("output")).join(F.broadcast(declared), "tool")  # what a registry declares
-    rows = rows.withColumn("value", F.try_variant_get("output", path, "variant")).where("value is not null and not is_variant_null(value)")
+    rows = rows.withColumn("value", F.try_variant_get("output", path, "variant")).where("run is not null and state_path is not null and value is not null and not is_variant_null(value)")
     kind = F.schema_of_variant("value")
     rows = rows.select("run", "state_path", "call", "merge", "value", F.when(F.col("merge") == "extend", "list").when(kind.startswith("ARRAY"), "list").when(kind.startswith("OBJECT"), "object").otherwise("other").alias("kind"), kind.startswith("ARRAY").alias("many"))
     of = ["run", "state_path"]
-    before = F.lag("kind").over(Window.partitionBy(*of).orderBy("call"))
+    back = Window.partitionBy(*of).orderBy(F.desc("call"))
     goes_on = ((F.col("merge") == "extend") & (F.col("before") == "list")) | ((F.col("merge") == "update") & (F.col("before") == "object") & (F.col("kind") == "object"))
-    rows = rows.withColumn("before", before).withColumn("anew", ~F.coalesce(goes_on, F.lit(False)))
-    since = rows.groupBy(*of).agg(F.max(F.when(F.col("anew"), F.col("call"))).alias("since"))
-    rows = rows.join(since, of).where("call >= since")
+    rows = rows.withColumn("before", F.lead("kind").over(back)).withColumn("anew", ~F.coalesce(goes_on, F.lit(False)))
+    rows = rows.withColumn("since", F.max(F.when(F.col("anew"), F.col("call"))).over(back)).where("call >= coalesce(since, call)")
+    rows = materialise(rows.select(*of, "call", "value", "kind", "many"), "effects")  # three readers, and values are parsed once
     lists = rows.where("kind = 'list'").withColumn("items", F.when(F.col("many"), F.try_variant_get("value", "$", "array<variant>")).otherwise(F.array("value")))
-    items = lists.select(*of, "call", F.posexplode("items").alias("i", "item"))
-    extended = items.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("call", "i", F.to_json("item").alias("item")))).alias("x")).select(*of, F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["item"]), ","), F.lit("]")).alias("value"))
-    empty = lists.groupBy(*of).agg(F.max(F.size("items")).alias("most")).where("most = 0").select(*of, F.lit("[]").alias("value"))
-    keys = rows.where("kind = 'object'").select(*of, "call", F.explode(F.try_variant_get("value", "$", "map<string,variant>")).alias("k", "v"))
+    items = lists.select(*of, "call", F.posexplode_outer("items").alias("i", "item"))
+    extended = items.groupBy(*of).agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("call", "i", F.to_json("item").alias("item"))))).alias("x")).select(*of, F.concat(F.lit("["), F.array_join(F.transform("x", lambda x: x["item"]), ","), F.lit("]")).alias("value"))
+    keys = rows.where("kind = 'object'").select(*of, "call", F.explode_outer(F.try_variant_get("value", "$", "map<string,variant>")).alias("k", "v"))
     latest = keys.groupBy(*of, "k").agg(F.max_by(F.to_json("v"), "call").alias("v"))
-    updated = latest.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("x"))
+    updated = latest.groupBy(*of).agg(F.array_sort(F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v")))).alias("x"))
     quoted_key = lambda k: F.substring(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2)
     updated = updated.select(*of, F.concat(F.lit("{"), F.array_join(F.transform("x", lambda x: F.concat(quoted_key(x["k"]), F.lit(":"), x["v"])), ","), F.lit("}")).alias("value"))
-    nothing = rows.where("kind = 'object'").groupBy(*of).agg(F.max(F.size(F.try_variant_get("value", "$", "map<string,variant>"))).alias("most")).where("most = 0").select(*of, F.lit("{}").alias("value"))
     other = rows.where("kind = 'other'").groupBy(*of).agg(F.max_by(F.to_json("value"), "call").alias("value"))
-    return extended.unionByName(empty).unionByName(updated).unionByName(nothing).unionByName(other)
+    return extended.unionByName(updated).unionByName(other)
 
 
 def run_through(done: DataFrame, chain: tuple[str, ...], target: str) -> DataFrame:

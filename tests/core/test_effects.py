@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import string_list, tolerant_object
+from lodeline.operators import planner
 from lodeline.operators.planner import effects
 
 
@@ -43,3 +44,12 @@ def test_tolerant_objects_and_lists(spark):
     got = [(r.o, r.t) for r in rows.select("i", "o", string_list(F.try_parse_json("o"), "$.t").alias("t")).orderBy("i").collect()]
     assert [json.loads(o) if o else None for o, _ in got] == [{"a": {"b": 1}, "c": 2}, {"n": {"m": [1, {"z": "}"}]}}, {"s": 'a } { " }', "t": ["u", "v"]}, None, None, None, None, None, {"e": '"' * 5000, "t": "w"}]
     assert got[2][1] == ["u", "v"] and got[8][1] == ["w"] and got[0][1] is None
+
+
+def test_values_are_parsed_once_and_read_from_a_table(spark, monkeypatch):
+    stored, kept = [], planner.materialise
+    monkeypatch.setattr(planner, "materialise", lambda df, name: stored.append(name) or kept(df, name))
+    outputs = [(1, 1, "a", '{"x": []}'), (1, 2, "a", '{"x": []}'), (2, 1, "b", '{"x": {}}'), (3, 1, "a", '{"x": [1]}'), (3, 2, "b", '{"x": {"k": 1}}'), (3, 3, "b", '{"x": {}}'), (4, None, "a", '{"x": [1]}')]
+    got = effects(spark.createDataFrame(outputs, "run int, call int, tool string, output string"), spark.createDataFrame([("a", "x", "s", "extend"), ("b", "x", "s", "update")], "tool string, output_path string, state_path string, merge string"))
+    assert stored == ["effects"] and "parse_json" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.run, r.value) for r in got.collect()} == {(1, "[]"), (2, "{}"), (3, '{"k":1}')}
