@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from lodeline.plans.shared import discard, join_checked, materialise
 from lodeline.plans.slices import SLICE, SLICES, sliced, with_nearest, with_running_sum
+from lodeline.sources.sample import spread
 
 #: Types of a part by words of its name, first match.
 KINDS = (("metal", ("steel", "brass", "copper", "tin", "nickel")), ("sized", ("large", "small", "medium", "economy")))
@@ -17,6 +18,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Lines of parts that a task puts in order at once.
+LINES = 1 << 20
 #: Bytes of a frontier that is broadcast; there is one a hop, and all pass the driver.
 FRONTIER_BYTES = 2 << 20
 
@@ -68,7 +71,8 @@ def sessions(events: DataFrame, minutes: int = 30, slices: int = SLICES) -> Data
 def supplier_edges(spark, sf_dir):
     """supplier -> supplier: they follow each other in the lines of a part."""
     w = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey")
-    return read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst")).where("dst is not null and l_suppkey is not null".replace("l_suppkey", "src"))
+    lines = spread(read(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), LINES, "l_partkey")
+    return lines.select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst")).where("dst is not null and l_suppkey is not null".replace("l_suppkey", "src"))
 
 
 def q_unguarded_writes(spark, sf_dir):

@@ -280,10 +280,10 @@ def sources(spark: SparkSession, rows=SOURCES) -> DataFrame:
 SUPPLIERS = 1000
 
 
-def spread(rows: DataFrame, each: int) -> DataFrame:
-    """``rows`` dealt over the cores, and over more tasks once a task would have more than ``each``: a small table is one file, and one task."""
+def spread(rows: DataFrame, each: int, *keys: str) -> DataFrame:
+    """``rows`` dealt over the cores, by ``keys`` if any, and over more tasks once a task would have more than ``each``: a small table is one file, and one task."""
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // each)))
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // each)), *keys)
 
 
 def repositories(spark: SparkSession, sf_dir: str, rows=SOURCES) -> DataFrame:

@@ -35,3 +35,12 @@ def test_pairs_and_hops_equal_walks_and_only_words_are_stored(spark, monkeypatch
     found = relate.reachable(spark.createDataFrame(edges, f"src {kind}, dst {kind}"), spark.createDataFrame([(name(s),) for s in starts], f"node {kind}"), 3).collect()
     assert len(found) == len(wanted) and {(r.start, r.node, r.hop) for r in found} == wanted
     assert 0 < sum(stored) < len(wanted) / 4
+
+
+def test_lines_of_parts_are_ordered_in_tasks_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    lines = spark.range(4000).selectExpr("id as l_orderkey", "id % 900 as l_partkey", "cast(1 as int) as l_linenumber", "id % 37 as l_suppkey")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(relate, "LINES", 100, raising=False)
+    edges = relate.supplier_edges(spark, str(tmp_path))
+    assert edges.rdd.getNumPartitions() == 40 and max(edges.rdd.glom().map(len).collect()) < 400
+    assert edges.count() == 4000 - 900
