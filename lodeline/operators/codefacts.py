@@ -1,7 +1,7 @@
 """Typed facts of contract code: declarations, storage, calls, asset flows, guards and boundaries.
 
-One pass places every line in its function and contract; each fact table is a projection of that frame, or of the
-functions' bodies. A contract's state variables are gathered per contract and joined to its lines.
+One pass places every line in its function and contract, with the state variables it mentions; each fact table is a
+projection of that frame, or of the functions' bodies.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from lodeline.sources import sample
 
 FILE = ["repo", "file_path"]
 PLACE = [*FILE, "line_no", "contract_name", "function_name"]
+#: The place of a fact and its line, so that no reader has to join lines again.
+TOLD = [*PLACE, "code"]
 SCOPE = [*FILE, "contract_name"]
 
 #: Patterns, in the order declaration, assignment, calls, aliases and members.
@@ -72,27 +74,44 @@ def contract_ranges(lines: DataFrame) -> DataFrame:
 
 
 def located(sources: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """repo, file_path, line_no, code, contract_name, function_name, start_line, at_contract of every line; ``ranges`` are those of functions, if known."""
-    lines = L.to_lines(sources).withColumn("code", statement(F.col("raw")))
-    ranges = (L.function_ranges(sources) if ranges is None else ranges).select(*FILE, F.col("contract_name").alias("fn_contract"), "function_name", "start_line", "end_line")
-    rows = contract_ranges(L.containing(lines, ranges, FILE))
+    """repo, file_path, line_no, code, contract_name, function_name, start_line, at_contract, vars of every line; ``ranges`` are those of functions, if known.
+
+    Functions do not overlap, so a line's is the last that began, if it has not ended. Their ranges are rows among the lines, and
+    all windows are of files: lines are shuffled once.
+    """
+    ranges = L.function_ranges(sources) if ranges is None else ranges
+    begun = ranges.select(*FILE, F.col("start_line").alias("line_no"), F.lit(None).cast("string").alias("code"), F.struct(F.col("contract_name").alias("contract"), F.col("function_name").alias("name"), "start_line", "end_line").alias("_r"))
+    lines = L.to_lines(sources).select(*FILE, "line_no", statement(F.col("raw")).alias("code"))
+    so_far = Window.partitionBy(*FILE).orderBy("line_no", F.col("code").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = lines.unionByName(begun, allowMissingColumns=True).withColumn("_r", F.last("_r", ignorenulls=True).over(so_far)).where("code is not null")
+    held = held.withColumn("_r", F.when(F.col("line_no") <= F.col("_r.end_line"), F.col("_r")))
+    rows = contract_ranges(held)
     first = F.first("at_contract", ignorenulls=True).over(Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    inside = F.col("function_name").isNotNull()
-    return rows.select(*FILE, "line_no", "code", F.when(inside, F.col("fn_contract")).otherwise(F.coalesce("at_contract", first)).alias("contract_name"), "function_name", "start_line", "at_contract")
+    inside = F.col("_r").isNotNull()
+    return with_state(rows.select(*FILE, "line_no", "code", F.when(inside, F.col("_r.contract")).otherwise(F.coalesce("at_contract", first)).alias("contract_name"), F.col("_r.name").alias("function_name"), "_r.start_line", "at_contract"))
+
+
+def _declares() -> Column:
+    """Whether a line declares a state variable."""
+    code = F.col("code")
+    return F.col("function_name").isNull() & F.col("at_contract").isNotNull() & (code.startswith("mapping") | ~code.rlike(NOT_STATE)) & code.rlike(STATE_VARIABLE)
 
 
 def state_variables(rows: DataFrame) -> DataFrame:
     """repo, file_path, contract_name, name, type_name, visibility, line_no: declarations outside functions."""
     code = F.col("code")
-    declared = rows.where(F.col("function_name").isNull() & F.col("at_contract").isNotNull() & (code.startswith("mapping") | ~code.rlike(NOT_STATE)) & code.rlike(STATE_VARIABLE))
-    return declared.select(*FILE, "contract_name", F.regexp_extract(code, STATE_VARIABLE, 2).alias("name"), F.split(code, r"\s+")[0].alias("type_name"), F.nullif(F.regexp_extract(code, STATE_VARIABLE, 1), F.lit("")).alias("visibility"), "line_no")
+    return rows.where(_declares()).select(*FILE, "contract_name", F.regexp_extract(code, STATE_VARIABLE, 2).alias("name"), F.split(code, r"\s+")[0].alias("type_name"), F.nullif(F.regexp_extract(code, STATE_VARIABLE, 1), F.lit("")).alias("visibility"), "line_no")
 
 
-def with_state(rows: DataFrame, variables: DataFrame) -> DataFrame:
-    """``rows`` with ``vars``: name and type of the state variables of their contract (the last declaration of a name)."""
-    last = variables.groupBy(*SCOPE, "name").agg(F.max_by("type_name", "line_no").alias("type_name"))
-    known = last.groupBy(*SCOPE).agg(F.collect_list(F.struct("name", "type_name")).alias("vars"))
-    return rows.join(known, SCOPE, "left").withColumn("vars", F.coalesce("vars", F.array().cast("array<struct<name:string,type_name:string>>")))
+def with_state(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``vars``: name and type of the state variables of their contract (the last declaration of a name) that they mention."""
+    code = F.col("code")
+    declared = F.when(_declares(), F.struct(F.col("line_no").alias("at"), F.regexp_extract(code, STATE_VARIABLE, 2).alias("name"), F.split(code, r"\s+")[0].alias("type_name")))
+    known = rows.withColumn("_declared", declared).withColumn("_vars", F.collect_list("_declared").over(Window.partitionBy(*SCOPE)))
+    words = known.withColumn("_words", F.when(F.size("_vars") > 0, F.regexp_extract_all(code, F.lit(WORD), F.lit(0))))
+    last = lambda v: ~F.exists("_vars", lambda o: (o["name"] == v["name"]) & (o["at"] > v["at"]))
+    mentioned = F.transform(F.filter("_vars", lambda v: F.array_contains("_words", v["name"]) & last(v)), lambda v: F.struct(v["name"].alias("name"), v["type_name"].alias("type_name")))
+    return words.withColumn("vars", mentioned).drop("_declared", "_vars", "_words")
 
 
 def _names(variables: Column) -> Column:
@@ -122,11 +141,11 @@ def visibility(signature: Column) -> Column:
     return F.coalesce(*(F.when(signature.rlike(rf"\b{v}\b"), F.lit(v)) for v in VISIBILITIES))
 
 
-def functions(ranges: DataFrame, rows: DataFrame, variables: DataFrame) -> DataFrame:
+def functions(ranges: DataFrame, rows: DataFrame) -> DataFrame:
     """A row a function: visibility, payable, modifiers, parameters, aliases, reads, writes and calls of its body."""
     key = [*FILE, "contract_name", "function_name", "start_line"]
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n")
-    bodies = with_state(rows.where("function_name is not null").groupBy(*key).agg(body.alias("body")), variables)
+    bodies = rows.where("function_name is not null").groupBy(*key).agg(body.alias("body"), F.array_distinct(F.flatten(F.collect_list("vars"))).alias("vars"))
     signatures = ranges.select(*key, "end_line", "signature")
     found = signatures.join(bodies, key)
     body, names, signature = F.col("body"), _names(F.col("vars")), F.col("signature")
@@ -152,26 +171,26 @@ def functions(ranges: DataFrame, rows: DataFrame, variables: DataFrame) -> DataF
     )
 
 
-def storage_accesses(rows: DataFrame, variables: DataFrame, fns: DataFrame) -> DataFrame:
-    """PLACE, variable_name, access: state variables that a line mentions, by name or through a storage alias."""
-    named = with_state(rows.where("code != ''"), variables)
-    known = named.join(fns.select(*SCOPE, "function_name", "start_line", "aliases"), [*SCOPE, "function_name", "start_line"], "left")
-    code, aliases = F.col("code"), F.coalesce("aliases", F.array().cast("array<struct<g1:string,g2:string>>"))
-    assigned = written(code)
-    own = F.transform(F.array_intersect(_names(F.col("vars")), F.regexp_extract_all(code, F.lit(WORD), F.lit(0))), lambda x: F.struct(x.alias("variable_name"), F.when(F.array_contains(assigned, x), "write").otherwise("read").alias("access")))
-    writes = _members(aliases, all_groups(code, MEMBER_ASSIGNED, 1, 2))
+def storage_accesses(rows: DataFrame, fns: DataFrame) -> DataFrame:
+    """TOLD, variable_name, access: state variables that a line mentions, by name or through a storage alias."""
+    code, aliases = F.col("code"), F.col("aliases")
+    assigned, writes = written(code), _members(aliases, all_groups(code, MEMBER_ASSIGNED, 1, 2))
+    own = F.transform(_names(F.col("vars")), lambda x: F.struct(x.alias("variable_name"), F.when(F.array_contains(assigned, x), "write").otherwise("read").alias("access")))
     members = F.transform(_members(aliases, all_groups(code, MEMBER, 1, 2)), lambda x: F.struct(x.alias("variable_name"), F.when(F.array_contains(writes, x), "write").otherwise("read").alias("access")))
-    return known.select(*PLACE, F.explode(F.concat(own, members)).alias("x")).select(*PLACE, "x.*")
+    known = fns.where(F.size("aliases") > 0).select(*SCOPE, "function_name", "start_line", "aliases")
+    named = rows.where(F.size("vars") > 0).select(*TOLD, F.explode(own).alias("x"))
+    through = rows.where(code.contains(".")).join(known, [*SCOPE, "function_name", "start_line"]).select(*TOLD, F.explode(members).alias("x"))
+    return named.unionByName(through).select(*TOLD, "x.*")
 
 
-def call_edges(rows: DataFrame, variables: DataFrame) -> DataFrame:
-    """PLACE, receiver, to_contract, to_function, call_kind: calls of members, the receiver typed by its declaration."""
-    calls = with_state(rows, variables).select(*PLACE, "vars", F.explode(all_groups(F.col("code"), MEMBER_CALL, 1, 2)).alias("m"))
-    calls = calls.select(*PLACE, F.col("m.g1").alias("receiver"), F.col("m.g2").alias("to_function"), _type_of(F.col("vars"), F.col("m.g1")).alias("kind"))
+def call_edges(rows: DataFrame) -> DataFrame:
+    """TOLD, receiver, to_contract, to_function, call_kind: calls of members, the receiver typed by its declaration."""
+    calls = rows.select(*TOLD, "vars", F.explode(all_groups(F.col("code"), MEMBER_CALL, 1, 2)).alias("m"))
+    calls = calls.select(*TOLD, F.col("m.g1").alias("receiver"), F.col("m.g2").alias("to_function"), _type_of(F.col("vars"), F.col("m.g1")).alias("kind"))
     plain = F.lower("kind").isin(*PLAIN_TYPES) | F.col("kind").endswith("[]")
     kept = calls.where(~F.col("to_function").isin("push", "pop") & ~F.coalesce(plain, F.lit(False)))
     kind = F.when(F.col("to_function") == "delegatecall", "delegatecall").when(F.col("to_function").isin("call", "send"), "low_level").otherwise("external")
-    return kept.select(*PLACE, "receiver", F.coalesce("kind", "receiver").alias("to_contract"), "to_function", kind.alias("call_kind"))
+    return kept.select(*TOLD, "receiver", F.coalesce("kind", "receiver").alias("to_contract"), "to_function", kind.alias("call_kind"))
 
 
 def token_types(sources: DataFrame) -> DataFrame:
@@ -240,46 +259,46 @@ def unchecked_returns(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def asset_flows(rows: DataFrame, tokens: DataFrame) -> DataFrame:
-    """PLACE, asset, asset_kind, from_expr, to_expr, amount_expr, expression of every call of an asset method."""
-    calls = rows.select(*PLACE, "code", F.explode(all_groups(F.col("code"), MEMBER_CALL, 1, 2)).alias("m")).where(F.col("m.g2").isin(*ASSET_METHODS))
-    calls = calls.select(*PLACE, "code", F.col("m.g1").alias("asset"), F.col("m.g2").alias("method")).join(tokens.withColumnRenamed("symbol", "asset"), ["repo", "asset"], "left")
+    """TOLD, asset, asset_kind, from_expr, to_expr, amount_expr, expression of every call of an asset method."""
+    calls = rows.select(*TOLD, F.explode(all_groups(F.col("code"), MEMBER_CALL, 1, 2)).alias("m")).where(F.col("m.g2").isin(*ASSET_METHODS))
+    calls = calls.select(*TOLD, F.col("m.g1").alias("asset"), F.col("m.g2").alias("method")).join(tokens.withColumnRenamed("symbol", "asset"), ["repo", "asset"], "left")
     pattern = r"concat('\\.', method, '\\s*\\((.*)\\)')"
     arguments = F.when(F.expr(f"code rlike {pattern}"), F.transform(F.split(F.expr(f"regexp_extract(code, {pattern}, 1)"), ","), lambda x: F.trim(x)))
     calls = calls.withColumn("a", arguments)
     pulled = F.col("method").isin(*PULL_METHODS)
     arg = lambda i: F.get("a", F.lit(i))
     native = F.when((F.col("method") == "transfer") & F.col("asset").isin("payable", "to"), "native").otherwise("unknown")
-    return calls.select(*PLACE, "asset", F.coalesce("token_kind", native).alias("asset_kind"), F.when(pulled, arg(0)).alias("from_expr"), F.when(pulled & (F.size("a") > 1), arg(1)).otherwise(arg(0)).alias("to_expr"), F.coalesce(arg(2), arg(1)).alias("amount_expr"), F.col("code").alias("expression"))
+    return calls.select(*TOLD, "asset", F.coalesce("token_kind", native).alias("asset_kind"), F.when(pulled, arg(0)).alias("from_expr"), F.when(pulled & (F.size("a") > 1), arg(1)).otherwise(arg(0)).alias("to_expr"), F.coalesce(arg(2), arg(1)).alias("amount_expr"), F.col("code").alias("expression"))
 
 
 def auth_constraints(rows: DataFrame) -> DataFrame:
-    """PLACE, role: lines that name an authority."""
+    """TOLD, role: lines that name an authority."""
     low = F.lower("code")
-    return rows.where(has_any(low, AUTH_TERMS)).select(*PLACE, F.when(low.contains("owner"), "owner").when(low.contains("role"), "role").alias("role"))
+    return rows.where(has_any(low, AUTH_TERMS)).select(*TOLD, F.when(low.contains("owner"), "owner").when(low.contains("role"), "role").alias("role"))
 
 
-def lifecycle_transitions(rows: DataFrame, variables: DataFrame) -> DataFrame:
-    """PLACE, variables: lines in the context of a lifecycle term that assign a state variable or an activity flag."""
+def lifecycle_transitions(rows: DataFrame) -> DataFrame:
+    """TOLD, variables: lines in the context of a lifecycle term that assign a state variable or an activity flag."""
     code = F.col("code")
     flags = F.regexp_extract_all(code, F.lit(r"\b([A-Za-z_]\w*)\s*\.\s*(isActive|active|deadline\w*)\s*="), F.lit(2))
     own = F.filter(F.regexp_extract_all(code, F.lit(ASSIGNED), F.lit(1)), lambda x: F.array_contains(_names(F.col("vars")), x))
-    found = with_state(rows.where(code != ""), variables).where(has_any(F.lower(F.concat_ws(" ", F.coalesce("function_name", F.lit("")), code)), LIFECYCLE_TERMS))
-    return found.withColumn("variables", F.concat(own, flags)).where(F.size("variables") > 0).select(*PLACE, "variables")
+    found = rows.where(code != "").where(has_any(F.lower(F.concat_ws(" ", F.coalesce("function_name", F.lit("")), code)), LIFECYCLE_TERMS))
+    return found.withColumn("variables", F.concat(own, flags)).where(F.size("variables") > 0).select(*TOLD, "variables")
 
 
 def trust_boundaries(rows: DataFrame) -> DataFrame:
-    """PLACE, boundary_kind: up to three kinds a line."""
+    """TOLD, boundary_kind: up to three kinds a line."""
     low = F.lower("code")
     kinds = F.array(
         F.when(low.contains(".delegatecall"), "delegatecall").when(low.contains(".call"), "external_call"),
         F.when(has_any(low, ("transfer", "mint", "burn")), "asset_transfer"),
         F.when(has_any(low, PRICE_TERMS), "oracle_read"),
     )
-    return rows.select(*PLACE, F.explode(F.array_compact(kinds)).alias("boundary_kind"))
+    return rows.select(*TOLD, F.explode(F.array_compact(kinds)).alias("boundary_kind"))
 
 
 class Facts:
-    """The fact tables of sources, each worked out when first asked for; ranges, lines, variables and functions are written down."""
+    """The fact tables of sources, each worked out when first asked for; ranges, lines and functions are written down."""
 
     def __init__(self, sources: DataFrame):
         self.given, self.sources = sources, L.target_sources(sources)
@@ -294,11 +313,11 @@ class Facts:
 
     @cached_property
     def variables(self) -> DataFrame:
-        return materialise(state_variables(self.rows), "state-variables")
+        return state_variables(self.rows)
 
     @cached_property
     def functions(self) -> DataFrame:
-        return materialise(functions(self.ranges, self.rows, self.variables), "functions")
+        return materialise(functions(self.ranges, self.rows), "functions")
 
     @cached_property
     def tokens(self) -> DataFrame:
@@ -306,11 +325,11 @@ class Facts:
 
     @cached_property
     def storage(self) -> DataFrame:
-        return storage_accesses(self.rows, self.variables, self.functions)
+        return storage_accesses(self.rows, self.functions)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return call_edges(self.rows, self.variables)
+        return call_edges(self.rows)
 
     @cached_property
     def flows(self) -> DataFrame:
@@ -322,7 +341,7 @@ class Facts:
 
     @cached_property
     def lifecycle(self) -> DataFrame:
-        return lifecycle_transitions(self.rows, self.variables)
+        return lifecycle_transitions(self.rows)
 
     @cached_property
     def boundaries(self) -> DataFrame:
@@ -347,11 +366,11 @@ def q_function_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_storage_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).storage
+    return facts(spark, sf_dir).storage.drop("code")
 
 
 def q_call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).edges
+    return facts(spark, sf_dir).edges.drop("code")
 
 
 def q_token_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,19 +388,19 @@ def q_unchecked_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_asset_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).flows
+    return facts(spark, sf_dir).flows.drop("code")
 
 
 def q_auth_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).auth
+    return facts(spark, sf_dir).auth.drop("code")
 
 
 def q_lifecycle_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _text(facts(spark, sf_dir).lifecycle, "variables")
+    return _text(facts(spark, sf_dir).lifecycle.drop("code"), "variables")
 
 
 def q_trust_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts(spark, sf_dir).boundaries
+    return facts(spark, sf_dir).boundaries.drop("code")
 
 
 QUERIES = {

@@ -66,10 +66,8 @@ def slices(own: C.Facts, fns: DataFrame, hops: int = HOPS) -> tuple[DataFrame, D
 
 def slice_facts(own: C.Facts, fns: DataFrame, reach: DataFrame, steps: DataFrame) -> DataFrame:
     """repo, entry, kind, detail, file_path, line_no, text: every fact of every function of a slice."""
-    code = own.rows.select("repo", "file_path", "line_no", "code")
-
     def of(df: DataFrame, kind, detail: str) -> DataFrame:
-        return df.where("function_name is not null").select("repo", _node().alias("node"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), F.col(detail).cast("string").alias("detail"), "file_path", "line_no")
+        return df.where("function_name is not null").select("repo", _node().alias("node"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), F.col(detail).cast("string").alias("detail"), "file_path", "line_no", F.col("code").alias("text"))
 
     places = fns.select("repo", "node", "file_path", "start_line")
     inner = steps.join(places.withColumnRenamed("node", "src"), ["repo", "src"]).where(F.split_part("src", F.lit("."), F.lit(1)) == F.split_part("dst", F.lit("."), F.lit(1)))
@@ -80,8 +78,6 @@ def slice_facts(own: C.Facts, fns: DataFrame, reach: DataFrame, steps: DataFrame
         .unionByName(of(own.auth, "auth", "role"))
         .unionByName(of(own.lifecycle.withColumn("v", F.array_join("variables", ",")), "lifecycle", "v"))
         .unionByName(of(own.boundaries, "boundary", "boundary_kind"))
-        .join(code, ["repo", "file_path", "line_no"])
-        .withColumnRenamed("code", "text")
         .unionByName(inner.select("repo", F.col("src").alias("node"), F.lit("edge").alias("kind"), F.split_part("dst", F.lit("."), F.lit(2)).alias("detail"), "file_path", F.col("start_line").alias("line_no"), F.concat("src", F.lit(" -> "), "dst").alias("text")))
     )
     return reach.join(facts, NODE).select("repo", "entry", "kind", "detail", "file_path", "line_no", "text")

@@ -45,6 +45,12 @@ def _empty(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
+def _said(code: Column) -> dict[str, Column]:
+    """What the fold asks of a line, worked out once for each."""
+    named = (F.nullif(F.regexp_extract(code, pattern, 1), F.lit("")) for pattern in (DECLARED_FUNCTION, DECLARED_SPECIAL))
+    return {"delta": brace_delta(code).cast("int"), "contract": F.nullif(F.regexp_extract(code, DECLARED_CONTRACT, 1), F.lit("")), "named": F.coalesce(*named), "brace": code.contains("{"), "semicolon": code.contains(";")}
+
+
 def function_ranges(sources: DataFrame) -> DataFrame:
     """contract_name, function_name, start_line, end_line, signature of each function of (keys..., text).
 
@@ -52,19 +58,17 @@ def function_ranges(sources: DataFrame) -> DataFrame:
     its own do. Declarations without a body have no range. Multi-line signatures are joined.
     """
     keys = [c for c in sources.columns if c != "text"]
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n"), lambda raw, i: F.struct((i + 1).cast("int").alias("no"), raw.alias("raw"), strip_comment(raw).alias("code")))
+    coded = F.transform(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n"), lambda raw, i: F.struct((i + 1).cast("int").alias("no"), F.trim(raw).alias("raw"), strip_comment(raw).alias("code")))
+    lines = F.transform(coded, lambda x: F.struct(x["no"].alias("no"), x["raw"].alias("raw"), *(c.alias(name) for name, c in _said(x["code"]).items())))
     start = F.struct(
         _empty("string").alias("contract"), F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit("").alias("name"), F.lit(0).alias("start"),
         F.array().cast("array<string>").alias("signature"), F.lit(0).alias("braces"), F.array().cast("array<struct<contract_name:string,function_name:string,start_line:int,end_line:int,signature:string>>").alias("found"),
     ).cast(_STATE)
 
     def step(s: Column, x: Column) -> Column:
-        code, raw, delta = x["code"], F.trim(x["raw"]), brace_delta(x["code"]).cast("int")
-        contract = F.nullif(F.regexp_extract(code, DECLARED_CONTRACT, 1), F.lit(""))
-        named = F.coalesce(F.nullif(F.regexp_extract(code, DECLARED_FUNCTION, 1), F.lit("")), F.nullif(F.regexp_extract(code, DECLARED_SPECIAL, 1), F.lit("")))
+        raw, delta, contract, named, brace, semicolon = (x[c] for c in ("raw", "delta", "contract", "named", "brace", "semicolon"))
         depth = F.when(s["contract"].isNotNull(), s["depth"] + delta).otherwise(s["depth"])
         left = s["contract"].isNotNull() & (depth <= 0)
-        brace, semicolon = code.contains("{"), code.contains(";")
         signature = F.when(s["open"], F.concat(s["signature"], F.array(raw))).otherwise(F.array(raw))
         braces = F.when(s["open"], s["braces"] + delta).otherwise(delta)
         body = F.array_join(signature, " ").contains("{")
