@@ -65,19 +65,19 @@ def contract_ranges(lines: DataFrame) -> DataFrame:
     delta = L.brace_delta(F.col("code"))
     named = F.regexp_extract("code", L.DECLARED_CONTRACT, 1)
     found = lines.withColumn("_after", F.sum(delta).over(of_file)).withColumn("_before", F.col("_after") - delta)
-    found = found.withColumn("_begins", (named != "") & (F.col("_before") == 0)).withColumn("_nth", F.sum(F.col("_begins").cast("int")).over(of_file))
-    of_decl = Window.partitionBy(*FILE, "_nth").orderBy("line_no")
-    opened = F.coalesce(F.max(F.col("code").contains("{")).over(of_decl.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    owner = F.first(F.when(F.col("_begins"), named), ignorenulls=True).over(of_decl)
-    inside = (F.col("_nth") > 0) & (~opened | (F.col("_before") > 0))
-    return found.withColumn("at_contract", F.when(inside, owner)).drop("_after", "_before", "_begins", "_nth")
+    found = found.withColumn("_begins", (named != "") & (F.col("_before") == 0))
+    last = lambda condition, what, over: F.last(F.when(condition, what), ignorenulls=True).over(over)
+    begun, owner = last(F.col("_begins"), F.col("line_no"), of_file), last(F.col("_begins"), named, of_file)
+    opened = last(F.col("code").contains("{"), F.col("line_no"), of_file.rowsBetween(Window.unboundedPreceding, -1)) >= begun
+    inside = begun.isNotNull() & (~F.coalesce(opened, F.lit(False)) | (F.col("_before") > 0))
+    return found.withColumn("at_contract", F.when(inside, owner)).drop("_after", "_before", "_begins")
 
 
 def located(sources: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
     """repo, file_path, line_no, code, contract_name, function_name, start_line, at_contract, vars of every line; ``ranges`` are those of functions, if known.
 
     Functions do not overlap, so a line's is the last that began, if it has not ended. Their ranges are rows among the lines, and
-    all windows are of files: lines are shuffled once.
+    all windows are of files: lines are shuffled and sorted once.
     """
     ranges = L.function_ranges(sources) if ranges is None else ranges
     begun = ranges.select(*FILE, F.col("start_line").alias("line_no"), F.lit(None).cast("string").alias("code"), F.struct(F.col("contract_name").alias("contract"), F.col("function_name").alias("name"), "start_line", "end_line").alias("_r"))
@@ -106,8 +106,9 @@ def state_variables(rows: DataFrame) -> DataFrame:
 def with_state(rows: DataFrame) -> DataFrame:
     """``rows`` with ``vars``: name and type of the state variables of their contract (the last declaration of a name) that they mention."""
     code = F.col("code")
-    declared = F.when(_declares(), F.struct(F.col("line_no").alias("at"), F.regexp_extract(code, STATE_VARIABLE, 2).alias("name"), F.split(code, r"\s+")[0].alias("type_name")))
-    known = rows.withColumn("_declared", declared).withColumn("_vars", F.collect_list("_declared").over(Window.partitionBy(*SCOPE)))
+    declared = F.when(_declares(), F.struct(F.col("contract_name").alias("of"), F.col("line_no").alias("at"), F.regexp_extract(code, STATE_VARIABLE, 2).alias("name"), F.split(code, r"\s+")[0].alias("type_name")))
+    of_file = F.collect_list("_declared").over(Window.partitionBy(*FILE))  # by file, as a window by contract would sort the lines again
+    known = rows.withColumn("_declared", declared).withColumn("_vars", of_file).withColumn("_vars", F.filter("_vars", lambda v: v["of"] == F.col("contract_name")))
     words = known.withColumn("_words", F.when(F.size("_vars") > 0, F.regexp_extract_all(code, F.lit(WORD), F.lit(0))))
     last = lambda v: ~F.exists("_vars", lambda o: (o["name"] == v["name"]) & (o["at"] > v["at"]))
     mentioned = F.transform(F.filter("_vars", lambda v: F.array_contains("_words", v["name"]) & last(v)), lambda v: F.struct(v["name"].alias("name"), v["type_name"].alias("type_name")))

@@ -33,6 +33,11 @@ def test_lines_are_shuffled_once(spark):
     assert not any("Exchange" in _plan(facts(stored)) for facts in (C.call_edges, C.lifecycle_transitions, C.trust_boundaries))
 
 
+def test_lines_are_sorted_once(spark):
+    src = sample.sources(spark, sample.LINKED_SOURCES)
+    assert _plan(C.located(src, L.function_ranges(src))).count("Sort [") == 1
+
+
 def test_lines_lie_in_their_function_and_know_the_variables_they_mention(spark):
     src = spark.createDataFrame([("r", "src/A.sol", ODD), ("r", "src/N.sol", None)], "repo string, file_path string, text string")
     got = {r.line_no: (r.contract_name, r.function_name, sorted((v.name, v.type_name) for v in r.vars)) for r in C.located(src).collect()}
