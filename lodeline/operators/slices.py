@@ -231,7 +231,7 @@ def lessons(fns: DataFrame) -> DataFrame:
     """repo, lesson, n_terms: lessons of which the repository's words name two terms or more."""
     words = fns.select("repo", F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "contract_name", "function_name", "signature")), F.lit(r"[a-z_][a-z0-9_]{2,}"), F.lit(0))).alias("term"))
     wanted = fns.sparkSession.createDataFrame([(t, text) for terms, text in LESSONS for t in terms], "term string, lesson string")
-    return words.join(wanted, "term").groupBy("repo", "lesson").agg(F.countDistinct("term").alias("n_terms")).where("n_terms >= 2")
+    return words.join(F.broadcast(wanted), "term").groupBy("repo", "lesson").agg(F.countDistinct("term").alias("n_terms")).where("n_terms >= 2")
 
 
 def _graph(spark: SparkSession, sf_dir: str, own: C.Facts | None = None):
