@@ -16,10 +16,14 @@ def read_sources(spark: SparkSession, path: str, suffix: str = ".sol") -> DataFr
     return files.where(~F.col("file_path").rlike("/(out|cache)/"))
 
 
+def split_lines(text: str | Column = "text") -> Column:
+    return F.split(text, "\r\n|\r|\n")
+
+
 def to_lines(df: DataFrame, text: str = "text") -> DataFrame:
     """All columns but the text, with line_no (from 1) and raw; \\n, \\r\\n and \\r end lines. Null texts have none."""
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(F.split(text, "\r\n|\r|\n")).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
+    return df.select(*keep, F.posexplode(split_lines(text)).alias("line_no", "raw")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def strip_comment(line: Column) -> Column:
@@ -51,14 +55,13 @@ def _said(code: Column) -> dict[str, Column]:
     return {"delta": brace_delta(code).cast("int"), "contract": F.nullif(F.regexp_extract(code, DECLARED_CONTRACT, 1), F.lit("")), "named": F.coalesce(*named), "brace": code.contains("{"), "semicolon": code.contains(";")}
 
 
-def function_ranges(sources: DataFrame) -> DataFrame:
-    """contract_name, function_name, start_line, end_line, signature of each function of (keys..., text).
+def _found() -> Column:
+    """An array of contract_name, function_name, start_line, end_line, signature of the functions of a text, in order.
 
     One fold over a file's lines: a contract is open until its braces balance, a function from its declaration until
     its own do. Declarations without a body have no range. Multi-line signatures are joined.
     """
-    keys = [c for c in sources.columns if c != "text"]
-    coded = F.transform(F.split(F.coalesce("text", F.lit("")), "\r\n|\r|\n"), lambda raw, i: F.struct((i + 1).cast("int").alias("no"), F.trim(raw).alias("raw"), strip_comment(raw).alias("code")))
+    coded = F.transform(split_lines(F.coalesce("text", F.lit(""))), lambda raw, i: F.struct((i + 1).cast("int").alias("no"), F.trim(raw).alias("raw"), strip_comment(raw).alias("code")))
     lines = F.transform(coded, lambda x: F.struct(x["no"].alias("no"), x["raw"].alias("raw"), *(c.alias(name) for name, c in _said(x["code"]).items())))
     start = F.struct(
         _empty("string").alias("contract"), F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit("").alias("name"), F.lit(0).alias("start"),
@@ -90,7 +93,38 @@ def function_ranges(sources: DataFrame) -> DataFrame:
             F.when(ends, F.concat(s["found"], F.array(one))).otherwise(s["found"]).alias("found"),
         ).cast(_STATE)
 
-    return sources.select(*keys, F.explode(F.aggregate(lines, start, step)["found"]).alias("x")).select(*keys, "x.*")
+    return F.aggregate(lines, start, step)["found"]
+
+
+def function_ranges(sources: DataFrame) -> DataFrame:
+    """contract_name, function_name, start_line, end_line, signature of each function of (keys..., text)."""
+    keys = [c for c in sources.columns if c != "text"]
+    return sources.select(*keys, F.explode(_found()).alias("x")).select(*keys, "x.*")
+
+
+def bodies(sources: DataFrame) -> DataFrame:
+    """``function_ranges`` with each function's lines as an array, ``body``. They are cut from their own text, so nothing is joined."""
+    keys = [c for c in sources.columns if c != "text"]
+    found = sources.select(*keys, split_lines().alias("_lines"), F.explode(_found()).alias("x"))
+    return found.select(*keys, "x.*", F.slice("_lines", F.col("x.start_line"), F.col("x.end_line") - F.col("x.start_line") + 1).alias("body"))
+
+
+def held_lines(sources: DataFrame) -> DataFrame:
+    """``to_lines`` with the function that holds each line, if one does: contract_name, function_name, start_line, end_line, signature.
+
+    Functions of a text are in order and do not overlap, so with the gaps between them they are pieces of it, and a piece's
+    lines are cut from the same row: nothing is joined.
+    """
+    keys = [c for c in sources.columns if c != "text"]
+    inner = ["contract_name", "function_name", "start_line", "end_line", "signature"]
+    texts = sources.where("text is not null").select(*keys, split_lines().alias("_lines"), _found().alias("_found"))
+    piece = lambda first, last, r: F.struct(first.alias("first"), F.slice("_lines", first, last - first + 1).alias("lines"), r.alias("r"))
+    begins, ends = F.concat("_found.start_line", F.array(F.size("_lines") + 1)), F.concat(F.array(F.lit(0)), F.col("_found.end_line"))
+    none = F.struct(*(F.lit(None).cast("int" if c.endswith("_line") else "string").alias(c) for c in inner))
+    gaps = F.zip_with(ends, begins, lambda end, begin: piece(end + 1, begin - 1, none))
+    inside = F.transform("_found", lambda r: piece(r["start_line"], r["end_line"], F.struct(*(r[c].alias(c) for c in inner))))
+    pieces = texts.select(*keys, F.explode(F.concat(inside, gaps)).alias("x"))
+    return pieces.select(*keys, "x.first", "x.r", F.posexplode("x.lines").alias("nth", "raw")).select(*keys, (F.col("first") + F.col("nth")).alias("line_no"), "raw", "r.*")
 
 
 def target_sources(sources: DataFrame) -> DataFrame:
@@ -105,15 +139,16 @@ BIN = 64
 def containing(lines: DataFrame, ranges: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:
     """Lines with the first range that holds them (left outer).
 
-    An equi join on the file and a bin of BIN lines, then the interval: a line meets the ranges of its bin only.
+    An equi join on the file and a bin of BIN lines, then the interval: a line meets the ranges of its bin only. The joins shuffle:
+    ranges compress so well that one small in a shuffle would fill the driver as a broadcast.
     """
     inner = [c for c in ranges.columns if c not in keys]
     bin_of = lambda c: F.floor(F.col(c) / BIN)
     spread = ranges.select(*keys, F.struct("start_line", "end_line", *(c for c in inner if c not in ("start_line", "end_line"))).alias("_r"), F.explode(F.sequence(bin_of("start_line"), bin_of("end_line"))).alias("_bin"))
     places = lines.select(*keys, line).distinct().withColumn("_bin", bin_of(line))
-    met = places.join(spread, [*keys, "_bin"]).where(F.col(line).between(F.col("_r.start_line"), F.col("_r.end_line")))
+    met = places.join(spread.hint("merge"), [*keys, "_bin"]).where(F.col(line).between(F.col("_r.start_line"), F.col("_r.end_line")))
     held = met.groupBy(*keys, line).agg(F.min("_r").alias("_r")).select(*keys, line, *(F.col("_r")[c].alias(c) for c in inner))
-    return lines.join(held, [*keys, line], "left")
+    return lines.join(held.hint("merge"), [*keys, line], "left")
 
 
 def nesting_ranges(lines: DataFrame, keys: list[str]) -> DataFrame:
