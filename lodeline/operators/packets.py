@@ -18,11 +18,16 @@ PHASES = ("initialize", "pause", "deposit", "withdraw", "claim", "mint", "burn")
 
 
 def callers(sources: DataFrame) -> DataFrame:
-    """(caller, callee) pairs of a repository: functions whose body names another function, as an equi join on words."""
-    ranges = L.function_ranges(sources)
-    bodies = L.containing(L.to_lines(sources), ranges, KEYS).where("function_name is not null")
-    words = bodies.select("repo", F.col("function_name").alias("caller"), F.explode(F.regexp_extract_all(L.strip_comment(F.col("raw")), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)).alias("callee")).distinct()
-    return words.join(ranges.select("repo", F.col("function_name").alias("callee")).distinct(), ["repo", "callee"]).where("caller <> callee").select("repo", "caller", "callee")
+    """(caller, callee) pairs of a repository: functions whose body names another function.
+
+    A name's mentions and its declaration, which has no caller, meet in one group.
+    """
+    named = F.flatten(F.transform("body", lambda raw: F.regexp_extract_all(L.strip_comment(raw), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))))
+    mentions = F.transform(F.array_distinct(named), lambda w: F.struct(w.alias("callee"), F.col("function_name").alias("caller")))
+    declared = F.struct(F.col("function_name").alias("callee"), F.lit(None).cast("string").alias("caller"))
+    words = L.bodies(sources).select("repo", F.explode(F.concat(mentions, F.array(declared))).alias("x")).select("repo", "x.*")
+    met = words.groupBy("repo", "callee").agg(F.collect_set("caller").alias("callers"), F.bool_or(F.col("caller").isNull()).alias("declared")).where("declared")
+    return met.select("repo", F.explode("callers").alias("caller"), "callee").where("caller <> callee")
 
 
 def loop_extents(sources: DataFrame) -> DataFrame:
