@@ -148,11 +148,9 @@ def q_repo_snapshot(spark, sf_dir):
 
 
 def q_body_concat(spark, sf_dir):
-    src = sample.repositories(spark, sf_dir)
-    held = L.containing(L.to_lines(src), L.function_ranges(src), ["repo", "file_path"]).where("function_name is not null")
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "raw")))
-    body = F.substring(F.array_join(F.transform(ordered, lambda x: x["raw"]), "\n"), 1, 1600)
-    return held.groupBy("repo", "file_path", "function_name", "start_line").agg(body.alias("b")).select("repo", "file_path", "function_name", F.md5("b").alias("body_md5"), F.length("b").cast("long").alias("n_chars"))
+    body = F.substring(F.array_join("body", "\n"), 1, 1600)
+    held = L.bodies(sample.repositories(spark, sf_dir)).select("repo", "file_path", "function_name", body.alias("b"))
+    return held.select("repo", "file_path", "function_name", F.md5("b").alias("body_md5"), F.length("b").cast("long").alias("n_chars"))
 
 
 QUERIES = {n.removeprefix("q_"): f for n, f in list(globals().items()) if n.startswith("q_")}
