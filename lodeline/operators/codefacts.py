@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodeline.functions.text import has_any
-from lodeline.plans.shared import materialise
+from lodeline.plans.shared import join_shuffled, materialise
 from lodeline.sources import lines as L
 from lodeline.sources import sample
 
@@ -148,7 +148,7 @@ def functions(ranges: DataFrame, rows: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda x: x["code"]), "\n")
     bodies = rows.where("function_name is not null").groupBy(*key).agg(body.alias("body"), F.array_distinct(F.flatten(F.collect_list("vars"))).alias("vars"))
     signatures = ranges.select(*key, "end_line", "signature")
-    found = signatures.join(bodies, key)
+    found = join_shuffled(signatures, bodies, key)
     body, names, signature = F.col("body"), _names(F.col("vars")), F.col("signature")
     tail = F.element_at(F.split(signature, r"\)"), -1)
     arguments = F.regexp_extract(signature, r"\((.*?)\)", 1)
@@ -180,7 +180,7 @@ def storage_accesses(rows: DataFrame, fns: DataFrame) -> DataFrame:
     members = F.transform(_members(aliases, all_groups(code, MEMBER, 1, 2)), lambda x: F.struct(x.alias("variable_name"), F.when(F.array_contains(writes, x), "write").otherwise("read").alias("access")))
     known = fns.where(F.size("aliases") > 0).select(*SCOPE, "function_name", "start_line", "aliases")
     named = rows.where(F.size("vars") > 0).select(*TOLD, F.explode(own).alias("x"))
-    through = rows.where(code.contains(".")).join(known, [*SCOPE, "function_name", "start_line"]).select(*TOLD, F.explode(members).alias("x"))
+    through = join_shuffled(rows.where(code.contains(".")), known, [*SCOPE, "function_name", "start_line"]).select(*TOLD, F.explode(members).alias("x"))
     return named.unionByName(through).select(*TOLD, "x.*")
 
 
@@ -202,11 +202,11 @@ def token_types(sources: DataFrame) -> DataFrame:
     kind = F.when(about.contains("erc721"), "erc721").when(about.contains("erc1155"), "erc1155").when(about.contains("erc20"), "erc20")
     ordered = sources.select(*FILE, F.posexplode(named).alias("at", "c")).select(*FILE, "at", F.col("c.g1").alias("symbol"), kind.alias("token_kind")).where("token_kind is not null")
     kinds = ordered.groupBy("repo", "symbol").agg(F.max_by("token_kind", F.struct("file_path", "at")).alias("declared"))
-    contracts = ordered.join(kinds, ["repo", "symbol"]).select(*FILE, F.lit(0).alias("part"), "at", "symbol", F.col("declared").alias("token_kind"))
+    contracts = join_shuffled(ordered, kinds, ["repo", "symbol"]).select(*FILE, F.lit(0).alias("part"), "at", "symbol", F.col("declared").alias("token_kind"))
     declared = all_groups(text, r"\b([A-Za-z_]\w*)\s+(?:public|private|internal|external)?\s*(\w+)\s*;", 1, 2)
     variables = sources.select(*FILE, text.contains("ERC721").alias("nfts"), text.contains("ERC20").alias("tokens"), F.posexplode(declared).alias("at", "d"))
     low = F.lower("d.g1")
-    found = variables.join(kinds.withColumnRenamed("symbol", "type_name"), (variables["repo"] == kinds["repo"]) & (F.col("d.g1") == F.col("type_name")), "left").select(
+    found = join_shuffled(variables, kinds.withColumnRenamed("symbol", "type_name"), (variables["repo"] == kinds["repo"]) & (F.col("d.g1") == F.col("type_name")), "left").select(
         variables["repo"],
         "file_path",
         F.lit(1).alias("part"),
@@ -240,7 +240,7 @@ def receiver_kind(receiver: Column, known: Column) -> Column:
 def with_receiver(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """``rows`` with the receiver of a token call and its kind."""
     called = rows.withColumn("receiver", receiver_of(F.col("code")))
-    joined = called.join(tokens.withColumnRenamed("symbol", "receiver"), ["repo", "receiver"], "left")
+    joined = join_shuffled(called, tokens.withColumnRenamed("symbol", "receiver"), ["repo", "receiver"], "left")
     return joined.withColumn("kind", receiver_kind(F.col("receiver"), F.col("token_kind"))).drop("token_kind")
 
 
@@ -262,7 +262,7 @@ def unchecked_returns(rows: DataFrame, tokens: DataFrame) -> DataFrame:
 def asset_flows(rows: DataFrame, tokens: DataFrame) -> DataFrame:
     """TOLD, asset, asset_kind, from_expr, to_expr, amount_expr, expression of every call of an asset method."""
     calls = rows.select(*TOLD, F.explode(all_groups(F.col("code"), MEMBER_CALL, 1, 2)).alias("m")).where(F.col("m.g2").isin(*ASSET_METHODS))
-    calls = calls.select(*TOLD, F.col("m.g1").alias("asset"), F.col("m.g2").alias("method")).join(tokens.withColumnRenamed("symbol", "asset"), ["repo", "asset"], "left")
+    calls = join_shuffled(calls.select(*TOLD, F.col("m.g1").alias("asset"), F.col("m.g2").alias("method")), tokens.withColumnRenamed("symbol", "asset"), ["repo", "asset"], "left")
     pattern = r"concat('\\.', method, '\\s*\\((.*)\\)')"
     arguments = F.when(F.expr(f"code rlike {pattern}"), F.transform(F.split(F.expr(f"regexp_extract(code, {pattern}, 1)"), ","), lambda x: F.trim(x)))
     calls = calls.withColumn("a", arguments)

@@ -14,6 +14,7 @@ from lodeline.functions.text import has_any, source_type
 from lodeline.operators import codefacts as C
 from lodeline.operators import detect as D
 from lodeline.operators import slices as G
+from lodeline.plans.shared import join_shuffled
 from lodeline.sources import lines as L
 from lodeline.sources import sample
 from lodeline.sources.sample import quoted, values_sql
@@ -174,7 +175,7 @@ def from_gaps(found: DataFrame) -> DataFrame:
 
 def or_manual_review(found: DataFrame, repos: DataFrame) -> DataFrame:
     """``found`` and, for each repository without any, one row that asks for a manual review."""
-    missing = repos.join(found.select("repo").distinct(), "repo", "left_anti")
+    missing = join_shuffled(repos, found.select("repo").distinct(), "repo", "left_anti")
     return found.unionByName(missing.select("repo", F.lit("default").alias("source"), F.lit("manual_review").alias("vulnerability_class"), F.lit("").alias("subject"), F.lit(0.2).alias("confidence"), F.lit("setup_required").alias("proof_status"), F.lit("needs_manual_review").alias("status")))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lodeline.functions.text import has_any
 from lodeline.operators import codefacts as C
 from lodeline.operators.relate import reachable
-from lodeline.plans.shared import materialise
+from lodeline.plans.shared import join_shuffled, materialise
 
 HOPS = 5
 #: Entries of a kind among a slice's evidence, in order, and the most entries.
@@ -52,7 +52,7 @@ def successors(fns: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = fns.select("repo", F.col("node").alias("dst")).distinct()
     member = edges.where("function_name is not null").select("repo", _node().alias("src"), _node("to_contract", "to_function").alias("dst"))
     inner = fns.select("repo", F.col("node").alias("src"), "contract_name", F.explode("calls").alias("callee")).select("repo", "src", F.concat_ws(".", "contract_name", "callee").alias("dst")).where("src != dst")
-    return member.unionByName(inner).join(nodes, ["repo", "dst"], "left_semi").select("repo", "src", "dst").distinct()
+    return join_shuffled(member.unionByName(inner), nodes, ["repo", "dst"], "left_semi").select("repo", "src", "dst").distinct()
 
 
 def slices(own: C.Facts, fns: DataFrame, hops: int = HOPS) -> tuple[DataFrame, DataFrame]:
@@ -70,7 +70,7 @@ def slice_facts(own: C.Facts, fns: DataFrame, reach: DataFrame, steps: DataFrame
         return df.where("function_name is not null").select("repo", _node().alias("node"), (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"), F.col(detail).cast("string").alias("detail"), "file_path", "line_no", F.col("code").alias("text"))
 
     places = fns.select("repo", "node", "file_path", "start_line")
-    inner = steps.join(places.withColumnRenamed("node", "src"), ["repo", "src"]).where(F.split_part("src", F.lit("."), F.lit(1)) == F.split_part("dst", F.lit("."), F.lit(1)))
+    inner = join_shuffled(steps, places.withColumnRenamed("node", "src"), ["repo", "src"]).where(F.split_part("src", F.lit("."), F.lit(1)) == F.split_part("dst", F.lit("."), F.lit(1)))
     facts = (
         of(own.storage, F.col("access"), "variable_name")
         .unionByName(of(own.flows, F.when(F.lower("expression").contains("safe"), "safe flow").otherwise("flow"), "asset"))
@@ -80,7 +80,7 @@ def slice_facts(own: C.Facts, fns: DataFrame, reach: DataFrame, steps: DataFrame
         .unionByName(of(own.boundaries, "boundary", "boundary_kind"))
         .unionByName(inner.select("repo", F.col("src").alias("node"), F.lit("edge").alias("kind"), F.split_part("dst", F.lit("."), F.lit(2)).alias("detail"), "file_path", F.col("start_line").alias("line_no"), F.concat("src", F.lit(" -> "), "dst").alias("text")))
     )
-    return reach.join(facts, NODE).select("repo", "entry", "kind", "detail", "file_path", "line_no", "text")
+    return join_shuffled(reach, facts, NODE).select("repo", "entry", "kind", "detail", "file_path", "line_no", "text")
 
 
 def graph_slices(own: C.Facts, fns: DataFrame, reach: DataFrame, facts: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def graph_slices(own: C.Facts, fns: DataFrame, reach: DataFrame, facts: DataFram
     )
     sized = reach.groupBy("repo", "entry").agg(F.count("*").alias("functions"))
     entries = fns.select("repo", F.col("node").alias("entry"), "file_path", "start_line", "modifiers")
-    found = sized.join(entries, ["repo", "entry"]).join(counted, ["repo", "entry"], "left")
+    found = join_shuffled(join_shuffled(sized, entries, ["repo", "entry"]), counted, ["repo", "entry"], "left")
     found = found.select("repo", "entry", "file_path", "start_line", "modifiers", "functions", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("writes", "reads", "flows", "safe_flows", "edges", "auth", "lifecycle", "boundaries", "control")), F.coalesce("written", F.array().cast("array<string>")).alias("written"))
     both, guarded = (F.col("flows") > 0) & (F.col("writes") > 0), (F.col("auth") > 0) | (F.size("modifiers") > 0)
     against = F.array_compact(F.array(F.when(guarded, F.lit("auth constraint or modifier")), F.when(F.col("safe_flows") > 0, F.lit("safe token transfer helper"))))
@@ -137,7 +137,7 @@ def actions(fns: DataFrame, flows: DataFrame) -> DataFrame:
     text = F.lower(body)
     bounds = F.array_compact(F.array(F.when(state.contains("price") & ~has_any(text, PRICE_BOUNDS), F.lit("max price bound")), F.when(state.contains("amount") & ~has_any(text, AMOUNT_BOUNDS), F.lit("minimum received amount"))))
     moving = flows.where("function_name is not null").groupBy("repo", _node().alias("node")).agg(F.count("*").alias("effects"))
-    found = fns.where(F.col("visibility").isin("public", "external")).join(moving, NODE, "left")
+    found = join_shuffled(fns.where(F.col("visibility").isin("public", "external")), moving, NODE, "left")
     said = F.array_compact(
         F.array(
             F.when(F.size("reads") > 0, F.concat(F.lit("reads "), F.array_join(F.slice("reads", 1, 4), ", "))),
@@ -158,7 +158,7 @@ def races(acts: DataFrame) -> DataFrame:
     changes = acts.where(has_any(name, CHANGING)).withColumn("touched", F.concat("writes", "reads")).where(F.exists("touched", lambda x: has_any(F.lower(x), ORDER_STATE)))
     changes = changes.select("repo", F.col("node").alias("mutator"), "touched", name.contains("cancel").alias("cancels"))
     both = F.array_intersect("state", "touched")
-    pairs = buys.join(changes, "repo").withColumn("shared", F.array_sort(F.when(F.size(both) > 0, both).otherwise(F.col("state")))).where(F.size("shared") > 0)
+    pairs = join_shuffled(buys, changes, "repo").withColumn("shared", F.array_sort(F.when(F.size(both) > 0, both).otherwise(F.col("state")))).where(F.size("shared") > 0)
     return pairs.select("repo", "victim", "mutator", F.when(F.col("cancels"), "can_cancel_before").otherwise("can_mutate_before").alias("edge_type"), "shared", F.when(F.size("missing_bounds") > 0, 0.86).otherwise(0.68).alias("confidence"))
 
 
